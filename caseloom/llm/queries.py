@@ -51,25 +51,24 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 # 6 shared spans
 
 
-def _span_records(spark: SparkSession, d: str, least: int = 0) -> DataFrame:
-    """Outputs and passages under their names; texts below `least` characters are left out before anything is shuffled."""
-    out = _records(spark, d, text=f"IF(length(run.output) >= {least}, run.output, NULL)").select(F.concat(F.lit("result:"), "ord").alias("rec"), "text")
-    docs = _cases(spark, d, docs=f"transform(docs, x -> IF(length(x.text) >= {least}, x.text, NULL))")
-    case = docs.select("id", F.posexplode("docs").alias("place", "text")).select(F.concat(F.lit("case:"), "id", F.lit("#"), F.col("place") + 1).alias("rec"), "text")
-    both = out.unionByName(case)
-    return both.where(F.col("text").isNotNull()) if least else both
+def _span_records(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs and passages under their names, with the time of loading or import as version."""
+    out = _table(spark, d, "results").select(F.concat(F.lit("result:"), "ord").alias("rec"), F.col("run.output").alias("text"), F.col("loaded_at").alias("version"))
+    docs = _table(spark, d, "public_cases").select("id", "imported_at", F.posexplode("docs.text").alias("place", "text"))
+    case = docs.select(F.concat(F.lit("case:"), "id", F.lit("#"), F.col("place") + 1).alias("rec"), "text", F.col("imported_at").alias("version"))
+    return out.unionByName(case)
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_spans(_span_records(spark, d, 200)).select("rec_a", "rec_b")
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_span_records(spark, d), version="version")
 
 
-def p6_links(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_spans(_span_records(spark, d, 200))
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_links(spark, d).select("rec_a", "rec_b")
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_shares(_span_records(spark, d), spans.shared_spans(_span_records(spark, d, 200)))
+    return spans.shared_shares(latest_by(_span_records(spark, d), ["rec"], "version"), p6_links(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_links, p6_shares)}

@@ -7,8 +7,8 @@ share, so it holds a whole common chunk; with 200 characters and SPREAD 84 no pa
 digest, records that share one are compared exactly.
 
 A digest that many records share (a stock phrase shorter than the spans asked for) would give pairs that fail the exact
-comparison. Such records go another, equally exact way: windows of the full length around the chunk are grouped instead,
-so only records that really share a span meet.
+comparison. Such chunks go another, equally exact way: they are extended by context on either side, in the end to whole
+ranges of the length asked for, so only records that really share a span meet.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.dedupe import latest_by
 from ..plans.session import cut_lineage
 
 #: Bytes the rolling hash looks back; 32 bits shift a byte out after 32 steps.
@@ -81,8 +81,11 @@ def range_digests(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
         return out ^ (out >> np.uint64(31))
 
 
+CHUNKS = "rec string, digest bigint, pos int, len int"
+
+
 def chunk_table(records: DataFrame, rec: str, text: str, min_chars: int) -> DataFrame:
-    """rec, digest: the distinct chunks of each record's text, with the hash's window before them."""
+    """rec, digest, pos, len: the chunks of each record's text with the hash's window before them; places in bytes."""
     spread = (min_chars - WINDOW) // 2
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +107,39 @@ def chunk_table(records: DataFrame, rec: str, text: str, min_chars: int) -> Data
                 inside = (start >= off[row]) & (end <= off[row + 1])
                 start, end, row = start[inside], end[inside], row[inside]
                 digest = range_digests(BYTE[data], start, end).view(np.int64)
-                one = pd.DataFrame({"row": row, "digest": digest}).drop_duplicates()
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(one["row"].to_numpy())), pa.array(one["digest"].to_numpy(), pa.int64())], ["rec", "digest"])
+                cols = [b.column(0).take(pa.array(row)), pa.array(digest), pa.array((start - off[row]).astype(np.int32)), pa.array((end - start).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["rec", "digest", "pos", "len"])
 
     long = records.where(F.length(text) >= min_chars).select(F.col(rec).alias("rec"), F.col(text).alias("text"))
-    return long.mapInArrow(chunks, "rec string, digest bigint")
+    return long.mapInArrow(chunks, CHUNKS)
+
+
+def _around(min_chars: int, sides: bool):
+    """Keys of longer ranges around chunks, from rows of rec, text and places (array of pos, len).
+
+    sides: two keys a chunk, it with half of what is missing to min_chars before it, and with half after it: a span of
+    min_chars bytes around the chunk holds one of the two. Else the keys of all ranges of min_chars bytes that hold it.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rec, text, places in zip(*(b.column(i).to_pylist() for i in range(3))):
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                at = np.array([(x["pos"], x["len"]) for x in places], np.int64).reshape(-1, 2)
+                pos, end = at[:, 0], at[:, 0] + at[:, 1]
+                if sides:
+                    more = -(-np.maximum(0, min_chars - at[:, 1]) // 2)
+                    start, stop = np.concatenate([pos - more, pos]), np.concatenate([end, end + more])
+                else:
+                    begin = [np.arange(max(0, e - min_chars), min(p, len(data) - min_chars) + 1) for p, e in zip(pos, end)]
+                    start = np.unique(np.concatenate([*begin, np.zeros(0, np.int64)]))
+                    pos, end, stop = start, start, start + min_chars
+                fits = (start >= 0) & (stop <= len(data))
+                origin = np.concatenate([at, at])[fits] if sides else np.stack([start, stop - start], 1)[fits]
+                key = range_digests(BYTE[data], start[fits], stop[fits]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([rec] * len(key), pa.string()), pa.array(key), pa.array(origin[:, 0].astype(np.int32)), pa.array(origin[:, 1].astype(np.int32))], ["rec", "digest", "pos", "len"])
+
+    return emit
 
 
 def _windows(text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,33 +175,48 @@ def common_spans(a: str, b: str, length: int) -> tuple[list[tuple[int, int]], li
 LINKS = "rec_a string, rec_b string, spans_a array<struct<s:int,e:int>>, spans_b array<struct<s:int,e:int>>"
 
 
-def shared_spans(records: DataFrame, rec: str = "rec", text: str = "text", min_chars: int = 200, hot: int = 32) -> DataFrame:
+def _repeated(chunks: DataFrame) -> DataFrame:
+    """Chunks whose digest more than one record has, with `recs`, the number of rows of the digest (one more than that of its
+    records where a record repeats it)."""
+    counts = chunks.groupBy("digest").agg(F.count("*").alias("recs")).where("recs > 1")
+    return chunks.join(counts, "digest")
+
+
+def _pairs(chunks: DataFrame, hot: int) -> DataFrame:
+    """rec_a, rec_b of digests with at most `hot` rows."""
+    groups = chunks.where(F.col("recs") <= hot).groupBy("digest").agg(F.array_sort(F.collect_set("rec")).alias("r")).where(F.size("r") > 1)
+    each = F.transform(F.sequence(F.lit(0), F.size("r") - 2), lambda k: F.transform(F.slice("r", k + 2, F.lit(hot)), lambda other: F.struct(F.get("r", k).alias("rec_a"), other.alias("rec_b"))))
+    return groups.select(F.inline(F.flatten(each))).distinct()
+
+
+def shared_spans(records: DataFrame, rec: str = "rec", text: str = "text", version: str | None = None, min_chars: int = 200, hot: int = 4) -> DataFrame:
     """rec_a, rec_b, spans_a, spans_b: every pair of records that share at least min_chars consecutive characters.
 
-    records: one row per record; its text may be NULL, empty or very long, and texts may be equal. rec_a < rec_b; spans are
-    the parts of each text, merged, that lie in spans of at least min_chars shared by the two. min_chars must be 96 at
-    least. `hot`: digests of more records than this are resolved by whole windows; either way is exact, so it only sets
-    which one is used. A pair comes out once. The number of pairs is the result's own size: records that share a span with
-    thousands of others give thousands of rows, spread over tasks by the join.
+    records: one row per record, or several of which the one with the greatest `version` counts; texts may be NULL, empty,
+    equal or very long. rec_a < rec_b; spans are the parts of each text, merged, that lie in spans of at least min_chars
+    shared by the two. min_chars must be 96 at least. hot: a digest with more rows than this gives no pairs itself; its
+    chunks are extended to half of the missing context on either side, and if that still is as common, to all ranges of
+    min_chars bytes around them. Every way is exact, so `hot` only sets the costs. A pair comes out once. The number of
+    pairs is the result's own size, whatever it is.
     """
     if min_chars < 3 * WINDOW:
         raise ValueError(f"min_chars must be {3 * WINDOW} at least")
-    chunks = cut_lineage(chunk_table(records, rec, text, min_chars))
-    counts = chunks.groupBy("digest").count().where("count > 1")
-    shared = cut_lineage(chunks.join(counts, "digest").distinct())
-    few = shared.where(F.col("count") <= hot)
-    near = few.groupBy("digest").agg(F.array_sort(F.collect_set("rec")).alias("recs"))  # `hot` at most
-    i = F.sequence(F.lit(0), F.size("recs") - 2)
-    pairs = F.flatten(F.transform(i, lambda k: F.transform(F.slice("recs", k + 2, F.lit(hot)), lambda other: F.struct(F.get("recs", k).alias("rec_a"), other.alias("rec_b")))))
-    near = near.where(F.size("recs") > 1).select(F.inline(pairs))
-    # the hot ones: digests of whole windows instead of chunks
-    texts = records.where(F.length(text) >= min_chars).select(F.col(rec).alias("rec"), F.col(text).alias("text"))
-    crowd = shared.where(F.col("count") > hot).select("rec").distinct()
-    whole = texts.join(crowd, "rec", "left_semi").mapInArrow(_emit_windows(min_chars), "rec string, window bigint")
-    again = whole.groupBy("window").count().where("count > 1").drop("count")
-    whole = whole.join(again, "window")
-    far = whole.select("window", F.col("rec").alias("rec_a")).join(whole.select("window", F.col("rec").alias("rec_b")), "window").where("rec_a < rec_b").select("rec_a", "rec_b")
-    candidates = near.unionByName(far).distinct()
+    texts = records.where(F.length(text) >= min_chars).select(F.col(rec).alias("rec"), F.col(text).alias("text"), (F.col(version) if version else F.lit(None).cast("timestamp")).alias("version"))
+    shared = cut_lineage(_repeated(cut_lineage(chunk_table(texts, "rec", "text", min_chars))))
+    involved = shared.select("rec").distinct()
+    texts = texts.join(involved, "rec", "left_semi")
+    texts = cut_lineage(latest_by(texts, ["rec"], "version", ["text"]) if version else texts.drop("version"))
+
+    def wider(chunks: DataFrame, sides: bool) -> DataFrame:
+        places = chunks.groupBy("rec").agg(F.collect_set(F.struct("pos", "len")).alias("places"))
+        return texts.join(places, "rec").select("rec", "text", "places").mapInArrow(_around(min_chars, sides), CHUNKS)
+
+    sided = cut_lineage(_repeated(wider(shared.where(F.col("recs") > hot), True)))
+    crowd = wider(sided.where(F.col("recs") > hot), False).select("rec", "digest").distinct()
+    again = crowd.groupBy("digest").count().where("count > 1").drop("count")
+    crowd = crowd.join(again, "digest")
+    far = crowd.withColumnRenamed("rec", "rec_a").join(crowd.withColumnRenamed("rec", "rec_b"), "digest").where("rec_a < rec_b").select("rec_a", "rec_b")
+    candidates = _pairs(shared, hot).unionByName(_pairs(sided, hot)).unionByName(far).distinct()
     found = candidates.join(texts.select(F.col("rec").alias("rec_a"), F.col("text").alias("text_a")), "rec_a").join(texts.select(F.col("rec").alias("rec_b"), F.col("text").alias("text_b")), "rec_b")
     span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
@@ -189,16 +235,6 @@ def shared_spans(records: DataFrame, rec: str = "rec", text: str = "text", min_c
     return found.select("rec_a", "rec_b", "text_a", "text_b").mapInArrow(verify, LINKS)
 
 
-def _emit_windows(length: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = np.unique(_windows(t, length)[1]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([r] * len(w), pa.string()), pa.array(w, pa.int64())], ["rec", "window"])
-
-    return emit
-
-
 def shared_shares(records: DataFrame, links: DataFrame, rec: str = "rec", text: str = "text") -> DataFrame:
     """rec, n_chars, shared_chars, share, partners: of every record, how much of its text lies in spans shared elsewhere.
 
