@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import latest_by
-from . import spans, splitting
+from ..plans.session import cut_lineage
+from . import quantiles, spam, spans, splitting
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,6 +32,44 @@ def _passages(cases: DataFrame) -> DataFrame:
     return cases.select("id", F.posexplode("docs").alias("place", "doc")).select(F.col("id").alias("case_id"), (F.col("place") + 1).alias("passage"), F.col("doc.text").alias("text"))
 
 
+# 1 percentiles
+
+RANKS = (0.5, 0.9, 0.95, 0.99)
+METRICS = {"latencyMs": "run.latencyMs", "costUsd": "run.costUsd"}
+
+
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    """system, day, metric, value: each record's measures once; the day is that of the run, from its name."""
+    one = _records(spark, d, system="run.system", day="left(run_id, 10)", **METRICS)
+    both = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])).alias("m")
+    return one.select("system", "day", both).select("system", "day", "m.metric", "m.value")
+
+
+def p1_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The summaries of single days, to be kept and combined."""
+    return quantiles.summaries(_measures(spark, d), ["system", "day", "metric"], "value")
+
+
+def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    days = cut_lineage(p1_summaries(spark, d))
+    by_day = quantiles.percentiles(days, ["system", "day", "metric"], RANKS)
+    whole = quantiles.percentiles(quantiles.merged(days, ["system", "metric"]), ["system", "metric"], RANKS)
+    out = by_day.unionByName(whole.withColumn("day", F.lit(None).cast("string")))
+    return out.select("system", "day", "metric", "n", "q", F.round("value", 9).alias("value"), "rank_error", "value_error")
+
+
+def p1_within_error(spark: SparkSession, d: str) -> DataFrame:
+    """Per system, measure and percentile: whether the merged summaries' answer holds its error against the exact ranks."""
+    values = cut_lineage(_measures(spark, d).withColumn("leaf", quantiles.leaf(F.col("value"))).where("leaf is not null").groupBy("system", "day", "metric", "leaf").agg(F.count("*").alias("count")))
+    days = quantiles.compressed(values.select("system", "day", "metric", (F.col("leaf") + quantiles.UNIVERSE).alias("node"), "count"), ["system", "day", "metric"])
+    said = quantiles.percentiles(quantiles.merged(days, ["system", "metric"]), ["system", "metric"], RANKS)
+    ranks = values.groupBy("system", "metric", "leaf").agg(F.sum("count").alias("count")).join(said, ["system", "metric"])
+    exact = ranks.groupBy("system", "metric", "q", "n", "place").agg(F.sum(F.when(F.col("leaf") < F.col("place"), F.col("count")).otherwise(0)).alias("below"), F.sum(F.when(F.col("leaf") <= F.col("place"), F.col("count")).otherwise(0)).alias("upto"))
+    slack = F.lit(quantiles.RANK_ERROR) * F.col("n")
+    good = (F.col("below") <= F.col("q") * F.col("n") + slack) & (F.col("upto") >= F.col("q") * F.col("n") - slack)
+    return exact.select("system", "metric", "q", "n", good.alias("within_error"))
+
+
 # 2 splitting
 
 
@@ -71,6 +110,36 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(latest_by(_span_records(spark, d), ["rec"], "version"), p6_links(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_links, p6_shares)}
+# 9 spam
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    out = spam.spam_scores(_table(spark, d, "documents"), "doc_id", "text")
+    return out.select("doc_id", "language", F.round("spam_share", 6).alias("spam_share"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_scores(_table(spark, d, "documents"), "doc_id", "text").where("spam_share > 0.5").select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p6_found, p6_links, p6_shares, p9_found, p9_scores)
+}
+
+_LATEST = "(SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY ord ORDER BY loaded_at DESC) = 1)"
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p1_within_error": f"""
+        WITH m AS (SELECT run.system AS system, 'latencyMs' AS metric, CAST(run.latencyMs AS DOUBLE) AS v FROM {_LATEST}
+                   UNION ALL SELECT run.system, 'costUsd', run.costUsd FROM {_LATEST})
+        SELECT system, metric, q, count(v) AS n, TRUE AS within_error
+        FROM m, (VALUES (CAST(0.5 AS DOUBLE)), (0.9), (0.95), (0.99)) t(q) GROUP BY ALL HAVING count(v) > 0""",
+    "p2_found": r"""
+        WITH c AS (SELECT * FROM public_cases QUALIFY row_number() OVER (PARTITION BY id ORDER BY imported_at DESC) = 1),
+             p AS (SELECT id, docs, unnest(generate_series(1, len(docs))) AS passage FROM c),
+             t AS (SELECT id, passage, docs[passage].text AS text FROM p WHERE length(docs[passage].text) > 2000)
+        SELECT id AS case_id, CAST(passage AS INTEGER) AS passage,
+               CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: length(x))) > 2000 THEN 'forced' ELSE 'boundary' END AS cut
+        FROM t""",
+}
