@@ -8,10 +8,10 @@ import re
 WORDS: dict[str, frozenset[str]] = {
     lang: frozenset(words.split())
     for lang, words in {
-        "en": "the of and to in is that for it was with as on be by this are from at or an which not have has had its but they their been were will would can could should who what when there any all under into within than other such these those does do did may shall must if you your i we my our me how many where no yes unless before after because",
-        "fr": "le la les de du des et à un une que qui dans pour est au aux sur par ne pas se ce cette il elle ils sont été avec son sa ses ou où plus mais ont être sous selon d’après sans leur entre jusqu’en quand aucun aucune cet ces doit peut oui non je nous vous mes mon ma ici donner suis",
-        "de": "der die das und den dem des ein eine einer eines einem einen ist nicht von für mit zu auf im in nach bis sich auch als an aus bei durch wird werden wurde ist sind war dass oder über unter vom zum zur keine kein nur noch wenn ich wir mir meine ihr sie es hier darf kann ohne gegenüber binnen gemäß siehe ja nein laut",
-        "es": "el la los las de del y a en un una que es por para con no se su sus lo al como más pero ha fue son este esta cada según sin sobre entre desde hasta cuando o ni muy ya también donde quién qué puede debe deberá sí yo mi mis me aquí porque ningún ninguna tras véase quedan",
+        "en": "a the of and to in is that for it was with as on be by this are from at or an which not have has had its but they their been were will would can could should who what when there any all under into within than other such these those does do did may shall must if you your i we my our me how many where no yes unless before after because",
+        "fr": "le la les de du des et à un une que qui dans pour est au aux sur par ne pas se ce cette il elle ils sont été avec son sa ses ou où plus mais ont être sous selon d’après sans leur entre jusqu’en quand aucun aucune cet ces doit peut oui non je nous vous mes mon ma ici donner suis absolument certainement aucunement",
+        "de": "der die das und den dem des ein eine einer eines einem einen ist nicht von für mit zu auf im in nach bis sich auch als an aus bei durch wird werden wurde ist sind war dass oder über unter vom zum zur keine kein nur noch wenn ich wir mir meine ihr sie es hier darf kann ohne gegenüber binnen gemäß siehe ja nein laut eindeutig keineswegs eher sicher gewiss doch klar durchaus",
+        "es": "el la los las de del y a en un una que es por para con no se su sus lo al como más pero ha fue son este esta cada según sin sobre entre desde hasta cuando o ni muy ya también donde quién qué puede debe deberá sí yo mi mis me aquí porque ningún ninguna tras véase quedan hay duda absoluto creo claro seguro",
         "it": "il lo la gli le di del della dei delle e che è un una uno in per con non si da dal dalla al alla sono stato fu più ma anche come o ogni questo questa secondo nel nella sul sulla degli agli sì no niente ho mi dopo entro fino senza certamente affatto",
         "pt": "o a os as de do da dos das e em um uma que é por para com não se no na nos nas ao à foi são mais mas como ou pelo pela segundo até sem sobre entre quando você seu sua esta este também já sim construída trecho prevê deve pode muito nem",
         "nl": "de het een en van in op te dat is voor met niet aan zijn er door om bij ook als tot uit werd wordt naar over dan of maar per volgens binnen geen ja nee deze dit die aan heeft kan moet mag onder na zonder zeker beslist",
@@ -55,31 +55,44 @@ SCRIPTS = (
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 
 
+LANGUAGES_OF: dict[str, tuple[str, ...]] = {}
+for _lang, _words in WORDS.items():
+    for _w in _words:
+        LANGUAGES_OF[_w] = (*LANGUAGES_OF.get(_w, ()), _lang)
+
+
 def scores(words: list[str]) -> dict[str, int]:
     """How many of the words (lower case) are short words of each language."""
-    return {lang: n for lang, own in WORDS.items() if (n := sum(w in own for w in words))}
+    out: dict[str, int] = {}
+    for w in words:
+        for lang in LANGUAGES_OF.get(w, ()):
+            out[lang] = out.get(lang, 0) + 1
+    return out
 
 
-def language(text: str, candidates: frozenset[str] | None = None) -> tuple[str | None, int, int]:
-    """The language of a text, the number of words that speak for it, and for the next best one; None if nothing tells.
+def evidence(text: str) -> dict[str, int]:
+    """Words (or letters of a script) that speak for each language.
 
     A script other than Latin that has at least a fifth of the letters decides by itself (kana before Han).
     """
-    other = [(name, n) for name, pattern in SCRIPTS if (n := len(pattern.findall(text)))]
-    if other:
-        name, n = max(other, key=lambda x: x[1])
-        if n * 4 >= len(LATIN.findall(text)) or n >= 12:
-            if name == "zh" and any(x == "ja" for x, _ in other):
-                name = "ja"
-            return name, n, 0
-    words = [w.lower().replace("'", "’") for w in WORD.findall(text)]
+    if not text.isascii():
+        other = [(name, n) for name, pattern in SCRIPTS if (n := len(pattern.findall(text)))]
+        if other:
+            name, n = max(other, key=lambda x: x[1])
+            if n * 4 >= len(LATIN.findall(text)) or n >= 12:
+                if name == "zh" and any(x == "ja" for x, _ in other):
+                    name = "ja"
+                return {name: n}
+    words = WORD.findall(text.lower().replace("'", "’"))
     found = scores(words)
-    for w in words:  # elided articles: l’article, d’après
-        if "’" in w and w[0] in "ldnsjcmtq" and w.index("’") == 1:
-            found["fr"] = found.get("fr", 0) + 1
-    if candidates is not None:
-        found = {k: v for k, v in found.items() if k in candidates}
-    if not found:
-        return None, 0, 0
-    ranked = sorted(found.items(), key=lambda x: (-x[1], x[0]))
-    return ranked[0][0], ranked[0][1], ranked[1][1] if len(ranked) > 1 else 0
+    if "’" in text or "'" in text:
+        elided = sum(w[1:2] == "’" and w[0] in "ldnsjcmtq" for w in words)  # elided articles: l’article, d’après
+        if elided:
+            found["fr"] = found.get("fr", 0) + elided
+    return found
+
+
+def language(text: str) -> str | None:
+    """The language of a text; None if nothing tells."""
+    found = evidence(text)
+    return max(found, key=lambda x: (found[x], x in GRAMMAR, x)) if found else None

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import latest_by
 from ..plans.session import cut_lineage
-from . import quantiles, spam, spans, splitting
+from . import pairs, quantiles, spam, spans, splitting
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -87,6 +88,36 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_passages(_cases(spark, d, docs="docs")), "text", ["case_id", "passage"])
 
 
+# 3 broken pairs
+
+#: Where the passages of an input begin; what stands before them is the question.
+PASSAGES = r"\n\nDocument \[1\]"
+
+
+def _languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [pairs.case_language(q or "", t or "") for q, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["case_id", "allowed"])
+
+
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """Every record that has a case, beside the case: the whole input only where the output is half as long at least."""
+    out = _records(spark, d, case_id="run.caseId", output="run.output").withColumnRenamed("ord", "key")
+    rewrite = F.col("suite") == "redaction"
+    asked = F.regexp_replace(F.coalesce("question", F.get(F.split("input", PASSAGES), 0)), r"^\s*Question:\s*", "")
+    cases = _cases(spark, d, suite="suite", topic="task", question="question", input="input", instructions="instructions", choices="choices")
+    cases = cases.select(F.col("id").alias("case_id"), "topic", rewrite.alias("rewrite"), F.when(rewrite, F.lit("")).otherwise(asked).alias("question"), "input", "instructions", "choices")
+    told = cases.select("case_id", "question", "input").mapInArrow(_languages, "case_id string, allowed string")
+    both = out.join(cases.join(told, "case_id"), "case_id")
+    long = F.length("output") >= 0.5 * F.length("input")
+    return both.withColumn("prompt", F.when(long, F.col("input"))).withColumn("instructions", F.when(long, F.col("instructions")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    seen = cut_lineage(pairs.responses(_responses(spark, d)))
+    return pairs.defects(seen).select(F.col("key").alias("ord"), "defect")
+
+
 # 6 shared spans
 
 
@@ -124,7 +155,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p6_found, p6_links, p6_shares, p9_found, p9_scores)
+    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p3_found, p6_found, p6_links, p6_shares, p9_found, p9_scores)
 }
 
 _LATEST = "(SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY ord ORDER BY loaded_at DESC) = 1)"

@@ -155,6 +155,10 @@ def _windows(text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def common_spans(a: str, b: str, length: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """The parts of a, and of b, covered by spans of at least `length` characters that both have; merged, [start, end)."""
+    # a span of `length` holds a whole block at a multiple of half of it: most pairs end here
+    half = length // 2
+    if not any(a[i : i + half] in b for i in range(0, len(a) - half + 1, half)):
+        return [], []
     ca, ha = _windows(a, length)
     cb, hb = _windows(b, length)
 
@@ -211,8 +215,8 @@ def shared_spans(records: DataFrame, rec: str = "rec", text: str = "text", versi
         places = chunks.groupBy("rec").agg(F.collect_set(F.struct("pos", "len")).alias("places"))
         return texts.join(places, "rec").select("rec", "text", "places").mapInArrow(_around(min_chars, sides), CHUNKS)
 
-    sided = cut_lineage(_repeated(wider(shared.where(F.col("recs") > hot), True)))
-    crowd = wider(sided.where(F.col("recs") > hot), False).select("rec", "digest").distinct()
+    sided = cut_lineage(_repeated(cut_lineage(wider(shared.where(F.col("recs") > hot), True))))
+    crowd = cut_lineage(wider(sided.where(F.col("recs") > hot), False).select("rec", "digest").distinct())
     again = crowd.groupBy("digest").count().where("count > 1").drop("count")
     crowd = crowd.join(again, "digest")
     far = crowd.withColumnRenamed("rec", "rec_a").join(crowd.withColumnRenamed("rec", "rec_b"), "digest").where("rec_a < rec_b").select("rec_a", "rec_b")
