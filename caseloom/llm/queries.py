@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import latest_by
 from ..plans.session import cut_lineage
-from . import pairs, quantiles, spam, spans, splitting
+from . import mixing, packing, pairs, quantiles, spam, spans, splitting, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -141,6 +141,59 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(latest_by(_span_records(spark, d), ["rec"], "version"), p6_links(spark, d))
 
 
+# 7 packing
+
+
+def _capacities(spark: SparkSession, d: str) -> dict[int, int]:
+    """A handful of settings; more than a thousand are a mistake."""
+    rows = _table(spark, d, "pack_specs").select("spec_id", "capacity_tokens").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 capacities")
+    return {r[0]: r[1] for r in rows if r[1] and r[1] > 0}
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    sized = cut_lineage(packing.with_tokens(_table(spark, d, "documents"), "doc_id", "text"))
+    return packing.pack_documents(sized, _capacities(spark, d), "doc_id", vocabulary_size=tokens.size_of_vocabulary(tokens.vocabulary()))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(cut_lineage(p7_packed(spark, d)), _table(spark, d, "pack_specs"), "doc_id")
+
+
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: whether every document is there with all its tokens, in one piece unless too large, and no container
+    holds too much."""
+    packed = cut_lineage(p7_packed(spark, d))
+    sized = packing.with_tokens(_table(spark, d, "documents"), "doc_id", "text", terms=False)
+    specs = _table(spark, d, "pack_specs").select("spec_id", "capacity_tokens")
+    doc = packed.groupBy("spec_id", "doc_id").agg(F.sum("tokens").alias("inside"), F.count("*").alias("parts"))
+    doc = doc.join(F.broadcast(specs), "spec_id").join(sized, "doc_id", "full")
+    good = (F.col("inside") == F.col("tokens")) & (F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens"))))
+    per = doc.groupBy("spec_id").agg(F.count("*").alias("documents"), F.min(F.coalesce(good, F.lit(False))).alias("whole"))
+    held = packed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("inside")).join(F.broadcast(specs), "spec_id")
+    held = held.groupBy("spec_id").agg((F.max(F.col("inside") - F.col("capacity_tokens")) <= 0).alias("within_capacity"))
+    return per.join(held, "spec_id").select("spec_id", "documents", "whole", "within_capacity")
+
+
+# 8 mixing
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "source", "text")
+    small = packing.with_tokens(docs, "doc_id", "text", terms=False)
+    return cut_lineage(small.join(docs.select("doc_id", "source"), "doc_id"))
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_documents(_sized(spark, d), _table(spark, d, "mix_targets"), "doc_id")[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    mixed, parts = mixing.mix_documents(_sized(spark, d), _table(spark, d, "mix_targets"), "doc_id")
+    return mixing.shares_reached(mixed, parts, "doc_id")
+
+
 # 9 spam
 
 
@@ -155,7 +208,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p3_found, p6_found, p6_links, p6_shares, p9_found, p9_scores)
+    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p3_found, p6_found, p6_links, p6_shares, p7_packed, p7_report, p7_whole, p8_mixed, p8_shares, p9_found, p9_scores)
 }
 
 _LATEST = "(SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY ord ORDER BY loaded_at DESC) = 1)"
@@ -166,6 +219,7 @@ ORACLE: dict[str, str] = {
                    UNION ALL SELECT run.system, 'costUsd', run.costUsd FROM {_LATEST})
         SELECT system, metric, q, count(v) AS n, TRUE AS within_error
         FROM m, (VALUES (CAST(0.5 AS DOUBLE)), (0.9), (0.95), (0.99)) t(q) GROUP BY ALL HAVING count(v) > 0""",
+    "p7_whole": "SELECT spec_id, (SELECT count(*) FROM documents) AS documents, TRUE AS whole, TRUE AS within_capacity FROM pack_specs",
     "p2_found": r"""
         WITH c AS (SELECT * FROM public_cases QUALIFY row_number() OVER (PARTITION BY id ORDER BY imported_at DESC) = 1),
              p AS (SELECT id, docs, unnest(generate_series(1, len(docs))) AS passage FROM c),
