@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, stats_queries
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+MODULES = (stats_queries, problems)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
