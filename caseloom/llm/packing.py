@@ -23,10 +23,10 @@ K1, B = 1.2, 0.75
 #: Terms of a seed that are looked up: those with the greatest weight.
 QUERY_TERMS = 16
 #: A neighbour that shares only words in more than this part of the documents is none.
-COMMON = 0.2
+COMMON = 0.1
 SHARD_TOKENS = 2_000_000
 #: A container with less than this is repacked in the second round.
-FULL = 0.985
+FULL = 0.95
 
 SIZES = "tokens int, terms array<int>, counts array<int>"
 
@@ -72,16 +72,21 @@ class Index:
         self.item, self.weight = item[by_term], weight[by_term]
         self.first = np.searchsorted(terms[by_term], np.arange(len(idf) + 1))
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Items that share a looked-up term with the seed, best first (ties by number)."""
+    def neighbours(self, seed: int, free: np.ndarray, room: int) -> list[int]:
+        """Items that share a looked-up term with the seed, are free (their size, 0 if not) and fit, best first, ties by
+        number."""
         q = self.query[seed]
         if not len(q):
-            return np.zeros(0, np.int64)
+            return []
         runs = [slice(self.first[t], self.first[t + 1]) for t in q]
         item = np.concatenate([self.item[r] for r in runs])
-        found, at = np.unique(item, return_inverse=True)
-        score = np.bincount(at, weights=np.concatenate([self.weight[r] for r in runs]))
-        return found[np.lexsort((found, -score))]
+        size = free[item]
+        fits = (size > 0) & (size <= room)
+        if not fits.any():
+            return []
+        score = np.bincount(item[fits], weights=np.concatenate([self.weight[r] for r in runs])[fits], minlength=1)
+        found = np.flatnonzero(score)
+        return found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def pack(sizes: Sequence[int], capacity: int, index: Index | None) -> list[list[int]]:
@@ -94,6 +99,7 @@ def pack(sizes: Sequence[int], capacity: int, index: Index | None) -> list[list[
     for s in by_size:
         mask |= 1 << s
     used = bytearray(len(sizes))
+    free = np.array(sizes, np.int64)
     out: list[list[int]] = []
 
     def largest(room: int) -> int | None:
@@ -110,18 +116,18 @@ def pack(sizes: Sequence[int], capacity: int, index: Index | None) -> list[list[
         return None
 
     while (seed := largest(capacity)) is not None:
-        used[seed] = 1
+        used[seed], free[seed] = 1, 0
         inside, room = [seed], capacity - sizes[seed]
         if index is not None and room and largest(room) is not None:
-            for i in index.neighbours(seed).tolist():
-                if not used[i] and 0 < sizes[i] <= room:
-                    used[i] = 1
+            for i in index.neighbours(seed, free, room):
+                if sizes[i] <= room:
+                    used[i], free[i] = 1, 0
                     inside.append(i)
                     room -= sizes[i]
                     if largest(room) is None:
                         break
         while room and (i := largest(room)) is not None:
-            used[i] = 1
+            used[i], free[i] = 1, 0
             inside.append(i)
             room -= sizes[i]
         out.append(inside)
@@ -198,7 +204,7 @@ def pack_documents(sized: DataFrame, capacities: dict[int, int], key: str, shard
     def one(group: tuple, table: pa.Table) -> pa.Table:
         return emit(table, f"a{group[0].as_py()}", specs, True)
 
-    packed = cut_lineage(first_round.groupBy("shard").applyInArrow(one, out_kind))
+    packed = cut_lineage(first_round.repartition(shards, "shard").groupBy("shard").applyInArrow(one, out_kind))
     done = packed.where(F.col("share") >= FULL)
     open_again = packed.where(F.col("share") < FULL)
     left = {r[0]: r[1] for r in open_again.groupBy("spec_id").agg(F.sum("tokens")).collect()}  # a row per capacity
