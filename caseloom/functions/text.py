@@ -157,9 +157,12 @@ def scrub(s: Column | str, patterns: tuple[tuple[str, str], ...] = PII) -> Colum
 
 def scrub_findings(s: Column | str, patterns: tuple[tuple[str, str], ...] = PII) -> Column:
     """What `scrub` replaces, as label:match, pattern by pattern on the text that the patterns before left."""
+    def named(label: str, matches: Column) -> Column:
+        return F.transform(matches, lambda m: F.concat(F.lit(label + ":"), m))
+
     text, found = _c(s), []
     for label, p in patterns:
-        found.append(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, label=label: F.concat(F.lit(label + ":"), m)))
+        found.append(named(label, F.regexp_extract_all(text, F.lit(p), F.lit(0))))
         text = F.regexp_replace(text, p, MARK)
     return F.concat(*found)
 

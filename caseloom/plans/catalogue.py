@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems, stats_queries
+from . import grader_queries, problems, stats_queries, text_queries
 
-MODULES = (stats_queries, problems)
+MODULES = (stats_queries, text_queries, grader_queries, problems)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
