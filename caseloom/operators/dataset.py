@@ -116,11 +116,13 @@ def greedy_balance(contracts: DataFrame, types: Sequence[str], prefer_multi: boo
     return small.groupBy("__one").applyInArrow(choose, "i int, contract string, category string, absent boolean")
 
 
-def seeded_order(items: DataFrame, key: str, order: Sequence[str], seed: int = SHUFFLE_SEED) -> DataFrame:
+def seeded_order(items: DataFrame, key: str, order: Sequence[str], seed: int = SHUFFLE_SEED, limit: int = MAX_CONTRACTS) -> DataFrame:
     """items with `place`: their place after a seeded shuffle of them in the given order. The permutation runs over indexes
-    only, on the driver; the items are numbered and joined."""
-    numbered = items.select(key, *[c for c in order if c != key]).withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).select(key, "__i")
+    only, on the driver; the items are numbered and joined. More than `limit` items are an error."""
     n = items.count()
+    if n > limit:
+        raise ValueError(f"more than {limit} items")
+    numbered = items.select(key, *[c for c in order if c != key]).withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).select(key, "__i")
     places = items.sparkSession.createDataFrame([(int(i), p) for p, i in enumerate(permutation(n, seed))], "__i int, place int")
     return items.join(numbered.join(places, "__i").drop("__i"), key)
 
