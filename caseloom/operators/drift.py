@@ -101,11 +101,12 @@ def _profile(members: DataFrame, keys: list[str]) -> DataFrame:
     Names (words with a capital) become X and long numbers their count of digits, so the profile tells the form of the
     content from the single values; member names inside objects are tokens as well.
     """
-    words = F.expr(r"regexp_extract_all(value, '[\\p{L}]+|[0-9]+', 0)")
+    words = F.expr(r"regexp_extract_all(value, '[\\p{L}_]+|[0-9]+', 0)")
     mask = F.transform(words, lambda w: F.when(w.rlike(r"^\p{Lu}\p{Ll}+$"), F.lit("X")).when(w.rlike("^[0-9]{3,}$"), F.concat(F.lit("#"), F.length(w))).otherwise(w))
     tokens = members.where("kind is not null").select(*keys, "kind", F.explode(mask).alias("token"))
     counted = tokens.groupBy(*keys, "kind", "token").count()
-    return counted.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(*keys, "kind"))).drop("count")
+    whole = Window.partitionBy(*keys, "kind")
+    return counted.withColumn("share", F.col("count") / F.sum("count").over(whole)).withColumn("telling", F.count_if(F.col("token") != "X").over(whole)).drop("count")
 
 
 def changes(raw: DataFrame, min_similarity: float = 0.4) -> DataFrame:
@@ -115,7 +116,7 @@ def changes(raw: DataFrame, min_similarity: float = 0.4) -> DataFrame:
     retyped), new_member (of a rename), old_kind, new_kind. A file counts as the set of its readable lines, so lines that
     were loaded twice or late change nothing; a file without any readable line has no members. A member is renamed when
     it is gone, another of the same scope is new, both have a common kind of value and the overlap of their contents'
-    profiles is at least min_similarity; each side takes part in one rename at most, the most similar pair first (mutual
+    profiles is at least min_similarity (of the shares of their tokens, or of the smaller one's distinct tokens); each side takes part in one rename at most, the most similar pair first (mutual
     best; ties by name). Two kinds of value on either side are retyped when the sets of kinds differ.
     """
     file = ["collector", "kind", "seq"]
@@ -143,9 +144,9 @@ def changes(raw: DataFrame, min_similarity: float = 0.4) -> DataFrame:
     content = flat.join(sides, ["collector", "file_kind", "seq", "scope", "member"])
     prof = _profile(content.select("collector", "file_kind", "at", "scope", "side", "member", "kind", "value"), ["collector", "file_kind", "at", "scope", "side", "member"])
     place = ["collector", "file_kind", "at", "scope"]
-    a = prof.where("side = 'removed'").select(*place, F.col("member").alias("old"), "kind", "token", F.col("share").alias("p"))
-    b = prof.where("side = 'added'").select(*place, F.col("member").alias("new"), "kind", "token", F.col("share").alias("q"))
-    similar = a.join(b, [*place, "kind", "token"]).groupBy(*place, "old", "new").agg(F.sum(F.least("p", "q")).alias("similarity")).where(F.col("similarity") >= min_similarity)
+    a = prof.where("side = 'removed'").select(*place, F.col("member").alias("old"), "kind", "token", F.col("share").alias("p"), F.col("telling").alias("n"))
+    b = prof.where("side = 'added'").select(*place, F.col("member").alias("new"), "kind", "token", F.col("share").alias("q"), F.col("telling").alias("m"))
+    similar = a.join(b, [*place, "kind", "token"]).groupBy(*place, "old", "new").agg(F.greatest(F.sum(F.least("p", "q")), F.coalesce(F.try_divide(F.count_if(F.col("token") != "X") * 0.9, F.max(F.least("n", "m"))), F.lit(0.0))).alias("similarity")).where(F.col("similarity") >= min_similarity)
     best_new = F.row_number().over(Window.partitionBy(*place, "old").orderBy(F.desc("similarity"), "new"))
     best_old = F.row_number().over(Window.partitionBy(*place, "new").orderBy(F.desc("similarity"), "old"))
     pairs = similar.withColumn("r1", best_new).withColumn("r2", best_old).where("r1 = 1 and r2 = 1").select(*place, "old", "new")
