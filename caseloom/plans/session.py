@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session: Python workers then need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_caseloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="caseloom-"), "caseloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(archive)  # the driver serves it from here
+    sc._caseloom_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in spark.checkpoint.dir; set one only where none is set (tests)."""
     sc = spark.sparkContext
