@@ -216,7 +216,7 @@ def padded_id(prefix: Column | str, n: Column | str) -> Column:
 
 def word_count(s: Column | str) -> Column:
     """Words between white space."""
-    return F.size(F.filter(F.split(_c(s), rf"{WS}+"), lambda x: x != ""))
+    return F.regexp_count(_c(s), F.lit(f"{NOT_WS}+"))
 
 
 def split_count(s: Column | str) -> Column:
@@ -276,4 +276,6 @@ def has_run(claim: Column | str, text: Column | str, k: int) -> Column:
     words = F.split(normalize_words(claim), " ")
     n = F.size(words) - k + 1
     runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
-    return F.when(n < 1, F.lit(False)).otherwise(F.exists(runs, lambda r: F.contains(normalize_words(text), r)))
+    # the text is bound once: an expression inside a lambda would be worked out for every run
+    inside = F.exists(F.array(normalize_words(text)), lambda t: F.exists(runs, lambda r: F.contains(t, r)))
+    return F.when(n < 1, F.lit(False)).otherwise(inside)

@@ -31,13 +31,15 @@ def passage_bounds(text: Column | str, words: int = PASSAGE_WORDS) -> Column:
     """
     text = F.col(text) if isinstance(text, str) else text
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?:.*?[.!?]+{WS}+|.+\z)"), F.lit(0))
-    # a piece that ends inside the text ends a sentence; the last one may not
+    # every piece but perhaps the last ends a sentence, and whether a passage ends with the last makes no difference
+    # lengths and words are worked out once: an expression inside a fold is repeated wherever its value is used
+    pieces = F.transform(pieces, lambda p: F.struct(F.length(p).alias("len"), word_count(p).alias("words")))
     state = F.struct(F.lit(0).alias("start"), F.lit(0).alias("at"), F.lit(0).alias("words"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
     def step(s: Column, p: Column) -> Column:
-        at = s["at"] + F.length(p)
-        n = s["words"] + word_count(p)
-        cut = (n >= words) & p.rlike(rf"(?s)[.!?]{WS}+\z")
+        at = s["at"] + p["len"]
+        n = s["words"] + p["words"]
+        cut = n >= words
         here = F.array(F.struct(s["start"].alias("start"), at.alias("end")))
         return F.struct(F.when(cut, at).otherwise(s["start"]).alias("start"), at.alias("at"), F.when(cut, 0).otherwise(n).alias("words"), F.when(cut, F.concat(s["out"], here)).otherwise(s["out"]).alias("out"))
 

@@ -48,8 +48,9 @@ def exact(answers: DataFrame) -> DataFrame:
 
 def str_em(answers: DataFrame) -> DataFrame:
     """Every gold short answer appears in the output; the score is the share of sub-questions answered."""
-    a = listed(answers, "str-em").where("size(qaPairs) > 0").withColumn("__out", X.normalize_answer(_text("output")))
-    missing = F.filter("qaPairs", lambda p: ~F.coalesce(F.exists(p["shortAnswers"], lambda s: F.contains(F.col("__out"), X.normalize_answer(s))), F.lit(False)))
+    a = listed(answers, "str-em").where("size(qaPairs) > 0")
+    said = F.array(X.normalize_answer(_text("output")))  # bound once for all short answers
+    missing = F.flatten(F.transform(said, lambda o: F.filter("qaPairs", lambda p: ~F.coalesce(F.exists(p["shortAnswers"], lambda s: F.contains(o, X.normalize_answer(s))), F.lit(False)))))
     a = a.withColumn("__m", missing).withColumn("__n", F.size("qaPairs"))
     found = F.col("__n") - F.size("__m")
     names = F.array_join(F.transform("__m", lambda p: F.coalesce(F.get(p["shortAnswers"], 0), F.lit(""))), " | ")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graders as G
+from .session import cut_lineage
 from .text_queries import CHOICE_SQL, answer_sql, cites_sql, label_sql, norm_sql, run_sql, sentences_sql, span_sql, tokens_sql, uncite_sql
 from .views import ANSWERS_SQL, answers, gold
 
@@ -33,7 +34,7 @@ def grd12_gold_problems(spark: SparkSession, d: str) -> DataFrame:
 
 def grd13_dispatch(spark: SparkSession, d: str) -> DataFrame:
     """Regrade: every stored answer by the graders that its case lists today."""
-    return _rounded(G.dispatch(answers(spark, d)).select("ord", "place", "grader", "pass", "score", "status"))
+    return _rounded(G.dispatch(cut_lineage(answers(spark, d))).select("ord", "place", "grader", "pass", "score", "status"))
 
 
 QUERIES |= {"grd12_gold_problems": grd12_gold_problems, "grd13_dispatch": grd13_dispatch}
