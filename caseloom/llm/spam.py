@@ -34,7 +34,9 @@ TAG = re.compile(r"#[^\W\d_]\w*|#\d+[^\W\d_]\w*")
 PRICE = re.compile(r"(?:\b(?:EUR|USD|GBP|CHF|SEK|JPY|CAD|AUD)|[€$£¥])\s?\d[\d.,]*|\d[\d.,]*\s?(?:€|\$|£|EUR|USD|GBP|CHF|SEK)(?!\w)")
 CODE = re.compile(r"\b(?=[\w./-]*\d)(?:[A-Za-z]{1,5}[-./]?\d{2,}[\w./-]*|\d{2,}[-./][A-Z]\w*)\b")
 ROW = re.compile(r"^\s*\|.*\|\s*$")
-BULLET = re.compile(r"^\s*(?:[-*•·+>]|\d+[.)])\s+")
+MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+#: A line of a form: what stands there, then its value.
+LABEL = re.compile(r"^\W*\w[\w .]{0,30}:\**\s")
 
 
 _STOP = frozenset().union(*GRAMMAR.values()) | frozenset("of for in de du des d’ à pour von für para en".split())
@@ -69,7 +71,7 @@ def profile(text: str | None) -> tuple[str | None, int, int, list[int], float |
     if not text or not text.strip():
         return None, 0, 0, [0] * BUCKETS, None
     parts = segments(text)
-    raw_of = [WORD.findall(LINK.sub(" ", p) if "/" in p or "www." in p else p) for p in parts]
+    raw_of = [WORD.findall(MAIL.sub(" ", p) if "@" in p else LINK.sub(" ", p) if "/" in p or "www." in p else p) for p in parts]
     words_of = [" ".join(ws).lower().split(" ") if ws else [] for ws in raw_of]
     everything = [w for ws in words_of for w in ws]
     counts = Counter(everything)
@@ -92,7 +94,7 @@ def profile(text: str | None) -> tuple[str | None, int, int, list[int], float |
             # the same content pair twice in a sentence, or such pairs nearly all of it
             again = len(repeated) - len(set(repeated))
             cover = min(1.0, 2 * len(repeated) / len(inner))
-            if again and cover >= 0.25 or cover >= 0.6 and (not ended or not grams):
+            if again and cover >= 0.25 or cover >= 0.6 and (not ended or not grams) and not LABEL.match(p):
                 spam += size
                 continue
         if ended and grams >= 2 and n >= 6 and not linked and grams * 8 >= n:
@@ -121,6 +123,8 @@ def profile(text: str | None) -> tuple[str | None, int, int, list[int], float |
         items = WEAK.split(p)
         lower = sum(w.islower() or len(w) > 3 and w.isupper() for w in raw) / n
         listed = len(items) >= 4 and n <= 5 * len(items)
+        if digits and not listed and LABEL.match(p):
+            continue  # a line of a form
         if lower >= 0.6 and (listed or not ended or n <= 6 and not grams) or listed and not ended or repeated and cover >= 0.3:
             # a list, or words without the end of a sentence: spam if it lacks grammar
             weak[min(BUCKETS - 1, int(grams / n * STEPS))] += size

@@ -76,19 +76,25 @@ def _piecewise(text: str, limit: int, overlap: int, reach: int) -> list[Piece]:
         high = start + limit
         floor = max(end + 1, overlap + 1)
         found = _snap(text, min(target, high), max(floor, target - reach), min(high, target + reach)) or _snap(text, high, floor, high)
+        if found is None and SPACE.match(text[high]):
+            found = high, "word"  # just before white space
         if found is None and end > 0:
             # no white space up to the limit: give up a part of the overlap
             m = SPACE.search(text, high, min(n, end + limit + 1))
             if m:
                 cut = min(m.end(), end + limit)
                 start = max(start, cut - limit)
+                if cut >= n:
+                    break
                 found = cut, "word"
             elif n - end <= limit:
                 start = n - limit
                 break
+        if found is None and end == 0:
+            found = _snap(text, overlap, 1, overlap)  # a short first piece rather than a cut inside a word
         cut, kind = found or (high, "forced")
         out.append((start, cut, kind))
-        start, end = cut - overlap, cut
+        start, end = max(cut - overlap, start + 1), cut
     out.append((start, n, "end"))
     return out
 
