@@ -117,11 +117,12 @@ def mix_documents(sized: DataFrame, targets: DataFrame, key: str, blocks: int =
 
 
 def shares_reached(mixed: DataFrame, parts: Sequence[Part], key: str) -> DataFrame:
-    """Per mix and source: the target share and the share reached, tokens wanted and given, documents, the most uses of one."""
+    """Per mix and source: the target share and the share reached, tokens wanted at the size asked for, at the size that can be
+    reached (goal) and given, documents, the largest of them, the most uses of one."""
     spark = mixed.sparkSession
-    use = mixed.groupBy("mix_id", "source").agg(F.sum("tokens").alias("tokens"), F.sum((F.col("repeat") == 1).cast("int")).alias("documents"), F.max("repeat").alias("most_uses"))
-    goal = spark.createDataFrame([(p.mix_id, p.source, p.share, p.max_repeats, p.wanted, p.supply) for p in parts], "mix_id int, source string, target_share double, max_repeats int, wanted_tokens double, source_tokens bigint")
+    use = mixed.groupBy("mix_id", "source").agg(F.sum("tokens").alias("tokens"), F.sum((F.col("repeat") == 1).cast("int")).alias("documents"), F.max("repeat").alias("most_uses"), F.max("tokens").alias("largest"))
+    goal = spark.createDataFrame([(p.mix_id, p.source, p.share, p.max_repeats, p.wanted, p.goal, p.supply) for p in parts], "mix_id int, source string, target_share double, max_repeats int, wanted_tokens double, goal_tokens double, source_tokens bigint")
     both = F.broadcast(goal).join(use, ["mix_id", "source"], "left")
     tokens = F.coalesce("tokens", F.lit(0))
     whole = F.sum(tokens).over(Window.partitionBy("mix_id"))
-    return both.select("mix_id", "source", "target_share", F.round(tokens / F.when(whole > 0, whole), 6).alias("share"), F.round("wanted_tokens", 1).alias("wanted_tokens"), tokens.alias("tokens"), "source_tokens", F.coalesce("documents", F.lit(0)).alias("documents"), "max_repeats", F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    return both.select("mix_id", "source", "target_share", F.round(tokens / F.when(whole > 0, whole), 6).alias("share"), F.round("wanted_tokens", 1).alias("wanted_tokens"), F.round("goal_tokens", 1).alias("goal_tokens"), tokens.alias("tokens"), "source_tokens", F.coalesce("documents", F.lit(0)).alias("documents"), "max_repeats", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "largest")

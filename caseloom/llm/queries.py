@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.dedupe import latest_by
 from ..plans.session import cut_lineage
@@ -88,6 +89,17 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_passages(_cases(spark, d, docs="docs")), "text", ["case_id", "passage"])
 
 
+def p2_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Per long passage: whether its pieces cover it without a gap, in order, none longer than 2,000 and none beginning more
+    than 200 characters before the end of the one before."""
+    texts = _passages(_cases(spark, d, docs="docs")).select("case_id", "passage", F.length("text").alias("n_chars"))
+    own = Window.partitionBy("case_id", "passage").orderBy("piece")
+    p = p2_pieces(spark, d).withColumn("before", F.lag("end").over(own)).join(texts, ["case_id", "passage"])
+    start = F.coalesce(F.col("start").between(F.col("before") - 200, F.col("before")) & (F.col("end") > F.col("before")), (F.col("piece") == 1) & (F.col("start") == 0))
+    fits = (F.col("end") - F.col("start") <= 2000) & (F.length("piece_text") == F.col("end") - F.col("start"))
+    return p.groupBy("case_id", "passage").agg(F.max("n_chars").alias("n_chars"), (F.min(start & fits) & (F.max("end") == F.max("n_chars"))).alias("whole"))
+
+
 # 3 broken pairs
 
 #: Where the passages of an input begin; what stands before them is the question.
@@ -194,6 +206,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares_reached(mixed, parts, "doc_id")
 
 
+def p8_within(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix and source: whether no document is used too often and the source's tokens are within one document of its goal."""
+    r = p8_shares(spark, d)
+    good = (F.col("most_uses") <= F.col("max_repeats")) & (F.abs(F.col("tokens") - F.col("goal_tokens")) <= F.coalesce("largest", F.lit(0)))
+    return r.select("mix_id", "source", good.alias("within"))
+
+
 # 9 spam
 
 
@@ -208,7 +227,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p3_found, p6_found, p6_links, p6_shares, p7_packed, p7_report, p7_whole, p8_mixed, p8_shares, p9_found, p9_scores)
+    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p2_whole, p3_found, p6_found, p6_links, p6_shares, p7_packed, p7_report, p7_whole, p8_mixed, p8_shares, p8_within, p9_found, p9_scores)
 }
 
 _LATEST = "(SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY ord ORDER BY loaded_at DESC) = 1)"
@@ -219,6 +238,9 @@ ORACLE: dict[str, str] = {
                    UNION ALL SELECT run.system, 'costUsd', run.costUsd FROM {_LATEST})
         SELECT system, metric, q, count(v) AS n, TRUE AS within_error
         FROM m, (VALUES (CAST(0.5 AS DOUBLE)), (0.9), (0.95), (0.99)) t(q) GROUP BY ALL HAVING count(v) > 0""",
+    "p2_whole": """SELECT id AS case_id, CAST(passage AS INTEGER) AS passage, CAST(length(docs[passage].text) AS INTEGER) AS n_chars, TRUE AS whole
+        FROM (SELECT id, docs, unnest(generate_series(1, len(docs))) AS passage FROM (SELECT * FROM public_cases QUALIFY row_number() OVER (PARTITION BY id ORDER BY imported_at DESC) = 1)) WHERE length(docs[passage].text) > 2000""",
+    "p8_within": "SELECT mix_id, source, TRUE AS within FROM mix_targets",
     "p7_whole": "SELECT spec_id, (SELECT count(*) FROM documents) AS documents, TRUE AS whole, TRUE AS within_capacity FROM pack_specs",
     "p2_found": r"""
         WITH c AS (SELECT * FROM public_cases QUALIFY row_number() OVER (PARTITION BY id ORDER BY imported_at DESC) = 1),
