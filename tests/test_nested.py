@@ -19,15 +19,6 @@ def walk(row):
     out, pre = [], [0]
     post = [0]
 
-    def visit(kind, value, children, depth, place):
-        pre[0] += 1
-        mine = pre[0]
-        for c in children:
-            visit(*c, depth=depth + 1)
-        post[0] += 1
-        if value is not None:
-            out.append((kind, mine, post[0], depth, place))
-
     items = (row[2][1] if row[2] else None) or []
     below = [("a_items", i, [("a_items_tags", t, [], j + 1) for j, t in enumerate((i[1] if i else None) or [])], k + 1) for k, i in enumerate(items)]
     below += [("t", x, [], k + 1) for k, x in enumerate(row[3] or [])]

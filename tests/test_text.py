@@ -63,13 +63,13 @@ def test_longest_run(spark):
 def test_scrub(spark):
     s = "a.b@c.example.org, +1 555 010 0199; 10.0.0.1 x 2001:db8:1:2:3:4:5:6"
     assert one(spark, X.scrub("s"), s=s) == "[REDACTED], [REDACTED]; [REDACTED] x [REDACTED]"
-    assert [f.split(":")[0] for f in one(spark, X.scrub_findings("s"), s=s)] == ["email", "phone", "ipv4", "ipv6"] or one(spark, X.scrub_findings("s"), s=s)
+    assert [f.split(":")[0] for f in one(spark, X.scrub_findings("s"), s=s)] == ["email", "phone", "ipv4", "ipv6"]
     assert one(spark, X.scrub_items("s", "i"), s="Ann  Lee, ann lee.", i=["Ann Lee", " ", "$1"]) == "[REDACTED], [REDACTED]."
     assert one(spark, X.remove_spans("s", "i"), s="abab c", i=["ab", ""]) == "   c"
 
 
 def test_parsers(spark):
-    assert one(spark, X.bracketed_list("s"), s='Sure: ["Ann", "x", 3, "Ann"] ok') == ["Ann"] or True
+    assert one(spark, X.bracketed_list("s"), s='Sure: ["Ann", "x", 3, "Ann"] ok') == ["Ann"]
     assert one(spark, X.bracketed_list("s"), s="none") == []
     assert one(spark, X.bare_lines("s"), s='- "a b"\n\n[2] c\nNone\n3) d') == ["a b", "c", "d"]
     assert [(q.passage, q.text) for q in one(spark, X.quote_lines("s"), s=' [3] "x y" \nno\n[1]z')] == [(2, "x y"), (0, "z")]
@@ -85,6 +85,5 @@ def test_numbers(spark):
         want.append(state)
     assert lcg_states(300).tolist() == want
     assert sorted(permutation(50)) == list(range(50)) and permutation(50) == permutation(50) and permutation(0) == [] and permutation(1) == [0]
-    assert one(spark, half_up(F.lit(-2.5))) == -2 if False else True
     row = spark.range(1).select(half_up(F.lit(-2.5)).alias("a"), half_up(F.lit(2.5)).alias("b"), points(F.lit(-0.126)).alias("c"), grade_cell(F.lit(0.5), F.lit(0.75)).alias("d"), grade_cell(F.lit(0.5), F.lit(0.5)).alias("e")).first()
     assert (row.a, row.b, row.c, row.d, row.e) == (-2, 3, "−13", "50% (avg 75%)", "50%")
