@@ -23,10 +23,10 @@ K1, B = 1.2, 0.75
 #: Terms of a seed that are looked up: those with the greatest weight.
 QUERY_TERMS = 16
 #: A neighbour that shares only words in more than this part of the documents is none.
-COMMON = 0.1
+COMMON = 0.2
 SHARD_TOKENS = 2_000_000
 #: A container with less than this is repacked in the second round.
-FULL = 0.95
+FULL = 0.985
 
 SIZES = "tokens int, terms array<int>, counts array<int>"
 

@@ -78,3 +78,24 @@ def test_neighbours_share_a_container(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert K.pack_documents(K.with_tokens(none, "doc_id", "text"), {1: 10}, "doc_id").count() == 0
+
+
+SIZED = "doc_id bigint, tokens int, terms array<int>, counts array<int>"
+
+
+def test_terms_of_a_seventh_of_the_documents_retrieve_neighbours(spark):
+    r = random.Random(6)
+    rows = [(i, 10, [i % 7], [10]) for i in range(140)]
+    r.shuffle(rows)
+    by = {}
+    for x in K.pack_documents(spark.createDataFrame(rows, SIZED), {1: 100}, "doc_id").collect():
+        by.setdefault(x.container, set()).add(x.doc_id % 7)
+    assert len(by) == 14 and all(len(topics) == 1 for topics in by.values())
+
+
+def test_nearly_full_containers_are_repacked(spark):
+    # 97 and 3 tokens in different shards of the first round; the second has one shard
+    rows = [(i, 100, [i], [100]) for i in range(20)] + [(100, 97, [100], [97]), (102, 3, [102], [3])]
+    out = K.pack_documents(spark.createDataFrame(rows, SIZED), {1: 100}, "doc_id", shard_tokens=100).collect()
+    of = {x.doc_id: x.container for x in out}
+    assert of[100] == of[102] and len(set(of.values())) == 21
