@@ -349,10 +349,68 @@ def _bands(tokens: list[str]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) - 2**63 for i, row in enumerate(low)]
 
 
+def bucket_links(sets: list[set]) -> Iterator[tuple[int, int]]:
+    """Verified links (later, earlier) between the sets of one bucket; their components are those of all pairs that are
+    similar enough.
+
+    Each set belongs to a leader that it resembles. The Jaccard distance is a metric, so what is more than twice the
+    allowed distance from a leader resembles none of its followers; between that, all followers are compared, unless a
+    link joined them already.
+    """
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    stars: list[list[int]] = []  # the leader first
+    for i, s in enumerate(sets):
+        led = False
+        for star in stars:
+            if find(star[0]) == find(i):
+                continue
+            both, n = len(s & sets[star[0]]), len(s) + len(sets[star[0]])
+            other = None
+            if both >= SIMILARITY * (n - both):
+                other = star[0]
+                if not led:
+                    star.append(i)
+                    led = True
+            elif both >= (2 * SIMILARITY - 1 - 1e-9) * (n - both):
+                other = next((j for j in star[1:] if (c := len(s & sets[j])) >= SIMILARITY * (len(s) + len(sets[j]) - c)), None)
+            if other is not None:
+                root[find(i)] = find(other)
+                yield i, other
+        if not led:
+            stars.append([i])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, root: the nodes of links (a, b; b < a) that are not the least of their connected component, with that least one.
+
+    Large stars and small stars in turn: every node's neighbours are tied to the least of them, until only stars are left.
+    """
+    edges = cut_lineage(links.where("a != b").distinct())
+    while True:
+        down = edges.groupBy("a").agg(F.count("*").alias("n"))
+        tied = down.where("n > 1").select("a").unionByName(down.select("a").join(edges.select(F.col("b").alias("a")).hint("merge"), "a", "left_semi"))
+        if tied.isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least.hint("merge"), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut_lineage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+
+
 def clusters(openings: DataFrame) -> DataFrame:
-    """opening, cluster: each distinct opening with the least opening of a MinHash bucket that it is verified to resemble.
+    """opening, cluster: each distinct opening with the least opening of its cluster, maybe itself.
 
-    Openings meet only the least one of each bucket, so the work grows with the openings, however full a bucket is.
+    Clusters are the connected components of all pairs of openings that share a MinHash bucket and are verified to be
+    similar enough.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,18 +418,26 @@ def clusters(openings: DataFrame) -> DataFrame:
             texts = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_bands(t.split(" ")) for t in texts], pa.list_(pa.int64()))], ["opening", "bands"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                p, q = shingles(x.split(" ")), shingles(y.split(" "))
-                keep.append(len(p & q) >= SIMILARITY * len(p | q))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    signed = openings.select("opening").mapInArrow(sign, "opening string, bands array<bigint>").select("opening", F.explode("bands").alias("band"))
-    least = signed.groupBy("band").agg(F.min("opening").alias("cluster"))
-    near = signed.join(least.hint("merge"), "band").select("opening", "cluster").distinct().mapInArrow(verify, "opening string, cluster string")
-    return near.groupBy("opening").agg(F.min("cluster").alias("cluster"))
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(bucket: list[str]) -> pa.RecordBatch:
+            pairs = [(bucket[i], bucket[j]) for i, j in bucket_links([shingles(t.split(" ")) for t in bucket])]
+            return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.string()), pa.array([min(p) for p in pairs], pa.string())], ["a", "b"])
+
+        band, bucket = None, []
+        for b in batches:  # a bucket may go on in the next batch
+            for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if own != band:
+                    if len(bucket) > 1:
+                        yield linked(bucket)
+                    band, bucket = own, []
+                bucket.append(text)
+        if len(bucket) > 1:
+            yield linked(bucket)
+
+    signed = openings.select("opening").mapInArrow(sign, "opening string, bands array<bigint>").select(F.explode("bands").alias("band"), "opening")
+    links = signed.repartition("band").sortWithinPartitions("band", "opening").mapInArrow(link, "a string, b string")
+    roots = components(links)
+    return openings.select("opening").join(roots.withColumnRenamed("node", "opening").hint("merge"), "opening", "left").select("opening", F.coalesce("root", "opening").alias("cluster"))
 
 
 def defects(seen: DataFrame, least: int = 3) -> DataFrame:

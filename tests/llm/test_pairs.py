@@ -1,5 +1,7 @@
 """Defects of responses, one by one and through the clusters of openings."""
 
+import random
+
 import pytest
 
 from caseloom.llm import pairs as P
@@ -79,3 +81,56 @@ def test_clusters_are_verified(spark):
     df = spark.createDataFrame([(base,), (near,), ("one two three four five six",)], "opening string")
     c = {r.opening: r.cluster for r in P.clusters(df).collect()}
     assert len(c) == 3 and c[near] == min(base, near) and c["one two three four five six"] == "one two three four five six"
+
+
+def _parts(nodes, links):
+    """Connected components, the plain way: each node with the least of its component."""
+    of = {n: n for n in nodes}
+    while True:
+        less = [(max(of[a], of[b]), min(of[a], of[b])) for a, b in links if of[a] != of[b]]
+        if not less:
+            return of
+        for big, small in less:
+            of = {n: small if r == big else r for n, r in of.items()}
+
+
+def _similar(a, b):
+    p, q = P.shingles(a.split(" ")), P.shingles(b.split(" "))
+    return len(p & q) >= P.SIMILARITY * len(p | q)
+
+
+def _template_family(n, seed):
+    r = random.Random(seed)
+    body = " ".join(f"w{i}" for i in range(14))
+    return sorted({f"{r.choice('abcdefgh')} {body} {r.choice('klmnopqr')}" for _ in range(n)})
+
+
+def test_links_of_a_bucket_join_what_brute_force_joins():
+    for seed in range(20):
+        r = random.Random(seed)
+        texts = _template_family(30, seed) + [" ".join(r.choices("xyz", k=r.randint(1, 16))) for _ in range(20)]
+        texts = sorted(set(texts))
+        r.shuffle(texts)
+        found = list(P.bucket_links([P.shingles(t.split(" ")) for t in texts]))
+        assert all(_similar(texts[i], texts[j]) for i, j in found)
+        every = [(a, b) for k, a in enumerate(texts) for b in texts[k + 1 :] if _similar(a, b)]
+        assert _parts(texts, [(texts[i], texts[j]) for i, j in found]) == _parts(texts, every)
+
+
+def test_components(spark):
+    r = random.Random(3)
+    for n, m in ((60, 50), (40, 80)):
+        links = [tuple(sorted(r.sample(range(n), 2), reverse=True)) for _ in range(m)] + [(k + 1, k) for k in range(100, 140)]
+        out = {x.node: x.root for x in P.components(spark.createDataFrame(links, "a int, b int")).collect()}
+        want = _parts({x for l in links for x in l}, links)
+        assert out == {k: v for k, v in want.items() if k != v}
+
+
+def test_variants_of_a_template_are_one_cluster_and_strangers_their_own(spark):
+    # variants that differ at both ends resemble each other only through others
+    family = _template_family(40, 1)
+    strangers = ["one two three four five six", "alone"]
+    df = spark.createDataFrame([(x,) for x in family + strangers], "opening string")
+    c = {r.opening: r.cluster for r in P.clusters(df).collect()}
+    assert c == {**dict.fromkeys(family, min(family)), **{x: x for x in strangers}}
+    assert P.clusters(df.where("false")).count() == 0
