@@ -4,7 +4,8 @@ Every response is looked at once beside its case (the case's language and questi
 long enough to give it back): has it answer text of its own, does it give back the prompt, which language are its own words
 in, does it end, does it speak of declining. The openings of all responses (names and numbers masked) are then clustered
 by MinHash over five-word shingles, each link verified by the exact similarity: a template that recurs across unrelated
-prompts and whose members mostly decline is a refusal, also for members whose own wording doesn't show it.
+prompts is a refusal if most of its members decline in their wording or else say nothing of their own case (not one content
+word of its question and input, no defect, no answer), also for members whose own wording doesn't show it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import cut_lineage
-from .lang import WORDS, evidence, language
+from .lang import LANGUAGES_OF, WORDS, evidence, language
 
 SHINGLE, SIMILARITY, OPENING = 5, 0.8, 16
 BANDS, ROWS = 8, 4
@@ -92,6 +93,10 @@ DECLINES = re.compile(
 CUES = frozenset(
     "i we my our me us i'm i'd i'll i've we're we'd we've policy answer help advice opinion comment response not je j'ai mes nos m'est m'interdit m'appartient moi ich wir mir meine meinen meiner unsere für puedo podemos debo voy es tengo prefiero me mis rechazo declino está posso possibile rifiuto preferisco regole não recuso prefiro regras ik mijn can't".split()
 )
+#: What speaks of the material or of something missing there is an answer ("there is no such clause"), however often it recurs.
+MATERIAL = re.compile(r"\b(?:claus|contra[ct]|kontrakt|agreement|vertrag|vereinbarung|accord\b|acuerdo|passage|pasaje|document|dokument|text|provision|disposi|bestimmung|klausel|cláusula|section|abschnitt|article|artikel|artículo|part(?:y|ies|ei|ie|e)\b|evidence|according|selon|laut\b|según|mention|stated?\b)", re.I)
+#: Content words that a response needs so that none of them being its case's tells something.
+TELLING = 3
 PLACE = re.compile(r"[\[<({][^\[\]<>(){}\n]{1,60}[\]>)}]|\*{2,}\w*|_{3,}\w*|█+|#{3,}|X{3,}\b")
 
 
@@ -274,7 +279,7 @@ def opening(text: str) -> str:
     return " ".join(found[:OPENING]).replace("’", "'")
 
 
-SEEN = "defect string, cue boolean, grounded boolean, opening string"
+SEEN = "defect string, cue boolean, grounded boolean, opening string, apart boolean"
 
 
 def look(output: str | None, question: str | None, prompt: str | None, instructions: str | None, choices: list[str] | None, allowed: str, rewrite: bool) -> tuple[str | None, bool, bool, str | None]:
@@ -319,23 +324,40 @@ def look(output: str | None, question: str | None, prompt: str | None, instructi
     return "truncated" if broken else None, cue, grounded, head
 
 
+def speaks_apart(output: str, choices: list[str] | None, *case: str | None) -> bool:
+    """Whether a response has content words but none of its case's texts, names none of its choices, and doesn't speak of the
+    material either."""
+    text = answer_text(output)[0]
+    if any(re.search(rf"(?<!\w){re.escape(c.strip())}(?!\w)", text) for c in choices or [] if c and c.strip()):
+        return False
+    given = " ".join(t for t in case if t).replace("’", "'").lower()
+    content = {w for w in words(text) if len(w) >= 4 and w.isalpha() and w not in LANGUAGES_OF}
+    return len(content) >= TELLING and bool(given) and not any(w in given for w in content) and MATERIAL.search(text) is None
+
+
 def responses(pairs: DataFrame) -> DataFrame:
-    """key, case_id, topic and what `look` sees of every response.
+    """key, case_id, topic and what `look` sees of every response, and whether a sound one speaks apart from its case.
 
     pairs: key, case_id, topic, output, question, prompt (NULL where the response is too short to give it back),
-    instructions, choices, allowed (languages), rewrite.
+    instructions, choices, allowed (languages), rewrite; and, if there, source: the whole input (NULL where the response
+    cites it).
     """
     kind = pairs.schema["key"].dataType.simpleString()
     columns = ["output", "question", "prompt", "instructions", "choices", "allowed", "rewrite"]
+    source = F.col("source") if "source" in pairs.columns else F.lit(None).cast("string").alias("source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [look(*r) for r in zip(*(b.column(i + 3).to_pylist() for i in range(len(columns))))]
-            cols = list(zip(*rows)) or [()] * 4
-            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["key", "case_id", "topic", "defect", "cue", "grounded", "opening"])
+            rows = []
+            for *r, given in zip(*(b.column(i + 3).to_pylist() for i in range(len(columns) + 1))):
+                defect, cue, grounded, head = look(*r)
+                apart = defect is None and not cue and not grounded and bool(head) and speaks_apart(r[0], r[4], r[1], r[2], given)
+                rows.append((defect, cue, grounded, head, apart))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["key", "case_id", "topic", "defect", "cue", "grounded", "opening", "apart"])
 
-    return pairs.select("key", "case_id", "topic", *columns).mapInArrow(run, f"key {kind}, case_id string, topic string, {SEEN}")
+    return pairs.select("key", "case_id", "topic", *columns, source).mapInArrow(run, f"key {kind}, case_id string, topic string, {SEEN}")
 
 
 _hash = np.random.default_rng(5).integers(1, 2**61, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -444,10 +466,10 @@ def defects(seen: DataFrame, least: int = 3) -> DataFrame:
     """key, defect: responses with a defect, from what `responses` saw.
 
     A refusal declines and answers nothing, or its opening belongs to a cluster of at least `least` responses from different
-    cases and topics, most of which decline. An empty response has no opening and is empty.
+    cases and topics, most of which decline or speak apart from their cases. An empty response has no opening and is empty.
     """
     openings = seen.where("opening is not null and opening != ''")
-    declining = F.col("cue") & ~F.col("grounded")
+    declining = F.col("cue") & ~F.col("grounded") | F.col("apart")
     each = openings.groupBy("opening").agg(
         F.count("*").alias("n"), F.sum(declining.cast("int")).alias("declined"), F.min("case_id").alias("c0"), F.max("case_id").alias("c1"), F.min("topic").alias("t0"), F.max("topic").alias("t1")
     )

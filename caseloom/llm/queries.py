@@ -122,6 +122,7 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
     told = cases.select("case_id", "question", "input").mapInArrow(_languages, "case_id string, allowed string")
     both = out.join(cases.join(told, "case_id"), "case_id")
     long = F.length("output") >= 0.5 * F.length("input")
+    both = both.withColumn("source", F.when(~F.col("output").rlike(r"\[\s*[0-9]"), F.col("input")))
     return both.withColumn("prompt", F.when(long, F.col("input"))).withColumn("instructions", F.when(long, F.col("instructions")))
 
 

@@ -134,3 +134,28 @@ def test_variants_of_a_template_are_one_cluster_and_strangers_their_own(spark):
     c = {r.opening: r.cluster for r in P.clusters(df).collect()}
     assert c == {**dict.fromkeys(family, min(family)), **{x: x for x in strangers}}
     assert P.clusters(df.where("false")).count() == 0
+
+
+def test_recurrence_reveals_refusals_of_unknown_wording(spark):
+    asks = ["Who paid for the bridge near Alton?", "When was the mill sold?", "Which fee falls due in May?"]
+    lines = {
+        "unknown": "Matters like yours exceed whatever gets handled around here, kindly seek somebody qualified elsewhere.",
+        "missing": "There is no such clause anywhere among those pages, regardless how carefully somebody looks through everything.",
+    }
+    rows = [(100 * k + i, f"c{i}", f"t{i % 3}", text, asks[i % 3], None, None, None, "en", False) for k, text in enumerate(lines.values()) for i in range(6)]
+    # recurring words, each time with the case's own
+    rows += [(300 + i, f"c{i}", f"t{i % 3}", f"Everything considered together and weighed carefully over again, that would probably be {('the bridge', 'the mill', 'the fee')[i % 3]} near Alton.", asks[i % 3], None, None, None, "en", False) for i in range(6)]
+    # reasoning that ends in a label
+    rows += [(500 + i, f"c{i}", f"t{i % 3}", "Everything considered together and weighed carefully over again, somebody qualified would conclude this makes it No.", asks[i % 3], None, None, ["Yes", "No"], "en", False) for i in range(6)]
+    # the same wording for one topic only
+    rows += [(400 + i, f"d{i}", "t0", "Whatever seems plausible remains doubtful until somebody qualified looks thoroughly into everything again.", asks[0], None, None, None, "en", False) for i in range(6)]
+    seen = P.responses(spark.createDataFrame(rows, DDL))
+    assert not seen.where("cue").count()
+    assert {r.key: r.defect for r in P.defects(seen).collect()} == dict.fromkeys(range(6), "refusal")
+
+
+def test_words_of_the_whole_input_count(spark):
+    text = "Matters like yours exceed whatever gets handled around here, kindly seek somebody qualified elsewhere."
+    rows = [(i, f"c{i}", f"t{i % 3}", text, "Who paid?", None, None, None, "en", False, "They seek somebody qualified for the town." if i % 2 else "The mill was sold.") for i in range(6)]
+    seen = P.responses(spark.createDataFrame(rows, DDL + ", source string"))
+    assert {r.key: r.apart for r in seen.collect()} == {i: i % 2 == 0 for i in range(6)}
