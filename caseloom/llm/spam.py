@@ -4,8 +4,9 @@ A text is read in segments (lines, and within lines sentences). Each segment is
 share of its text in links, the density of separators between short items, prices and item codes, repetition of the same
 content words and word pairs (inside the segment and over the whole text), and missing grammar words. The last sign is
 calibrated per language: a segment lacks grammar when its share of grammar words is below a fraction of what sentences of
-that language have in the corpus at hand, measured over all documents in the first of two steps. A document is spam when
-more than half of its characters lie in such segments.
+that language have in the corpus at hand, measured over all documents in the first of two steps. Sound sentences are held against the whole text: lines that come
+again and again, and pairs of content words that make up an unusual share of it, both measured against what is usual in the
+language. A document is spam when more than half of its characters lie in such segments.
 """
 
 from __future__ import annotations
@@ -25,6 +26,13 @@ BUCKETS = 25
 #: Grammar shares are kept in steps of 1 / STEPS; the last bucket holds all larger ones.
 STEPS = 50
 
+#: A line or pair that comes less often than this in a text is no repetition.
+AGAIN = 3
+#: A repeated line is spam beyond this share of the text's lines, and a pair of content words beyond this share of its words
+#: (and beyond so many times what nine in ten documents of the language stay within); never more than the second number is
+#: asked, for a language whose documents are mostly such pages.
+LINE_SHARE, PAIR_SHARE, PAIR_TIMES, USUAL = (0.5, 0.8), (0.1, 0.15), 5.0, 0.9
+
 LINK = re.compile(r"(?:https?://|www\.)[^\s)\]>]+|(?<![@\w])[\w-]+(?:\.[\w-]+)+/[^\s)\]>]*|<a\b[^>]*>|(?<=\]\()[^)\s]+\)")
 SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+(?=[^a-zß-öø-ÿ\s])")
 END = re.compile(r"[.!?。！？][\"'”’»)\]]*(?:\s*\[\d+\])*\s*$")
@@ -65,11 +73,12 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def profile(text: str | None) -> tuple[str | None, int, int, list[int], float | None]:
+def profile(text: str | None) -> tuple[str | None, int, int, list[int], float | None, list[tuple[float, float, int]], float, float]:
     """Of a text: language, characters in segments, characters in segments that are spam whatever their grammar, characters
-    by grammar share of segments that are spam if they lack grammar, and the mean grammar share of its sentences."""
+    by grammar share of segments that are spam if they lack grammar, the mean grammar share of its sentences, characters of
+    its sentences by the share of their line and of their pair, and the largest such shares."""
     if not text or not text.strip():
-        return None, 0, 0, [0] * BUCKETS, None
+        return None, 0, 0, [0] * BUCKETS, None, [], 0.0, 0.0
     parts = segments(text)
     raw_of = [WORD.findall(MAIL.sub(" ", p) if "@" in p else LINK.sub(" ", p) if "/" in p or "www." in p else p) for p in parts]
     words_of = [" ".join(ws).lower().split(" ") if ws else [] for ws in raw_of]
@@ -79,10 +88,16 @@ def profile(text: str | None) -> tuple[str | None, int, int, list[int], float |
     lang = max(grammar, key=lambda x: (grammar[x], x)) if any(grammar.values()) else None
     own = GRAMMAR[lang or "en"]
     hot = _hot([w for w in everything if w not in _INNER], counts)
+    lines = Counter(p.strip().lower() for p in parts)
+    # pairs inside a segment; a pair of the same word twice is none
+    pair_of = [{x for x in zip(ws, ws[1:]) if x[0] != x[1]} for ws in ([w for w in ws if w not in _STOP] for ws in words_of)]
+    pairs = Counter(x for own_pairs in pair_of for x in own_pairs)
+    top_line, top_pair = max(lines.values(), default=0), max(pairs.values(), default=0)
+    repeats: Counter = Counter()
     total = spam = 0
     weak = [0] * BUCKETS
     shares = []
-    for p, raw, ws in zip(parts, raw_of, words_of):
+    for p, raw, ws, own_pairs in zip(parts, raw_of, words_of, pair_of):
         size, n = len(p), len(ws)
         total += size
         grams = sum(w in own for w in ws)
@@ -99,6 +114,10 @@ def profile(text: str | None) -> tuple[str | None, int, int, list[int], float |
                 continue
         if ended and grams >= 2 and n >= 6 and not linked and grams * 8 >= n:
             shares.append(grams / n)
+            c, k = lines[p.strip().lower()], max((pairs[x] for x in own_pairs), default=0)
+            line, pair = c / len(parts) if c >= AGAIN else 0.0, k / len(everything) if k >= AGAIN else 0.0
+            if (line > LINE_SHARE[0] or pair > PAIR_SHARE[0]) and not LABEL.match(p):
+                repeats[line, pair] += size
             continue
         if linked and (links := LINK.findall(p)):
             rest = size - sum(map(len, links))
@@ -128,10 +147,11 @@ def profile(text: str | None) -> tuple[str | None, int, int, list[int], float |
         if lower >= 0.6 and (listed or not ended or n <= 6 and not grams) or listed and not ended or repeated and cover >= 0.3:
             # a list, or words without the end of a sentence: spam if it lacks grammar
             weak[min(BUCKETS - 1, int(grams / n * STEPS))] += size
-    return lang, total, spam, weak, (sum(shares) / len(shares) if shares else None)
+    tops = (top_line / len(parts) if top_line >= AGAIN else 0.0, top_pair / max(1, len(everything)) if top_pair >= AGAIN else 0.0)
+    return lang, total, spam, weak, (sum(shares) / len(shares) if shares else None), [(*k, v) for k, v in repeats.items()], *tops
 
 
-SCHEMA = "lang string, total int, spam int, weak array<int>, grammar double"
+SCHEMA = "lang string, total int, spam int, weak array<int>, grammar double, repeats array<struct<line double, pair double, size int>>, top_line double, top_pair double"
 
 
 def spam_scores(documents: DataFrame, key: str, text: str, fraction: float = 0.4) -> DataFrame:
@@ -141,19 +161,27 @@ def spam_scores(documents: DataFrame, key: str, text: str, fraction: float = 0.4
     have in documents of its language. NULL, empty and blank texts have the share 0. A repeated row comes out repeatedly.
     """
     kind = documents.schema[key].dataType.simpleString()
-    names = [key, "lang", "total", "spam", "weak", "grammar"]
+    names = [key, "lang", "total", "spam", "weak", "grammar", "repeats", "top_line", "top_pair"]
+    repeated = pa.list_(pa.struct([("line", pa.float64()), ("pair", pa.float64()), ("size", pa.int32())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [profile(t) for t in b.column(1).to_pylist()]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.float64())], names)
+            cols = list(zip(*rows)) or [()] * 8
+            again = pa.array([[dict(zip(("line", "pair", "size"), x)) for x in r] for r in cols[5]], repeated)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.float64()), again, pa.array(cols[6], pa.float64()), pa.array(cols[7], pa.float64())], names)
 
     seen = cut_lineage(documents.select(key, text).mapInArrow(read, f"`{key}` {kind}, {SCHEMA}"))
     # a row per language: a handful, whatever the size of the corpus
-    usual = seen.where("lang is not null and grammar is not null").groupBy("lang").agg(F.percentile_approx("grammar", 0.5, 1000).alias("usual"))
+    usual = seen.where("lang is not null and grammar is not null").groupBy("lang").agg(
+        *[F.percentile_approx(c, q, 1000).alias(n) for c, q, n in (("grammar", 0.5, "usual"), ("top_line", USUAL, "usual_line"), ("top_pair", USUAL, "usual_pair"))]
+    )
     both = seen.join(F.broadcast(usual), "lang", "left")
     below = F.ceil(F.coalesce("usual", F.lit(0.3)) * fraction * STEPS).cast("int")
     lacking = F.aggregate(F.slice("weak", F.lit(1), F.least(below, F.lit(BUCKETS))), F.lit(0), lambda a, x: a + x)
-    share = F.when(F.col("total") > 0, (F.col("spam") + lacking) / F.col("total")).otherwise(F.lit(0.0))
+    # where repetition is usual, it takes more
+    line_limit = F.least(F.lit(LINE_SHARE[1]), F.lit(LINE_SHARE[0]) + (1 - LINE_SHARE[0]) * F.coalesce("usual_line", F.lit(0.0)))
+    pair_limit = F.least(F.lit(PAIR_SHARE[1]), F.greatest(F.lit(PAIR_SHARE[0]), PAIR_TIMES * F.coalesce("usual_pair", F.lit(0.0))))
+    again = F.aggregate("repeats", F.lit(0), lambda a, x: a + F.when((x["line"] > line_limit) | (x["pair"] > pair_limit), x["size"]).otherwise(0))
+    share = F.when(F.col("total") > 0, (F.col("spam") + lacking + again) / F.col("total")).otherwise(F.lit(0.0))
     return both.select(key, F.col("lang").alias("language"), share.alias("spam_share"))

@@ -57,3 +57,17 @@ def test_repeated_rows_and_long_texts(spark):
 @pytest.mark.parametrize(("text", "lang"), [(PROSE, "en"), (FR, "fr"), ("Der Händler muss den Bericht für die Firma binnen zwei Tagen erneuern.", "de"), ("El fabricante deberá entregar las piezas según la cláusula.", "es"), ("Да, договор требует", "ru"), ("該条款は、契約のとおり", "ja"), ("12345", None), ("", None)])
 def test_language(text, lang):
     assert language(text) == lang
+
+
+def test_repetition_dressed_as_sentences(spark):
+    line = "You will find the best lease form for your company and the team here."
+    long = "The supplier shall deliver the storage tanks within thirty days after the notice, and the council that accepts them pays the fee."
+    varied = [f"{a} nda template {b}." for a in ("Get the", "We have an", "This is a", "They sell our") for b in ("for the firm", "that is good", "and an offer", "with the form", "on the page")]
+    texts = {
+        "sentences": " ".join([line] * 200), "lines": "\n".join([line] * 200), "long line": "\n".join([long] * 200), "phrase": " ".join(varied * 3),
+        "german": " ".join(["Hier ist der beste Mietvertrag für die Firma und das Team."] * 50),
+    }
+    honest = {"prose": PROSE * 4, "twice": long + " " + long, "a refrain": "\n".join(f"{PROSE}\n{line}" for _ in range(4)), "a name": " ".join(f"The composer {x} wrote about the river in the year of {x} and sold copies (the Skokara Agreement)." for x in "abcdefgh")}
+    df = spark.createDataFrame(list((texts | honest).items()) + [(f"p{i}", PROSE + FR) for i in range(80)], "doc_id string, text string")
+    share = {r.doc_id: r.spam_share for r in spam_scores(df, "doc_id", "text").collect()}
+    assert {k for k in share if share[k] > 0.5} == set(texts), share
