@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +110,17 @@ def _profile(members: DataFrame, keys: list[str]) -> DataFrame:
     return counted.withColumn("share", F.col("count") / F.sum("count").over(whole)).withColumn("telling", F.count_if(F.col("token") != "X").over(whole)).drop("count")
 
 
+def _matched(similar: pd.DataFrame) -> pd.DataFrame:
+    """Of the pairs of one file and scope the most similar first, each name once, until none is left."""
+    keep, used = [], set()
+    for _, old, new in sorted(zip(-similar["similarity"], similar["old"], similar["new"])):
+        if ("old", old) not in used and ("new", new) not in used:
+            used |= {("old", old), ("new", new)}
+            keep.append((old, new))
+    place = similar.columns[:4]
+    return pd.DataFrame([(*similar.iloc[0][place], *k) for k in keep], columns=[*place, "old", "new"])
+
+
 def changes(raw: DataFrame, min_similarity: float = 0.4) -> DataFrame:
     """Every change of a file against the file of the same kind and collector with the next lower seq.
 
@@ -116,8 +128,8 @@ def changes(raw: DataFrame, min_similarity: float = 0.4) -> DataFrame:
     retyped), new_member (of a rename), old_kind, new_kind. A file counts as the set of its readable lines, so lines that
     were loaded twice or late change nothing; a file without any readable line has no members. A member is renamed when
     it is gone, another of the same scope is new, both have a common kind of value and the overlap of their contents'
-    profiles is at least min_similarity (of the shares of their tokens, or of the smaller one's distinct tokens); each side takes part in one rename at most, the most similar pair first (mutual
-    best; ties by name). Two kinds of value on either side are retyped when the sets of kinds differ.
+    profiles is at least min_similarity (of the shares of their tokens, or of the smaller one's distinct tokens); each side takes part in one rename at most, the most similar pair first, until
+    no pair is left (ties by name). Two kinds of value on either side are retyped when the sets of kinds differ.
     """
     file = ["collector", "kind", "seq"]
     lines = with_file_kind(raw.select("collector", "seq", "file_name", "line"))
@@ -147,9 +159,7 @@ def changes(raw: DataFrame, min_similarity: float = 0.4) -> DataFrame:
     a = prof.where("side = 'removed'").select(*place, F.col("member").alias("old"), "kind", "token", F.col("share").alias("p"), F.col("telling").alias("n"))
     b = prof.where("side = 'added'").select(*place, F.col("member").alias("new"), "kind", "token", F.col("share").alias("q"), F.col("telling").alias("m"))
     similar = a.join(b, [*place, "kind", "token"]).groupBy(*place, "old", "new").agg(F.greatest(F.sum(F.least("p", "q")), F.coalesce(F.try_divide(F.count_if(F.col("token") != "X") * 0.9, F.max(F.least("n", "m"))), F.lit(0.0))).alias("similarity")).where(F.col("similarity") >= min_similarity)
-    best_new = F.row_number().over(Window.partitionBy(*place, "old").orderBy(F.desc("similarity"), "new"))
-    best_old = F.row_number().over(Window.partitionBy(*place, "new").orderBy(F.desc("similarity"), "old"))
-    pairs = similar.withColumn("r1", best_new).withColumn("r2", best_old).where("r1 = 1 and r2 = 1").select(*place, "old", "new")
+    pairs = similar.groupBy(*place).applyInPandas(_matched, similar.select(*place, "old", "new").schema)
     none = F.lit(None).cast("string")
     renamed = pairs.select(*place, F.col("old").alias("member"), F.lit("renamed").alias("change"), F.col("new").alias("new_member"), none.alias("old_kind"), none.alias("new_kind"))
     used = pairs.select(*place, F.col("old").alias("member"), F.lit("removed").alias("side")).unionByName(pairs.select(*place, F.col("new").alias("member"), F.lit("added").alias("side")))

@@ -47,6 +47,12 @@ def test_unlike_content_is_no_rename(spark):
     assert found(changes(lines(spark, files))) == {(2, "results", "run", "requests", "removed", None), (2, "results", "run", "labels", "added", None)}
 
 
+def test_two_like_members_renamed_in_one_file(spark):
+    # both old members and both new ones resemble the first of the other side most
+    files = [(1, "results.jsonl", [rec(a1="alpha beta gamma", a2="alpha beta delta")]), (2, "results.jsonl", [rec(b1="alpha beta gamma", b2="alpha beta omega")])]
+    assert found(changes(lines(spark, files))) == {(2, "results", "run", "a1", "renamed", "b1"), (2, "results", "run", "a2", "renamed", "b2")}
+
+
 def test_empty_and_other_columns(spark):
     df = lines(spark, [(1, "run.json", [{"a": 1}])]).selectExpr("*", "1 as kind", "2 as members")
     assert changes(df).count() == 0 and changes(df.where("false")).count() == 0
