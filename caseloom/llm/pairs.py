@@ -37,7 +37,7 @@ INVISIBLE = re.compile(r"[​-‏⁠﻿­᠎]")
 # fixed values: words that stand for nothing
 NOTHING = frozenset("none null nil n/a na nan undefined empty void tbd todo nothing blank missing -".split()) | {"no answer", "no response", "no output", "not applicable", "not available", "not provided", "no answer given", "(none)", "(empty)", "sans réponse", "aucune réponse", "keine antwort", "sin respuesta", "nichts", "néant", "nada", "rien"}
 
-QUOTED = re.compile(r"\"[^\"\n]{1,1200}\"|«[^»]{1,1200}»|„[^“”\n]{1,1200}[“”]|“[^”\n]{1,1200}”|‘[^’\n]{12,1200}’")
+QUOTED = re.compile(r"\"[^\"\n]+\"|«[^»]+»|„[^“”\n]+[“”]|“[^”\n]+”|‘[^’\n]{12,}’")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: What may follow the end of an answer: citations, closing marks, markup.
 TRAIL = re.compile(r"(?:\s|[\"'”’»“)\]}*_`>]|\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\])+$")
@@ -134,8 +134,6 @@ def answer_text(output: str) -> tuple[str, bool]:
 
 def is_empty(text: str) -> bool:
     """Whether an answer's text says nothing: only citations, marks, an announcement of an answer or a word for nothing."""
-    if len(text) > 200:
-        return False
     bare = CITE.sub(" ", text).strip()
     bare = LEAD.sub("", bare).strip()
     if not any(c.isalnum() for c in bare):

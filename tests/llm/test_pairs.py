@@ -159,3 +159,12 @@ def test_words_of_the_whole_input_count(spark):
     rows = [(i, f"c{i}", f"t{i % 3}", text, "Who paid?", None, None, None, "en", False, "They seek somebody qualified for the town." if i % 2 else "The mill was sold.") for i in range(6)]
     seen = P.responses(spark.createDataFrame(rows, DDL + ", source string"))
     assert {r.key: r.apart for r in seen.collect()} == {i: i % 2 == 0 for i in range(6)}
+
+
+def test_length_alone_changes_no_defect():
+    for n in (1, 500):
+        assert {defect(x * n) for x in ("[1]", "---\n", "* * *\n", "[1, 2] ")} == {"empty"}
+        quote = "La société ne peut pas livrer les pièces sans accord écrit. " * (1 + n // 10)
+        for a, b in ('""', "«»", "„“", "“”", "‘’"):
+            assert P.QUOTED.sub(" ", f"{a}{quote}{b}") == " "
+            assert defect(f"The clause that the council of the town has accepted is this: {a}{quote}{b}") is None
