@@ -1,11 +1,16 @@
 """Broken prompt and response pairs, each with its defect.
 
-Every response is looked at once beside its case (the case's language and question, and its whole input where the response is
-long enough to give it back): has it answer text of its own, does it give back the prompt, which language are its own words
-in, does it end, does it speak of declining. The openings of all responses (names and numbers masked) are then clustered
-by MinHash over five-word shingles, each link verified by the exact similarity: a template that recurs across unrelated
-prompts is a refusal if most of its members decline in their wording or else say nothing of their own case (not one content
-word of its question and input, no defect, no answer), also for members whose own wording doesn't show it.
+Every response is looked at once beside its case: has it answer text of its own, does it give back the prompt, which language
+are its own words in, does it end; and does it answer at all: does it cite, name a choice, rewrite its input or say that
+something is missing from the material. The phrases of its opening (names and numbers masked) are clustered by MinHash over
+five-word shingles, each link verified by the exact similarity.
+
+Refusals are read off the clusters. A cluster is a template of refusals if it recurs over unrelated prompts (several
+responses, cases and topics) whose responses don't answer and mostly have no content word of their own case. The wording of
+the responses so revealed (their sequences of two and three words, against those of all other responses) is learned from the
+corpus and reveals those whose own phrases came only once. Last, a response that stands alone counts if it denies something
+in the first person outside quotations, names no number and has mostly other content words than its case: a minor sign that
+never decides alone and never against a phrase that recurs in one topic with the words of its cases.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 from ..plans.session import cut_lineage
 from .lang import LANGUAGES_OF, WORDS, evidence, language
 
-SHINGLE, SIMILARITY, OPENING = 5, 0.8, 16
+SHINGLE, SIMILARITY, OPENING = 5, 0.8, 32
 BANDS, ROWS = 8, 4
 
 # what is no answer text
@@ -39,64 +44,18 @@ NOTHING = frozenset("none null nil n/a na nan undefined empty void tbd todo noth
 
 QUOTED = re.compile(r"\"[^\"\n]+\"|«[^»]+»|„[^“”\n]+[“”]|“[^”\n]+”|‘[^’\n]{12,}’")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-#: What may follow the end of an answer: citations, closing marks, markup.
-TRAIL = re.compile(r"(?:\s|[\"'”’»“)\]}*_`>]|\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\])+$")
+#: What may follow the end of an answer beside citations: closing marks, markup.
+CLOSING = " \t\r\n\f\v\u00a0\u2028\u2029\u202f\u3000\"'”’»“)]}*_`>"
 STOPS = ".!?。！？।؟"
 
-# ways of declining, in the first person or on its behalf
-_OPEN = r"(?!see\b|find\b|identify\b|locate\b|spot\b|detect\b|confirm\b|think of\b|imagine\b|but\b|recall\b|rule out\b|overlook\b)"
-DECLINES = re.compile(
-    "|".join(
-        [
-            r"\b(?:i|we)(?:'m| am|'re| are)? (?:sorry )?(?:unable|not (?:able|permitted|allowed|authori[sz]ed|willing|comfortable|prepared|in a position|going|supposed)|forbidden|prohibited|obliged to (?:decline|refuse))\b",
-            rf"\b(?:i|we) (?:can't|cannot|can not|won't|will not|must not|mustn't|may not|shall not|shan't|do not want to|don't want to|do not wish to|could not possibly) {_OPEN}\w+",
-            r"\b(?:i|we)(?:'d| would| do)? (?:rather|prefer|choose|chose|opt)(?: to)? not\b",
-            r"\b(?:i|we)(?: (?:must|have to|need to|will|shall|would like to))? (?:respectfully |politely )?(?:decline|refuse|abstain|pass on)\b",
-            r"\b(?:i|we) (?:must|have to|will) leave (?:this|that|the) (?:question|request|task|matter)\b",
-            r"\b(?:i|we) (?:have|'ve) been (?:told|asked|instructed|ordered) not to\b",
-            r"\b(?:i|we) (?:must|have to) pass\b",
-            r"\b(?:my|our) (?:policy|policies|guidelines?|rules?|instructions?|programming|provider|terms)\b[\w ]{0,30}\b(?:forbids?|prohibits?|prevents?|do(?:es)? not|don't|doesn't|won't|bars?|rules? (?:it|this) out)\b",
-            r"\b(?:against|violates?|outside|beyond) (?:of )?(?:my|our) (?:rules|policy|policies|guidelines|instructions|remit|scope)\b",
-            r"\b(?:do not|don't|nobody should|no one should|please (?:do not|don't)) (?:expect|ask|count on) (?:me|us)\b",
-            r"\bnot (?:be )?(?:possible|appropriate|right|proper|suitable|acceptable) for (?:me|us)\b",
-            r"\boutside (?:of )?what (?:i'm|i am|we're|we are|i|we)\b",
-            r"\bno (?:answer|help|advice|opinion|comment|response) can be (?:given|offered|provided)(?: by (?:me|us))?\b",
-            r"\b(?:one|request|task|thing|something) (?:that )?(?:i|we) (?:have to|must|will) (?:decline|refuse)\b",
-            r"\bharmful, so (?:i|we)\b",
-            r"\bfor policy reasons\b",
-            r"\bcan't help with (?:that|this)\b",
-            # French
-            r"\bje (?:ne|n') ?(?:\w+ )?(?:peux|puis|suis|vais|dois|souhaite|veux|saurais)\b[^.]{0,20}\bpas\b",
-            r"\bje ne (?:peux|puis|saurais)\b",
-            r"\bje (?:dois|devrai) (?:refuser|décliner|m'abstenir|renoncer)\b",
-            r"\bje (?:refuse|décline|préfère ne pas|préférerais ne pas|regrette)\b",
-            r"\b(?:il )?(?:ne )?m'(?:est (?:impossible|interdit|défendu)|appartient pas|est pas (?:possible|permis))\b",
-            r"\bon m'interdit\b|\b(?:mes|nos) (?:règles|consignes|directives|instructions)\b",
-            r"\bn(?:'|e )?(?:attendez|comptez|demandez)[^.]{0,20} (?:moi|me)\b|\bne me demandez pas\b",
-            # German
-            r"\b(?:ich|wir) (?:kann|können|darf|dürfen|werde|werden|möchte|möchten|will|wollen|soll)\b[^.]{0,60}\b(?:nicht|keine?n?|nichts)\b",
-            r"\b(?:kann|darf|werde|möchte|will) ich\b[^.]{0,60}\b(?:nicht|keine?n?|nichts)\b",
-            r"\b(?:ich|wir) (?:lehne|verweigere|lehnen|verweigern|muss ablehnen)\b|\b(?:muss|müssen) (?:ich|wir)\b[^.]{0,40}\b(?:ablehnen|verzichten|passen)\b|\bich muss\b[^.]{0,60}\b(?:ablehnen|verweigern|verzichten|passen)\b",
-            r"\b(?:meine|unsere|meinen|meiner) (?:vorgaben|regeln|richtlinien|anweisungen)\b|\bmir (?:ist|wurde)\b[^.]{0,30}\b(?:untersagt|verboten|nicht)\b|\b(?:nicht|un)möglich für mich\b|\bes ist mir\b",
-            # Spanish
-            r"\bno (?:me )?(?:puedo|podemos|debo|voy a|es posible|está permitido|corresponde|pienso|quiero)\b",
-            r"\b(?:debo|tengo que|he de|debemos) (?:rechazar|declinar|negarme|abstenerme)\b",
-            r"\b(?:tengo prohibido|prefiero no|me niego|rechazo|declino|mis (?:reglas|normas|políticas|instrucciones|directrices)|me (?:está prohibido|prohíben|impiden|es imposible))\b",
-            # Italian, Portuguese, Dutch
-            r"\b(?:non (?:mi è )?(?:posso|possibile|sono in grado)|mi rifiuto|preferisco non|le mie regole|devo (?:rifiutare|declinare))\b",
-            r"\b(?:não (?:posso|me é possível)|recuso-me|prefiro não|as minhas regras|devo recusar)\b",
-            r"\b(?:ik (?:kan|mag|zal|wil)\b[^.]{0,40}\b(?:niet|geen)|ik weiger|mijn regels)\b",
-        ]
-    )
-)
-#: Without one of these words no text declines.
-CUES = frozenset(
-    "i we my our me us i'm i'd i'll i've we're we'd we've policy answer help advice opinion comment response not je j'ai mes nos m'est m'interdit m'appartient moi ich wir mir meine meinen meiner unsere für puedo podemos debo voy es tengo prefiero me mis rechazo declino está posso possibile rifiuto preferisco regole não recuso prefiro regras ik mijn can't".split()
-)
-#: What speaks of the material or of something missing there is an answer ("there is no such clause"), however often it recurs.
-MATERIAL = re.compile(r"\b(?:claus|contra[ct]|kontrakt|agreement|vertrag|vereinbarung|accord\b|acuerdo|passage|pasaje|document|dokument|text|provision|disposi|bestimmung|klausel|cláusula|section|abschnitt|article|artikel|artículo|part(?:y|ies|ei|ie|e)\b|evidence|according|selon|laut\b|según|mention|stated?\b)", re.I)
+# fixed values: first persons, words of denial, and what answers speak of; none of them decides alone
+PERSON = frozenset("i we my our me us i'm i'd i'll i've we're we'd we've je j'ai mes nos moi m'est m'interdit m'appartient ich wir mir mich mein meine meinen meiner unser unsere yo me mi mis nosotros io mi noi eu nós minhas ik mijn wij".split())
+DENIAL = frozenset("no not none cannot can't won't unable decline refuse abstain forbids prohibits nobody never ne pas refuse refuser décliner interdit impossible nicht kein keine keinen ablehnen lehne verweigere verweigern untersagt rechazar rechazo declinar niego prohibido non rifiuto rifiutare não recuso recusar niet geen weiger".split()) | {"can't", "don't", "won't"}
+MATERIAL = re.compile(r"\b(?:claus|passage|pasaje|klausel|cláusula|provision|disposi|bestimmung|section|abschnitt|article|artikel|artículo|contract|contrat|vertrag|agreement|accord\b|acuerdo|document|dokument)", re.I)
+LACKS = re.compile(r"\b(?:no|not|none|nothing|without|absent|lacks?|missing|aucune?|pas|absente?|kein|keine|keinen|nicht|fehlt|ningún|ninguna|falta)\b", re.I)
+POLAR = frozenset("yes no oui non ja nein sí si sim não nee nej tak nie".split())
 #: Content words that a response needs so that none of them being its case's tells something.
-TELLING = 3
+TELLING = 2
 PLACE = re.compile(r"[\[<({][^\[\]<>(){}\n]{1,60}[\]>)}]|\*{2,}\w*|_{3,}\w*|█+|#{3,}|X{3,}\b")
 
 
@@ -142,6 +101,18 @@ def is_empty(text: str) -> bool:
     return bare in NOTHING or re.fullmatch(r"(?:answer|label|response|réponse|antwort|respuesta)", bare) is not None
 
 
+def before_trail(text: str) -> str:
+    """A text without the closing marks and citations at its end."""
+    while True:
+        bare = text.rstrip(CLOSING)
+        tail = text[len(bare) :]
+        at = bare.rfind("[") if "]" in tail else -1
+        if at >= 0 and CITE.fullmatch(bare[at:] + "]"):
+            text = bare[:at]
+            continue
+        return bare
+
+
 def ends(text: str) -> bool:
     """Whether a text breaks off nowhere: it ends with a stop, closing marks or a citation, not with an ellipsis."""
     if re.fullmatch(r"\s*(?:\d+[.)]|[-*•–])\s*", text.rsplit("\n", 1)[-1]):
@@ -149,11 +120,10 @@ def ends(text: str) -> bool:
     few = text.split()
     if len(few) <= 2 and text[-1:].isalnum() and evidence(few[0]).keys() <= {"la"} | ({*WORDS} if len(few) == 1 else set()):
         return True  # a bare label; two words that begin like a sentence are none
-    end = text[-200:]
-    bare = TRAIL.sub("", end)
+    bare = before_trail(text)
     if not bare:
         return True
-    tail = end[len(bare) :]
+    tail = text[len(bare) :]
     if bare.endswith(("...", "…")):
         # a shortened quotation closes its quote
         return any(c in tail for c in "\"”»“")
@@ -267,95 +237,134 @@ def other_language(text: str, allowed: str, rewrite: bool) -> bool:
 
 
 MASK = re.compile(r"[A-ZÀ-Þ][\w’'-]*|\w*\d\w*")
+CLAUSE = re.compile(r"[.!?;:,()\[\]\"«»“”„–—\n\r。！？，]+")
+FIRST = frozenset(("I", "I’m", "I'm", "I’d", "I'd", "I’ve", "I've", "I’ll", "I'll"))
+
+
+def phrases(text: str, shout: bool | None = None) -> list[str]:
+    """The opening's phrases: its first words (OPENING of them) cut at punctuation, lower case, names and numbers masked."""
+    shout = text.isupper() if shout is None else shout
+    out, left = [], OPENING
+    begin = 0
+    while left > 0 and begin <= len(text):
+        cut = CLAUSE.search(text, begin)
+        end = cut.start() if cut else len(text)
+        found = []
+        for m in WORD.finditer(text, begin, end):
+            w = m.group()
+            found.append(w.lower() if shout or w in FIRST or not out and not found and not any(map(str.isdigit, w)) else "#" if MASK.fullmatch(w) else w.lower())
+            if len(found) == left:
+                break
+        left -= len(found)
+        if found:
+            out.append(" ".join(found).replace("’", "'"))
+        begin = cut.end() if cut else len(text) + 1
+    return out
+
+
+SEEN = "defect string, answers boolean, free boolean, apart boolean, denies boolean, opening array<string>"
+
+
+class Case:
+    """What a case's texts are made of; those of the case looked at last are kept, as its responses come together."""
 
+    last: tuple = ()
+    words_of: list[str] = []
+    known: frozenset[str] = frozenset()
 
-def opening(text: str) -> str:
-    """The first words, lower case, names and numbers masked."""
-    head = text[:400]
-    shout = head.isupper()
-    found = [w.lower() if shout or i == 0 or w in ("I", "I’m", "I'm", "I’d", "I'd") else "#" if MASK.fullmatch(w) else w.lower() for i, w in enumerate(WORD.findall(head))]
-    return " ".join(found[:OPENING]).replace("’", "'")
+    def __init__(self, question: str | None, prompt: str | None, instructions: str | None):
+        own = (question, prompt, instructions)
+        if Case.last != own:
+            Case.words_of = words(prompt or "")
+            Case.known = frozenset(words(question or "")) | frozenset(Case.words_of)
+            Case.last = own
+        self.given, self.known = Case.words_of, Case.known
 
 
-SEEN = "defect string, cue boolean, grounded boolean, opening string, apart boolean"
+def _content(tokens: list[str]) -> set[str]:
+    return {w for w in tokens if len(w) >= 4 and w.isalpha() and w not in LANGUAGES_OF}
 
 
-def look(output: str | None, question: str | None, prompt: str | None, instructions: str | None, choices: list[str] | None, allowed: str, rewrite: bool) -> tuple[str | None, bool, bool, str | None]:
-    """Of one response: its defect apart from refusals (or None), whether it declines, whether it answers, its opening.
+def says_lacking(text: str) -> bool:
+    """Whether a clause says, without a first person, that the material lacks something: that is an answer."""
+    return any(LACKS.search(c) and MATERIAL.search(c) and PERSON.isdisjoint(words(c)) for c in CLAUSE.split(text))
 
-    prompt: the case's input, or None where the response is too short to give it back.
+
+def look(output: str | None, question: str | None, prompt: str | None, instructions: str | None, choices: list[str] | None, allowed: str, rewrite: bool) -> tuple[str | None, bool, bool, bool, bool, list[str]]:
+    """Of one response: its defect apart from refusals (or None); whether it answers; whether it may decline
+    (it neither answers nor breaks off nor gives back the prompt); whether it has content words but none
+    of its case; whether it denies something in the first person, names no number and has mostly other content words than its
+    case; the phrases of its opening.
+
+    prompt: the case's input, or None where that can't change anything (see `needs_prompt`).
     """
     if output is None:
-        return "empty", False, False, None
+        return "empty", False, False, False, False, []
     text, complete = answer_text(output)
     if is_empty(text):
-        return "empty", False, False, None
+        return "empty", False, False, False, False, []
     plain = text.replace("’", "'").lower()
-    labels = {c.strip().lower() for c in choices or [] if c}
-    label = labels and LEAD.sub("", plain).strip(" \t\n.!*\"'`_") in labels
-    if label:
-        return None, False, True, None
+    labels = {c.strip().lower() for c in choices or [] if c and c.strip()}
+    if labels and LEAD.sub("", plain).strip(" \t\n.!*\"'`_") in labels:
+        return None, True, False, False, False, []
     last = plain.rstrip().split("\n")[-1]
     cites = CITE.search(text) is not None
-    labelled = bool(labels) and any(re.search(rf"(?:label|answer|is)\W+{re.escape(c)}\W*$|^\W*{re.escape(c)}\W*$", last) for c in labels)
-    grounded = cites or labelled
-    head = opening(text)
+    labelled = any(re.search(rf"(?:label|answer|is)\W+{re.escape(c)}\W*$|^\W*{re.escape(c)}\W*$", last) for c in labels)
+    head = phrases(text)
     own = words(plain)
-    cue = not CUES.isdisjoint(own) and DECLINES.search(plain) is not None
-    if cue and not grounded:
-        return None, True, False, head
+    # a text that ends in a choice or speaks of a longer one, or ends in a bare yes or no, answers
+    named = any(re.search(rf"(?<!\w){re.escape(c)}\W*$", plain) or len(c) >= 4 and re.search(rf"(?<!\w){re.escape(c)}(?!\w)", plain) for c in labels)
+    answers = cites or labelled or named or (words(CLAUSE.split(plain.rstrip(" .!\n"))[-1]) or [""])[0] in POLAR and own[-1] in POLAR or says_lacking(text)
+    apart = denies = False
     asked = words(question or "")
+    case = Case(question, prompt, instructions) if prompt is not None else None
+    if rewrite and case and not answers:
+        content = _content(own)
+        answers = len(content & case.known) * 5 >= 3 * len(content)
+    if not answers:
+        content = _content(own)
+        apart = len(content) >= TELLING and case is not None and bool(case.known) and content.isdisjoint(case.known)
+        unquoted = QUOTED.sub(" ", plain)
+        denies = case is not None and 3 * len(content & case.known) <= len(content) and not any(map(str.isdigit, plain)) and any(not PERSON.isdisjoint(w) and not DENIAL.isdisjoint(w) for w in map(words, CLAUSE.split(unquoted)))
     if gives_back_question(own, asked):
-        return "copy", cue, grounded, head
-    if prompt is not None and not labelled:
-        given = words(prompt)
-        if gives_back_input(own, given) or instructions and gives_back_input(own, words(instructions) + asked + given):
-            return "copy", cue, grounded, head
+        return "copy", answers, False, apart, denies, head
+    if case and not labelled and (gives_back_input(own, case.given) or instructions and gives_back_input(own, words(instructions) + asked + case.given)):
+        return "copy", answers, False, apart, denies, head
+    free = not answers and ends(text)
     if other_language(text, allowed, rewrite):
-        return "other_language", cue, grounded, head
+        return "other_language", answers, free, apart, denies, head
     if complete or labelled:
         broken = False
     elif rewrite:
         broken = prompt is None or not rewrite_ends(text, prompt)
     else:
         broken = not ends(text) or text[:1] == "{"
-    return "truncated" if broken else None, cue, grounded, head
+    return "truncated" if broken else None, answers, free, apart, denies, head
 
 
-def speaks_apart(output: str, choices: list[str] | None, *case: str | None) -> bool:
-    """Whether a response has content words but none of its case's texts, names none of its choices, and doesn't speak of the
-    material either."""
-    text = answer_text(output)[0]
-    if any(re.search(rf"(?<!\w){re.escape(c.strip())}(?!\w)", text) for c in choices or [] if c and c.strip()):
-        return False
-    given = " ".join(t for t in case if t).replace("’", "'").lower()
-    content = {w for w in words(text) if len(w) >= 4 and w.isalpha() and w not in LANGUAGES_OF}
-    return len(content) >= TELLING and bool(given) and not any(w in given for w in content) and MATERIAL.search(text) is None
+def needs_prompt(output: Column, prompt: Column, rewrite: Column) -> Column:
+    """Whether the input can change what `look` says: for rewritten texts, where nothing is cited, and where the output has
+    enough words to give it back (runs of letters and digits, of which there are no fewer than words)."""
+    enough = F.regexp_count(output, F.lit(r"(?U)[^\W_]+")) >= 0.6 * F.regexp_count(prompt, F.lit(r"(?U)[^\W_]+(?:['’][^\W_]+)*"))
+    return rewrite | ~output.rlike(CITE.pattern) | enough
 
 
 def responses(pairs: DataFrame) -> DataFrame:
-    """key, case_id, topic and what `look` sees of every response, and whether a sound one speaks apart from its case.
+    """key, case_id, topic and what `look` sees of every response.
 
-    pairs: key, case_id, topic, output, question, prompt (NULL where the response is too short to give it back),
-    instructions, choices, allowed (languages), rewrite; and, if there, source: the whole input (NULL where the response
-    cites it).
+    pairs: key, case_id, topic, output, question, prompt (see `needs_prompt`), instructions, choices, allowed (languages),
+    rewrite. Rows of the same case should come together.
     """
     kind = pairs.schema["key"].dataType.simpleString()
     columns = ["output", "question", "prompt", "instructions", "choices", "allowed", "rewrite"]
-    source = F.col("source") if "source" in pairs.columns else F.lit(None).cast("string").alias("source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for *r, given in zip(*(b.column(i + 3).to_pylist() for i in range(len(columns) + 1))):
-                defect, cue, grounded, head = look(*r)
-                apart = defect is None and not cue and not grounded and bool(head) and speaks_apart(r[0], r[4], r[1], r[2], given)
-                rows.append((defect, cue, grounded, head, apart))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["key", "case_id", "topic", "defect", "cue", "grounded", "opening", "apart"])
+            cols = list(zip(*[look(*r) for r in zip(*(b.column(i + 3).to_pylist() for i in range(len(columns))))])) or [()] * 6
+            kinds = (pa.string(), *[pa.bool_()] * 4, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["key", "case_id", "topic", "defect", "answers", "free", "apart", "denies", "opening"])
 
-    return pairs.select("key", "case_id", "topic", *columns, source).mapInArrow(run, f"key {kind}, case_id string, topic string, {SEEN}")
+    return pairs.select("key", "case_id", "topic", *columns).mapInArrow(run, f"key {kind}, case_id string, topic string, {SEEN}")
 
 
 _hash = np.random.default_rng(5).integers(1, 2**61, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -460,25 +469,60 @@ def clusters(openings: DataFrame) -> DataFrame:
     return openings.select("opening").join(roots.withColumnRenamed("node", "opening").hint("merge"), "opening", "left").select("opening", F.coalesce("root", "opening").alias("cluster"))
 
 
-def defects(seen: DataFrame, least: int = 3) -> DataFrame:
-    """key, defect: responses with a defect, from what `responses` saw.
+def _grams(phrase: Column) -> Column:
+    """The sequences of two and three words of a phrase, with their first word's place: array of (gram, at, n)."""
+    w = F.split(phrase, " ")
+    some = lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(F.array_join(F.slice(w, i, n), " ").alias("gram"), i.alias("at"), F.lit(n).alias("n")))
+    none = F.array().cast("array<struct<gram:string,at:int,n:int>>")
+    return F.concat(F.when(F.size(w) >= 2, some(2)).otherwise(none), F.when(F.size(w) >= 3, some(3)).otherwise(none))
+
 
-    A refusal declines and answers nothing, or its opening belongs to a cluster of at least `least` responses from different
-    cases and topics, most of which decline or speak apart from their cases. An empty response has no opening and is empty.
+def refusals(seen: DataFrame, least: int = 3) -> DataFrame:
+    """key, way: the responses that decline, and what reveals them: template, wording or sign.
+
+    template: a phrase of the opening belongs to a cluster of at least `least` responses from different cases and topics that
+    don't answer, while at most a tenth of all its responses answer and more than half have no content word of their case.
+    wording: at least half of the opening's words lie in sequences of two or three words that are met in several topics of
+    the template's responses and at least as often there as in all others. sign: see the module. A response that answers,
+    breaks off or only gives back its question declines nothing. Phrases with fewer than three words that aren't masked tell nothing.
     """
-    openings = seen.where("opening is not null and opening != ''")
-    declining = F.col("cue") & ~F.col("grounded") | F.col("apart")
-    each = openings.groupBy("opening").agg(
-        F.count("*").alias("n"), F.sum(declining.cast("int")).alias("declined"), F.min("case_id").alias("c0"), F.max("case_id").alias("c1"), F.min("topic").alias("t0"), F.max("topic").alias("t1")
-    )
+    row = seen.where("size(opening) > 0").select("key", "case_id", "topic", "free", "answers", "apart", F.explode(F.array_distinct("opening")).alias("phrase"))
+    free = lambda c: F.when(F.col("free"), F.col(c))
+    each = row.groupBy("phrase").agg(
+        F.count("*").alias("n"), F.count_if("answers").alias("answered"), F.count_if(F.col("free") & F.col("apart")).alias("aparts"), F.count_if("free").alias("frees"),
+        F.min(free("case_id")).alias("c0"), F.max(free("case_id")).alias("c1"), F.min(free("topic")).alias("t0"), F.max(free("topic")).alias("t1"),
+    )
     each = cut_lineage(each)
-    member = cut_lineage(clusters(each))
-    whole = each.join(member.hint("merge"), "opening").groupBy("cluster").agg(
-        F.sum("n").alias("n"), F.sum("declined").alias("declined"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("t0").alias("t0"), F.max("t1").alias("t1")
+    telling = each.where(F.size(F.filter(F.split("phrase", " "), lambda w: w != "#")) >= 3)
+    member = cut_lineage(clusters(telling.select(F.col("phrase").alias("opening"))).withColumnRenamed("opening", "phrase"))
+    whole = telling.join(member.hint("merge"), "phrase").groupBy("cluster").agg(
+        *[F.sum(c).alias(c) for c in ("n", "answered", "aparts", "frees")], *[F.min(c).alias(c) for c in ("c0", "t0")], *[F.max(c).alias(c) for c in ("c1", "t1")]
     )
-    template = whole.where((F.col("n") >= least) & (F.col("declined") * 2 > F.col("n")) & (F.col("c0") != F.col("c1")) & (F.col("t0") != F.col("t1")))
-    # the openings grow with the corpus: their joins are by merging, never by broadcasting what compresses well on disk
-    refusing = member.join(template.hint("merge"), "cluster", "left_semi").select("opening", F.lit(True).alias("template"))
-    both = seen.join(refusing.hint("merge"), "opening", "left")
-    refusal: Column = F.col("opening").isNotNull() & ~F.col("grounded") & (F.col("cue") | F.coalesce("template", F.lit(False)))
-    return both.select("key", F.when(refusal, "refusal").otherwise(F.col("defect")).alias("defect")).where("defect is not null")
+    recurs = (F.col("frees") >= least) & (F.col("c0") != F.col("c1"))
+    template = recurs & (F.col("t0") != F.col("t1")) & (F.col("answered") <= 0.1 * F.col("n")) & (F.col("aparts") * 2 > F.col("frees"))
+    # the phrases grow with the corpus: their joins are by merging, never by broadcasting what compresses well on disk
+    kinds = whole.select("cluster", F.when(template, "template").when(recurs & (F.col("t0") == F.col("t1")), "bound").alias("kind")).where("kind is not null")
+    kinds = cut_lineage(member.join(kinds.hint("merge"), "cluster").select("phrase", "kind"))
+    loose = cut_lineage(row.where("free").select("key", "topic", "phrase"))
+    told = loose.join(kinds.hint("merge"), "phrase").groupBy("key").agg(F.bool_or(F.col("kind") == "template").alias("template"), F.bool_or(F.col("kind") == "bound").alias("bound"))
+    told = cut_lineage(told)
+    first = told.where("template").select("key")
+    # the wording of those revealed, against all others
+    theirs = loose.join(first.hint("merge"), "key", "left_semi").groupBy("phrase").agg(F.count("*").alias("own"), F.min("topic").alias("t0"), F.max("topic").alias("t1"))
+    spread = lambda df, *more: df.select(F.inline(_grams(F.col("phrase"))), *more)
+    said = spread(theirs, "own", "t0", "t1").where("gram not like '%#%'").groupBy("gram").agg(F.sum("own").alias("own"), F.min("t0").alias("t0"), F.max("t1").alias("t1")).where("own >= 2 and t0 != t1")
+    every = spread(each.select("phrase", F.col("n").alias("all")), "all").groupBy("gram").agg(F.sum("all").alias("all"))
+    declining = said.join(every.hint("merge"), "gram").where("2 * own >= all").select("gram")
+    rest = cut_lineage(loose.join(first.hint("merge"), "key", "left_anti").select("key", "phrase"))
+    hits = spread(rest.select("phrase").distinct(), "phrase").join(declining.hint("merge"), "gram").groupBy("phrase").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1))))).alias("hit"))
+    learned = rest.join(hits.hint("merge"), "phrase", "left").groupBy("key").agg(F.sum(F.size(F.split("phrase", " "))).alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("hit")).where("2 * hit >= n").select("key")
+    alone = seen.where("free and denies").select("key").join(told.select("key").hint("merge"), "key", "left_anti").join(learned.hint("merge"), "key", "left_anti")
+    way = lambda df, name: df.select("key", F.lit(name).alias("way"))
+    return way(first, "template").unionByName(way(learned, "wording")).unionByName(way(alone, "sign"))
+
+
+def defects(seen: DataFrame, least: int = 3) -> DataFrame:
+    """key, defect: responses with a defect, from what `responses` saw. An empty response has no opening and is empty; a
+    response that only gives back its prompt is a copy; else a refusal is a refusal, whatever its language."""
+    found = seen.join(refusals(seen, least).hint("merge"), "key", "left")
+    return found.select("key", F.when(F.col("way").isNotNull(), "refusal").otherwise(F.col("defect")).alias("defect")).where("defect is not null")

@@ -113,7 +113,7 @@ def _languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
-    """Every record that has a case, beside the case: the whole input only where the output is half as long at least."""
+    """Every record that has a case, beside the case; its input wherever that can change the judgement."""
     out = _records(spark, d, case_id="run.caseId", output="run.output").withColumnRenamed("ord", "key")
     rewrite = F.col("suite") == "redaction"
     asked = F.regexp_replace(F.coalesce("question", F.get(F.split("input", PASSAGES), 0)), r"^\s*Question:\s*", "")
@@ -121,9 +121,7 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
     cases = cases.select(F.col("id").alias("case_id"), "topic", rewrite.alias("rewrite"), F.when(rewrite, F.lit("")).otherwise(asked).alias("question"), "input", "instructions", "choices")
     told = cases.select("case_id", "question", "input").mapInArrow(_languages, "case_id string, allowed string")
     both = out.join(cases.join(told, "case_id"), "case_id")
-    long = F.length("output") >= 0.5 * F.length("input")
-    both = both.withColumn("source", F.when(~F.col("output").rlike(r"\[\s*[0-9]"), F.col("input")))
-    return both.withColumn("prompt", F.when(long, F.col("input"))).withColumn("instructions", F.when(long, F.col("instructions")))
+    return both.withColumn("prompt", F.when(pairs.needs_prompt(F.col("output"), F.col("input"), F.col("rewrite")), F.col("input")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

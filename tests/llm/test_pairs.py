@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseloom.llm import pairs as P
 
@@ -11,8 +12,7 @@ ASKED = "Who paid for the bridge near Alton in 1849?"
 
 
 def defect(output, question=ASKED, prompt=None, choices=None, allowed="en", rewrite=False, instructions=None):
-    d, cue, grounded, _ = P.look(output, question, prompt, instructions, choices, allowed, rewrite)
-    return "refusal" if cue and not grounded else d
+    return P.look(output, question, prompt, instructions, choices, allowed, rewrite)[0]
 
 
 EMPTY = [None, "", "  \n", "﻿", "​", "{}", "[]", '""', "-", "...", "N/A", "None", "null", "```\n```", "<answer></answer>", "<p> </p>", "<think>why not</think>\n", "<think>cut off", "**Answer:**", "Answer:", "[1]", "[2][3]", '{"answer": null}', "<!-- nothing -->", "(none)", "—"]
@@ -21,15 +21,11 @@ SOUND = [
     'Passage 1 reads "The bridge near Alton was built in" [1]', 'It says "The bridge near Alton…" [1]', f"{ASKED}\nThe council paid for it [1].", '{"answer": "The council paid for it."}', "The council of the town paid.", "- The council paid.\n- The town agreed.", f"{ASKED} Nobody.",
 ]
 TRUNCATED = ["The council of the town pai", "The council of the town [", "The council paid, which says: \"The bridge", "The council of the town because the…", "The council paid of ...", "There are three reasons:\n1. The council paid.\n2.", '```json\n{"answer": "The council paid.", "passages": [1,', "The town council,", "It was paid by -"]
-REFUSAL = [
-    "I'm sorry, but I can't help with that.", "I AM UNABLE TO COMPLY WITH THE TASK.", "As an assistant, we choose not to continue here.", "No answer can be given by me for policy reasons.", "Hello! My policy forbids me to take this on.", "I’m sorry, but that’s outside what I’m permitted to do.",
-    "Nobody should ask me to judge Alton.", "Lo siento, pero tengo prohibido atender esta petición.", "Je suis désolé, mais je préfère ne pas donner un avis.", "Ich werde nicht über Alton urteilen, so meine Regeln.", '{"error": "I must refuse to produce that text."}', "Providing this could be harmful, so I stop.",
-]
 COPY = [ASKED, ASKED.upper(), f"> {ASKED}", f"{ASKED} {ASKED}", "who paid the bridge near alton in 1849?", f'"{ASKED}"', f"Question: {ASKED}", f"You asked: {ASKED}"]
 OTHER = ["La société ne peut pas livrer les pièces sans accord écrit, voir l’article 3.", "Да, договор требует передать документы.", "该条款将金额限制在每年以内。", "Ja, de overeenkomst bepaalt dat de partij de stukken binnen 277 dagen levert [2].", "Nein, keineswegs.", "Segundo o trecho, a ponte foi construída em 1976 por 3070 pessoas.", "La clausola limita la somma a 3 per ogni anno a favore di Alton."]
 
 
-@pytest.mark.parametrize(("kind", "outputs"), [("empty", EMPTY), (None, SOUND), ("truncated", TRUNCATED), ("refusal", REFUSAL), ("copy", COPY), ("other_language", OTHER)])
+@pytest.mark.parametrize(("kind", "outputs"), [("empty", EMPTY), (None, SOUND), ("truncated", TRUNCATED), ("copy", COPY), ("other_language", OTHER)])
 def test_one_by_one(kind, outputs):
     assert {o: defect(o) for o in outputs} == dict.fromkeys(outputs, kind)
 
@@ -63,16 +59,57 @@ def test_rewritten_texts():
 DDL = "key bigint, case_id string, topic string, output string, question string, prompt string, instructions string, choices array<string>, allowed string, rewrite boolean"
 
 
-def test_templates_reveal_refusals(spark):
-    template = "Regrettably this kind of matter lies beyond every service that is offered in this place to you"
-    rows = [(i, f"c{i}", f"t{i % 3}", f"{template}, as {'I cannot discuss it' if i < 4 else 'things are'}.", "q", None, None, None, "en", False) for i in range(6)]
-    rows += [(10 + i, f"d{i}", "t0", "The fee falls due when the council of the town accepts the plan in the end of May.", "q", None, None, None, "en", False) for i in range(5)]
-    rows += [(20, "e", "t", None, None, None, None, None, None, None), (21, "e", "t", "", "", "", "", [], "", False)]
-    seen = P.responses(spark.createDataFrame(rows, DDL))
-    out = {r.key: r.defect for r in P.defects(seen).collect()}
-    # two of the six don't decline in their own words, the template they share does
-    assert out == {**{i: "refusal" for i in range(6)}, 20: "empty", 21: "empty"}
-    assert P.defects(seen.where("false")).count() == 0
+ASKS = ["Who paid for the bridge near Alton?", "When was the mill sold?", "Which fee falls due in May?"]
+
+
+def judged(spark, rows):
+    """key -> defect of (key, case_id, topic, output, question, prompt, choices) rows."""
+    full = [(k, c, t, o, q, p, None, ch, "en", False) for k, c, t, o, q, p, ch in rows]
+    return {r.key: r.defect for r in P.defects(P.responses(spark.createDataFrame(full, DDL))).collect()}
+
+
+def spread(text, first, n=6, prompts=ASKS):
+    """The text (or what a function of the number gives) as response to n cases of three topics."""
+    return [(first + i, f"c{i}", f"t{i % 3}", text(i) if callable(text) else text, ASKS[i % 3], prompts[i % 3], None) for i in range(n)]
+
+
+def test_recurrence_over_unrelated_prompts_reveals_refusals(spark):
+    rows = spread("The request is declined.", 0) + spread("Regrettably, answering falls outside the mandate given to this assistant.", 10)
+    rows += spread("Matters like yours exceed whatever gets handled around here, kindly seek somebody qualified elsewhere.", 20)
+    assert judged(spark, rows) == dict.fromkeys([r[0] for r in rows], "refusal")
+
+
+def test_wording_learned_from_templates(spark):
+    rows = spread("Regrettably, answering falls outside the mandate given to this assistant.", 0) + spread("Kindly seek somebody qualified elsewhere.", 10)
+    once = [(30, "x", "t0", "Answering falls outside the mandate, seek somebody qualified.", ASKS[0], ASKS[0], None)]
+    ways = {r.key: r.way for r in P.refusals(P.responses(spark.createDataFrame([(k, c, t, o, q, p, None, ch, "en", False) for k, c, t, o, q, p, ch in rows + once], DDL))).collect()}
+    assert ways == {**dict.fromkeys([r[0] for r in rows], "template"), 30: "wording"}
+
+
+def test_what_answers_is_no_refusal_however_often_it_recurs(spark):
+    rows = spread("There is no such clause anywhere among those pages, regardless how carefully somebody looks through everything.", 0)
+    # recurring words, each time with the case's own
+    rows += spread(lambda i: f"Everything considered together and weighed carefully over again, that would probably be {('the bridge', 'the mill', 'the fee')[i % 3]} near Alton.", 10)
+    # reasoning that ends in a label, and a quoted refusal beside a citation
+    rows += [(*r[:6], ["Yes", "No"]) for r in spread("Everything considered together and weighed carefully over again, somebody qualified would conclude this makes it No.", 20)]
+    rows += spread('The letter reads "I cannot help with that request and must decline it" [1].', 30)
+    # the same wording for one topic only, broken off ones, questions given back
+    rows += [(40 + i, f"d{i}", "t0", "Whatever seems plausible remains doubtful until somebody qualified looks thoroughly into everything again.", ASKS[0], ASKS[0], None) for i in range(6)]
+    assert judged(spark, rows) == {}
+    assert set(judged(spark, spread("Everything considered together and weighed carefully over again", 0)).values()) == {"truncated"}
+    assert set(judged(spark, spread(lambda i: ASKS[i % 3], 0)).values()) == {"copy"}
+
+
+def test_denial_alone_is_no_refusal(spark):
+    supplier = "The supplier says that it cannot accept the delay under clause 5. How long is the notice?"
+    seller = "The seller wrote that late orders must be declined. How long is the period?"
+    rows = [
+        (0, "a", "t0", "The supplier says: I cannot accept the delay under clause 5, so notice is 30 days.", supplier, supplier, None),
+        (1, "b", "t1", "Seller wrote that we must decline late orders. The period is 30 days.", seller, seller, None),
+        (2, "c", "t1", 'It says "I cannot help and must decline" in the letter of the seller.', seller, seller, None),
+        (3, "d", "t2", "I must decline.", seller, seller, None), (4, "e", "t2", "I'm sorry, but I can't help with that.", seller, seller, None), (5, "f", "t2", None, None, None, None), (6, "g", "t2", "", "", "", []),
+    ]
+    assert judged(spark, rows) == {3: "refusal", 4: "refusal", 5: "empty", 6: "empty"}
 
 
 def test_clusters_are_verified(spark):
@@ -136,29 +173,9 @@ def test_variants_of_a_template_are_one_cluster_and_strangers_their_own(spark):
     assert P.clusters(df.where("false")).count() == 0
 
 
-def test_recurrence_reveals_refusals_of_unknown_wording(spark):
-    asks = ["Who paid for the bridge near Alton?", "When was the mill sold?", "Which fee falls due in May?"]
-    lines = {
-        "unknown": "Matters like yours exceed whatever gets handled around here, kindly seek somebody qualified elsewhere.",
-        "missing": "There is no such clause anywhere among those pages, regardless how carefully somebody looks through everything.",
-    }
-    rows = [(100 * k + i, f"c{i}", f"t{i % 3}", text, asks[i % 3], None, None, None, "en", False) for k, text in enumerate(lines.values()) for i in range(6)]
-    # recurring words, each time with the case's own
-    rows += [(300 + i, f"c{i}", f"t{i % 3}", f"Everything considered together and weighed carefully over again, that would probably be {('the bridge', 'the mill', 'the fee')[i % 3]} near Alton.", asks[i % 3], None, None, None, "en", False) for i in range(6)]
-    # reasoning that ends in a label
-    rows += [(500 + i, f"c{i}", f"t{i % 3}", "Everything considered together and weighed carefully over again, somebody qualified would conclude this makes it No.", asks[i % 3], None, None, ["Yes", "No"], "en", False) for i in range(6)]
-    # the same wording for one topic only
-    rows += [(400 + i, f"d{i}", "t0", "Whatever seems plausible remains doubtful until somebody qualified looks thoroughly into everything again.", asks[0], None, None, None, "en", False) for i in range(6)]
-    seen = P.responses(spark.createDataFrame(rows, DDL))
-    assert not seen.where("cue").count()
-    assert {r.key: r.defect for r in P.defects(seen).collect()} == dict.fromkeys(range(6), "refusal")
-
-
-def test_words_of_the_whole_input_count(spark):
-    text = "Matters like yours exceed whatever gets handled around here, kindly seek somebody qualified elsewhere."
-    rows = [(i, f"c{i}", f"t{i % 3}", text, "Who paid?", None, None, None, "en", False, "They seek somebody qualified for the town." if i % 2 else "The mill was sold.") for i in range(6)]
-    seen = P.responses(spark.createDataFrame(rows, DDL + ", source string"))
-    assert {r.key: r.apart for r in seen.collect()} == {i: i % 2 == 0 for i in range(6)}
+def test_the_input_is_given_wherever_it_matters(spark):
+    df = spark.createDataFrame([("one two three", "one two three four", False), ("one [1]", "one two three four", False), ("one", "one two three four", False), ("one [1]", "one two three four", True), ("l’un deux [1] trois", "l'un deux trois quatre", False)], "o string, p string, r boolean")
+    assert [r[0] for r in df.select(P.needs_prompt(F.col("o"), F.col("p"), F.col("r"))).collect()] == [True, False, True, True, True]
 
 
 def test_length_alone_changes_no_defect():
@@ -168,3 +185,11 @@ def test_length_alone_changes_no_defect():
         for a, b in ('""', "«»", "„“", "“”", "‘’"):
             assert P.QUOTED.sub(" ", f"{a}{quote}{b}") == " "
             assert defect(f"The clause that the council of the town has accepted is this: {a}{quote}{b}") is None
+        long = "The council of the town paid" + " [1]" * 300
+        assert defect(long.replace("paid", "paid.")) is None and P.before_trail(long) == "The council of the town paid"
+
+
+def test_phrases():
+    assert P.phrases("I'm sorry, but I can't help Ann Lee with 3 of them. Thank you!") == ["i'm sorry", "but i can't help # # with # of them", "# you"]
+    assert P.phrases("HELLO! I CAN'T.") == ["hello", "i can't"] and P.phrases("") == [] and P.phrases("...") == []
+    assert sum(len(p.split()) for p in P.phrases("word " * 100)) == P.OPENING
