@@ -342,11 +342,14 @@ def look(output: str | None, question: str | None, prompt: str | None, instructi
     return "truncated" if broken else None, answers, free, apart, denies, head
 
 
-def needs_prompt(output: Column, prompt: Column, rewrite: Column) -> Column:
-    """Whether the input can change what `look` says: for rewritten texts, where nothing is cited, and where the output has
-    enough words to give it back (runs of letters and digits, of which there are no fewer than words)."""
-    enough = F.regexp_count(output, F.lit(r"(?U)[^\W_]+")) >= 0.6 * F.regexp_count(prompt, F.lit(r"(?U)[^\W_]+(?:['’][^\W_]+)*"))
-    return rewrite | ~output.rlike(CITE.pattern) | enough
+def words_in(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"(?U)[^\W_]+(?:['’][^\W_]+)*"))
+
+
+def needs_prompt(output: Column, prompt_words: Column, rewrite: Column) -> Column:
+    """Whether the input (of so many words, see `words_in`) can change what `look` says: for rewritten texts, where nothing is
+    cited, and where the output has enough words to give it back (runs of letters and digits are no fewer than words)."""
+    return rewrite | ~output.rlike(CITE.pattern) | (F.regexp_count(output, F.lit(r"(?U)[^\W_]+")) >= 0.6 * prompt_words)
 
 
 def responses(pairs: DataFrame) -> DataFrame:

@@ -118,10 +118,10 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
     rewrite = F.col("suite") == "redaction"
     asked = F.regexp_replace(F.coalesce("question", F.get(F.split("input", PASSAGES), 0)), r"^\s*Question:\s*", "")
     cases = _cases(spark, d, suite="suite", topic="task", question="question", input="input", instructions="instructions", choices="choices")
-    cases = cases.select(F.col("id").alias("case_id"), "topic", rewrite.alias("rewrite"), F.when(rewrite, F.lit("")).otherwise(asked).alias("question"), "input", "instructions", "choices")
+    cases = cases.select(F.col("id").alias("case_id"), "topic", rewrite.alias("rewrite"), F.when(rewrite, F.lit("")).otherwise(asked).alias("question"), "input", pairs.words_in(F.col("input")).alias("input_words"), "instructions", "choices")
     told = cases.select("case_id", "question", "input").mapInArrow(_languages, "case_id string, allowed string")
     both = out.join(cases.join(told, "case_id"), "case_id")
-    return both.withColumn("prompt", F.when(pairs.needs_prompt(F.col("output"), F.col("input"), F.col("rewrite")), F.col("input")))
+    return both.withColumn("prompt", F.when(pairs.needs_prompt(F.col("output"), F.col("input_words"), F.col("rewrite")), F.col("input")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
