@@ -1,12 +1,13 @@
 """Schemas that drift between files: rescue-column ingestion and a report of every change.
 
-Lines are read against a target schema. What fits goes into typed columns; every unknown member and every value that can't
-be cast goes unchanged, as JSON, into the column `rescued`, so nothing is lost. Approved fields are promoted later: a
-promotion names the members under which a field has come and how their values are read, and `replay` fills the typed
-column from the rescued values without touching the source files.
-
-JSON is parsed once per line in Arrow batches by Python's parser: the JVM's parsers accept text after the first value and
-refuse repeated keys, and the problem asks for exactly the lines that are complete JSON objects.
+Lines are read once, against a target schema (`ingest`). What fits goes into typed columns; every unknown member and every
+value that can't be cast goes unchanged, as JSON, into the column `rescued`, so nothing is lost; `members` tells which members
+a line had and of which JSON type. All else works on the ingested table. `changes_of` compares the files' members and, for
+renames, the contents in typed columns and `rescued`. `promotions` collects the names under which a target's fields came;
+those that are approved are promoted by `replay`, which fills the typed columns from `rescued` without reading a line again.
+
+JSON is parsed in Arrow batches by Python's parser: the JVM's parsers accept text after the first value and refuse repeated
+keys, and the problem asks for exactly the lines that are complete JSON objects.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MEMBERS = "array<struct<scope:string,member:string,kind:string,value:string>>"
+from ..plans.session import cut_lineage
+
+#: The member whose own members are members of the line too.
+NESTED = "run"
 
 
 def _no_constant(name: str) -> None:
@@ -58,37 +62,21 @@ def json_kind(value: object) -> str | None:
     return None
 
 
-def members_of(lines: DataFrame, nested: str = "run") -> DataFrame:
-    """Each readable line with its own members and those of its member `nested`, nothing deeper.
-
-    Adds `members`: scope ('' for the line's own, else `nested`), member, kind (NULL where the value tells none) and the
-    value as JSON. Lines that are not one complete JSON object, NULL and empty lines have `members` NULL.
-    """
-    columns = [f.name for f in lines.schema.fields]
-    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("scope", "member", "kind", "value")]))
-    at = columns.index("line")
+def flat_members(line: dict) -> dict[str, object]:
+    """The members of a line by path: its own under their name, those of its member `run` under run.<name>, nothing deeper. A
+    name that itself begins with `run.` gets a dot before it."""
+    out = {("." + k if k.startswith(f"{NESTED}.") else k): v for k, v in line.items()}
+    if isinstance(line.get(NESTED), dict):
+        out |= {f"{NESTED}.{k}": v for k, v in line[NESTED].items()}
+    return out
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for line in b.column(at).to_pylist():
-                o = parse_object(line)
-                if o is None:
-                    out.append(None)
-                    continue
-                rows = [("", k, json_kind(v), json.dumps(v, ensure_ascii=False)) for k, v in o.items()]
-                inner = o.get(nested)
-                if isinstance(inner, dict):
-                    rows += [(nested, k, json_kind(v), json.dumps(v, ensure_ascii=False)) for k, v in inner.items()]
-                out.append([dict(zip(("scope", "member", "kind", "value"), r)) for r in rows])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], [*columns, "members"])
 
-    return lines.mapInArrow(parse, _with_column(lines, "members", MEMBERS))
+def _scope(path: Column) -> Column:
+    return F.when(path.startswith(f"{NESTED}."), NESTED).otherwise("")
 
 
-def _with_column(df: DataFrame, name: str, ddl: str) -> str:
-    """The DDL of df's schema with one more column."""
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` {ddl}"])
+def _member(path: Column) -> Column:
+    return F.regexp_replace(path, rf"^(?:{NESTED}\.|\.(?={NESTED}\.))", "")
 
 
 def with_file_kind(raw: DataFrame) -> DataFrame:
@@ -117,55 +105,89 @@ def _matched(similar: pd.DataFrame) -> pd.DataFrame:
         if ("old", old) not in used and ("new", new) not in used:
             used |= {("old", old), ("new", new)}
             keep.append((old, new))
-    place = similar.columns[:4]
+    place = list(similar.columns[:3])
     return pd.DataFrame([(*similar.iloc[0][place], *k) for k in keep], columns=[*place, "old", "new"])
 
 
-def changes(raw: DataFrame, min_similarity: float = 0.4) -> DataFrame:
-    """Every change of a file against the file of the same kind and collector with the next lower seq.
-
-    raw: collector, seq, file_name, line. Result: collector, seq, kind, scope, member, change (added, removed, renamed,
-    retyped), new_member (of a rename), old_kind, new_kind. A file counts as the set of its readable lines, so lines that
-    were loaded twice or late change nothing; a file without any readable line has no members. A member is renamed when
-    it is gone, another of the same scope is new, both have a common kind of value and the overlap of their contents'
-    profiles is at least min_similarity (of the shares of their tokens, or of the smaller one's distinct tokens); each side takes part in one rename at most, the most similar pair first, until
-    no pair is left (ties by name). Two kinds of value on either side are retyped when the sets of kinds differ.
+def _contents(table: DataFrame, target: dict[str, str], wanted: DataFrame) -> DataFrame:
+    """collector, seq, path, kind, value: the values of the wanted members (collector, seq, wanted: array of paths), from typed
+    columns and `rescued`."""
+    names = column_names(table.columns, target)
+    text = {"string": F.col, "json": F.col, "array<string>": F.to_json, "map<string,string>": F.to_json}
+    entry = lambda path, value: F.struct(F.lit(path).alias("path"), value.alias("value"))
+    typed = [F.when(F.col(names[p]).isNotNull(), entry(p, text.get(t, lambda c: F.col(c).cast("string"))(names[p]))) for p, t in target.items()]
+    inner = {p: names[p] for p in target if p.startswith(f"{NESTED}.")}
+    if inner:
+        whole = F.to_json(F.struct(*[F.col(c).alias(p.split(".", 1)[1]) for p, c in inner.items()]))
+        typed.append(F.when(F.array_contains("wanted", NESTED), entry(NESTED, whole)))
+    left = F.transform(F.map_entries(F.coalesce(F.from_json("rescued", "map<string,string>"), F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
+    found = F.filter(F.concat(F.array_compact(F.array(*typed)), left), lambda e: F.array_contains("wanted", e["path"]))
+    rows = table.join(wanted.hint("merge"), ["collector", "seq"]).withColumn("__kinds", F.from_json("members", "map<string,string>"))
+    return rows.select("collector", "seq", "__kinds", F.inline(found)).select("collector", "seq", "path", F.try_element_at("__kinds", "path").alias("kind"), "value")
+
+
+def changes_of(table: DataFrame, files: DataFrame, target: dict[str, str], kind: str, min_similarity: float = 0.4) -> DataFrame:
+    """Every change of a file against the collector's file with the next lower seq, from files of one kind.
+
+    table: what `ingest` made of their lines, with `members`; files: collector and seq of all files, also of those without a
+    readable line. Result: collector, seq, kind, scope, member, change (added, removed, renamed, retyped), new_member (of a
+    rename), old_kind, new_kind. A file counts as the set of its readable lines, so lines that were loaded twice or late
+    change nothing; a file without any readable line has no members. A member is renamed when it is gone, another of the same
+    scope is new, both have a common kind of value and the overlap of their contents' profiles is at least min_similarity (of
+    the shares of their tokens, or of the smaller one's distinct tokens); each side takes part in one rename at most, the
+    most similar pair first, until no pair is left (ties by name). Two kinds of value on either side are retyped when the sets
+    of kinds differ.
     """
-    file = ["collector", "kind", "seq"]
-    lines = with_file_kind(raw.select("collector", "seq", "file_name", "line"))
-    # the parser is no part of the plan below this point: `kind` names both the file's kind and the value's
-    parsed = members_of(lines).select("collector", "seq", F.col("kind").alias("file_kind"), "members")
-    files = parsed.groupBy("collector", F.col("file_kind"), "seq").agg(F.lit(1).alias("one")).drop("one")
-    order = Window.partitionBy("collector", "file_kind").orderBy("seq")
-    files = files.withColumn("before", F.lag("seq").over(order)).withColumn("after", F.lead("seq").over(order))
-    flat = parsed.select("collector", "file_kind", "seq", F.inline("members"))
-    member = ["collector", "file_kind", "scope", "member"]
+    # files grow with the corpus: their joins are by merging, never by broadcasting what compresses well on disk
+    # a file's lines have few different sets of members: only those are unfolded
+    flat = table.select("collector", "seq", "members").distinct().select("collector", "seq", F.explode(F.from_json("members", "map<string,string>")).alias("path", "kind"))
+    order = Window.partitionBy("collector").orderBy("seq")
+    files = files.select("collector", "seq").distinct().withColumn("before", F.lag("seq").over(order)).withColumn("after", F.lead("seq").over(order))
     # whole numbers among fractions are fractions
     seen = F.array_sort(F.collect_set("kind"))
-    kinds = flat.groupBy(*member, "seq").agg(F.when(F.array_contains(seen, "fraction"), F.array_remove(seen, "integer")).otherwise(seen).alias("kinds"))
-    here = kinds.join(files, ["collector", "file_kind", "seq"])
+    kinds = flat.groupBy("collector", "path", "seq").agg(F.when(F.array_contains(seen, "fraction"), F.array_remove(seen, "integer")).otherwise(seen).alias("kinds"))
     # a member's neighbours: the file before (was it there?) and the file after (is it still there?)
-    w = Window.partitionBy(*member).orderBy("seq")
-    here = here.withColumn("p_seq", F.lag("seq").over(w)).withColumn("p_kinds", F.lag("kinds").over(w)).withColumn("n_seq", F.lead("seq").over(w))
+    w = Window.partitionBy("collector", "path").orderBy("seq")
+    here = kinds.join(files.hint("merge"), ["collector", "seq"]).select("*", F.lag("seq").over(w).alias("p_seq"), F.lag("kinds").over(w).alias("p_kinds"), F.lead("seq").over(w).alias("n_seq"))
     same = F.col("p_seq").eqNullSafe(F.col("before"))
-    added = here.where(F.col("before").isNotNull() & ~same).select("collector", "file_kind", F.col("seq").alias("at"), "scope", "member", F.col("seq").alias("seq"), F.lit("added").alias("side"))
-    removed = here.where(F.col("after").isNotNull() & ~F.col("n_seq").eqNullSafe(F.col("after"))).select("collector", "file_kind", F.col("after").alias("at"), "scope", "member", F.col("seq").alias("seq"), F.lit("removed").alias("side"))
-    retyped = here.where(F.col("before").isNotNull() & same & (F.size("kinds") > 0) & (F.size("p_kinds") > 0) & (F.col("kinds") != F.col("p_kinds"))).select("collector", "file_kind", F.col("seq").alias("at"), "scope", "member", F.lit("retyped").alias("change"), F.lit(None).cast("string").alias("new_member"), F.array_join("p_kinds", "|").alias("old_kind"), F.array_join("kinds", "|").alias("new_kind"))
-    sides = added.unionByName(removed)
-    # only the contents of members that came or went are profiled
-    content = flat.join(sides, ["collector", "file_kind", "seq", "scope", "member"])
-    prof = _profile(content.select("collector", "file_kind", "at", "scope", "side", "member", "kind", "value"), ["collector", "file_kind", "at", "scope", "side", "member"])
-    place = ["collector", "file_kind", "at", "scope"]
-    a = prof.where("side = 'removed'").select(*place, F.col("member").alias("old"), "kind", "token", F.col("share").alias("p"), F.col("telling").alias("n"))
-    b = prof.where("side = 'added'").select(*place, F.col("member").alias("new"), "kind", "token", F.col("share").alias("q"), F.col("telling").alias("m"))
-    similar = a.join(b, [*place, "kind", "token"]).groupBy(*place, "old", "new").agg(F.greatest(F.sum(F.least("p", "q")), F.coalesce(F.try_divide(F.count_if(F.col("token") != "X") * 0.9, F.max(F.least("n", "m"))), F.lit(0.0))).alias("similarity")).where(F.col("similarity") >= min_similarity)
-    pairs = similar.groupBy(*place).applyInPandas(_matched, similar.select(*place, "old", "new").schema)
+    event = lambda at, change: F.struct(at.alias("at"), F.lit(change).alias("change"))
+    told = F.array_compact(
+        F.array(
+            F.when(F.col("before").isNotNull() & ~same, event(F.col("seq"), "added")),
+            F.when(F.col("after").isNotNull() & ~F.col("n_seq").eqNullSafe(F.col("after")), event(F.col("after"), "removed")),
+            F.when(F.col("before").isNotNull() & same & (F.size("kinds") > 0) & (F.size("p_kinds") > 0) & (F.col("kinds") != F.col("p_kinds")), event(F.col("seq"), "retyped")),
+        )
+    )
+    events = cut_lineage(here.select("collector", "seq", "path", F.array_join("p_kinds", "|").alias("old_kind"), F.array_join("kinds", "|").alias("new_kind"), F.inline(told)))
+    sides = events.where("change != 'retyped'").select("collector", "seq", "path", "at", "change")
+    # only the contents of members that came or went are looked at
+    wanted = sides.groupBy("collector", "seq").agg(F.collect_set("path").alias("wanted"))
+    content = _contents(table, target, wanted).join(sides.hint("merge"), ["collector", "seq", "path"]).withColumn("scope", _scope(F.col("path")))
+    place = ["collector", "at", "scope"]
+    prof = _profile(content, [*place, "change", "path"])
+    a = prof.where("change = 'removed'").select(*place, F.col("path").alias("old"), "kind", "token", F.col("share").alias("p"), F.col("telling").alias("n"))
+    b = prof.where("change = 'added'").select(*place, F.col("path").alias("new"), "kind", "token", F.col("share").alias("q"), F.col("telling").alias("m"))
+    both = a.join(b.hint("merge"), [*place, "kind", "token"]).groupBy(*place, "old", "new")
+    similar = both.agg(F.greatest(F.sum(F.least("p", "q")), F.coalesce(F.try_divide(F.count_if(F.col("token") != "X") * 0.9, F.max(F.least("n", "m"))), F.lit(0.0))).alias("similarity")).where(F.col("similarity") >= min_similarity)
+    pairs = cut_lineage(similar.groupBy(*place).applyInPandas(_matched, similar.select(*place, "old", "new").schema))
     none = F.lit(None).cast("string")
-    renamed = pairs.select(*place, F.col("old").alias("member"), F.lit("renamed").alias("change"), F.col("new").alias("new_member"), none.alias("old_kind"), none.alias("new_kind"))
-    used = pairs.select(*place, F.col("old").alias("member"), F.lit("removed").alias("side")).unionByName(pairs.select(*place, F.col("new").alias("member"), F.lit("added").alias("side")))
-    rest = sides.join(used, [*place, "member", "side"], "left_anti").select(*place, "member", F.col("side").alias("change"), none.alias("new_member"), none.alias("old_kind"), none.alias("new_kind"))
-    out = rest.unionByName(renamed).unionByName(retyped)
-    return out.select("collector", F.col("at").alias("seq"), F.col("file_kind").alias("kind"), "scope", "member", "change", "new_member", "old_kind", "new_kind")
+    renamed = pairs.select("collector", "at", F.col("old").alias("path"), F.lit("renamed").alias("change"), _member(F.col("new")).alias("new_member"), none.alias("old_kind"), none.alias("new_kind"))
+    used = pairs.select("collector", "at", F.inline(F.array(F.struct(F.col("old").alias("path"), F.lit("removed").alias("change")), F.struct(F.col("new").alias("path"), F.lit("added").alias("change")))))
+    typed = F.col("change") == "retyped"
+    rest = events.join(used.hint("merge"), ["collector", "at", "path", "change"], "left_anti").select("collector", "at", "path", "change", none.alias("new_member"), F.when(typed, F.col("old_kind")).alias("old_kind"), F.when(typed, F.col("new_kind")).alias("new_kind"))
+    out = rest.unionByName(renamed)
+    return out.select("collector", F.col("at").alias("seq"), F.lit(kind).alias("kind"), _scope(F.col("path")).alias("scope"), _member(F.col("path")).alias("member"), "change", "new_member", "old_kind", "new_kind")
+
+
+def changes(raw: DataFrame, min_similarity: float = 0.4) -> DataFrame:
+    """The changes of all files (see `changes_of`) of raw lines: collector, seq, file_name, line. Each line is read once."""
+    out = None
+    for kind, target in TARGETS.items():
+        lines = with_file_kind(raw.select("collector", "seq", "file_name", "line")).where(F.col("kind") == kind)
+        table = cut_lineage(ingest(lines.select("collector", "seq", "line"), target, members=True).drop("line"))
+        part = changes_of(table, lines.select("collector", "seq"), target, kind, min_similarity)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 #: Target schemas: member path -> Spark type. Scalars are cast by kind, `json` keeps the value as JSON text.
@@ -180,6 +202,9 @@ MANIFEST = {
 }
 
 
+TARGETS = {"results": RECORD, "run": MANIFEST}
+
+
 def _fit(value: object, kind: str) -> tuple[bool, object]:
     """Whether a JSON value fits a type, and the value. null fits every type."""
     if value is None:
@@ -209,52 +234,85 @@ def _column(path: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", path.replace("run.", "")).lower()
 
 
-def ingest(lines: DataFrame, target: dict[str, str], promoted: dict[str, list[str]] | None = None) -> DataFrame:
+def column_names(own: list[str], target: dict[str, str]) -> dict[str, str]:
+    """The typed column of each target member, in a table made of lines with the columns `own`, or in such a table, which has `rescued`."""
+    out = {p: _column(p) for p in target}
+    if "rescued" in own:  # an ingested table
+        return {p: n + "_" if n + "_" in own else n for p, n in out.items()}
+    clash = {c.lower() for c in own}
+    return {p: (n + "_" if n in clash else n) for p, n in out.items()}
+
+
+def ingest(lines: DataFrame, target: dict[str, str], members: bool = False) -> DataFrame:
     """Lines as typed rows: lines' own columns, one column per member of `target`, and `rescued` (JSON text or NULL).
 
-    Members that `target` doesn't name and values of another type are kept in `rescued` under their path. promoted: target
-    member -> other names, in order, under which its content came; they are replayed into the typed column where that is
-    empty (see `replay_value` for values of another type), and stay in `rescued`. Unreadable lines give no row.
+    Members that `target` doesn't name and values of another type are kept in `rescued` under their path. members: add
+    `members`, the paths of all members of the line with their JSON type (NULL where the value tells none), as JSON.
+    Unreadable lines give no row.
     """
     own = [f.name for f in lines.schema.fields]
-    names = {p: _column(p) for p in target}
-    clash = {c.lower() for c in own}
-    names = {p: (n + "_" if n in clash else n) for p, n in names.items()}
+    names = column_names(own, target)
     ddl = {"json": "string"}
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields), *(f"`{names[p]}` {ddl.get(t, t)}" for p, t in target.items()), "rescued string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields), *(f"`{names[p]}` {ddl.get(t, t)}" for p, t in target.items()), "rescued string", *["members string"] * members])
     at = own.index("line")
-    promote = promoted or {}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: dict[str, list] = {p: [] for p in target}
-            rescued, keep = [], []
+            rescued, told, keep = [], [], []
             for i, line in enumerate(b.column(at).to_pylist()):
                 o = parse_object(line)
                 if o is None:
                     continue
                 keep.append(i)
-                flat = {k: v for k, v in o.items() if not (k == "run" and isinstance(v, dict))}
-                if isinstance(o.get("run"), dict):
-                    flat |= {f"run.{k}": v for k, v in o["run"].items()}
-                left = {k: v for k, v in flat.items() if k not in target}
+                flat = flat_members(o)
+                if members:
+                    told.append(json.dumps({p: json_kind(v) for p, v in flat.items()}, ensure_ascii=False, sort_keys=True))
+                left = {p: v for p, v in flat.items() if p not in target and not (p == NESTED and isinstance(v, dict))}
                 for p, t in target.items():
                     ok, v = _fit(flat.get(p), t)
                     if not ok:
-                        left[p] = flat[p]
-                        v = None
-                    if v is None:
-                        for other in [p, *promote.get(p, [])]:
-                            if other in left and (v := replay_value(left[other], t)) is not None:
-                                break
+                        left[p], v = flat[p], None
                     cols[p].append(v)
-                rescued.append(json.dumps(left, ensure_ascii=False, sort_keys=True) if left else None)
+                rescued.append(json.dumps(left, ensure_ascii=False) if left else None)
             taken = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(cols[p], ARROW[t]) for p, t in target.items()), pa.array(rescued, pa.string())], [*own, *names.values(), "rescued"])
+            more = [pa.array(told, pa.string())] * members
+            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(cols[p], ARROW[t]) for p, t in target.items()), pa.array(rescued, pa.string()), *more], [*own, *names.values(), "rescued", *["members"] * members])
 
     return lines.mapInArrow(rows, schema)
 
 
+def replay(table: DataFrame, target: dict[str, str], promoted: dict[str, list[str]]) -> DataFrame:
+    """An ingested table with approved fields promoted: an empty typed column is filled from `rescued`, where the member's own
+    value of another type, or else one of its promoted names (in their order), can be read by `replay_value`.
+
+    `rescued` stays as it is, so a replay can be repeated with other promotions. Rows without rescued members pass by.
+    """
+    names = column_names(table.columns, target)
+    columns = table.columns
+    at = columns.index("rescued")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = [json.loads(x) for x in b.column(at).to_pylist()]
+            cols = list(b.columns)
+            for p, t in target.items():
+                i = columns.index(names[p])
+                found, changed = cols[i].to_pylist(), False
+                for k, (v, some) in enumerate(zip(found, left)):
+                    if v is None:
+                        for other in [p, *promoted.get(p, [])]:
+                            if other in some and (v := replay_value(some[other], t)) is not None:
+                                found[k], changed = v, True
+                                break
+                if changed:
+                    cols[i] = pa.array(found, ARROW[t])
+            yield pa.RecordBatch.from_arrays(cols, columns)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
+    return table.where("rescued is null").unionByName(table.where("rescued is not null").mapInArrow(fill, schema))
+
+
 def replay_value(value: object, kind: str) -> object:
     """A rescued value of an approved field read into its typed column; None if it can't be read.
 
@@ -287,31 +345,26 @@ def replay_value(value: object, kind: str) -> object:
     return None
 
 
-#: More distinct renames than this are no list that someone approved.
-MAX_PROMOTIONS = 1000
-
-
-def promotions(found: DataFrame, kind: str, target: dict[str, str], limit: int = MAX_PROMOTIONS) -> dict[str, list[str]]:
+def promotions(found: DataFrame, kind: str, target: dict[str, str], approved: set[str] | None = None) -> dict[str, list[str]]:
     """Names under which the target's members came, from the renames of `changes`, followed from name to name.
 
-    The distinct pairs of names are a few even where the files are many; more than `limit` raise an error.
+    approved: the paths that may be promoted; all that were found if None. The target's names are followed outwards, a step
+    at a time, so only names that belong to it come to the driver, whatever else was renamed.
     """
-    rows = found.where((F.col("kind") == kind) & (F.col("change") == "renamed")).select("scope", "member", "new_member").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct renames: approve a list by hand")
-    link: dict[str, set[str]] = {}
-    for r in rows:
-        a, b = ((f"{r.scope}." if r.scope else "") + x for x in (r.member, r.new_member))
-        link.setdefault(a, set()).add(b)
-        link.setdefault(b, set()).add(a)
-    out = {}
-    for p in target:
-        seen, todo = {p}, [p]
-        while todo:
-            for n in sorted(link.get(todo.pop(0), set()) - seen):
-                if n not in target:
-                    seen.add(n)
-                    todo.append(n)
-        if len(seen) > 1:
-            out[p] = sorted(seen - {p})
-    return out
+    path = lambda c: F.when(F.col("scope") == "", F.col(c)).otherwise(F.concat_ws(".", "scope", c))
+    rows = found.where((F.col("kind") == kind) & (F.col("change") == "renamed")).select(path("member").alias("a"), path("new_member").alias("b"))
+    links = cut_lineage(rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    of = {p: p for p in target}
+    todo = list(target)
+    while todo:
+        step = links.where(F.col("a").isin(todo)).collect()  # names of one schema's fields
+        todo = []
+        for a, b in sorted(tuple(r) for r in step):
+            if b not in of and (approved is None or b in approved):
+                of[b] = of[a]
+                todo.append(b)
+    out: dict[str, list[str]] = {}
+    for name, p in of.items():
+        if name != p:
+            out.setdefault(p, []).append(name)
+    return {p: sorted(v) for p, v in out.items()}

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import latest_by
-from ..operators.drift import MANIFEST, RECORD, changes, ingest, promotions, with_file_kind
+from ..operators.drift import TARGETS, changes, changes_of, ingest, promotions, replay, with_file_kind
 from ..operators.nested import flatten, within
+from .session import cut_lineage
 
 STAGES, FINDINGS = "run_trace_stages", "run_trace_stages_findings"
 
@@ -54,23 +55,37 @@ def p5_changes(spark: SparkSession, d: str) -> DataFrame:
     return changes(_raw(spark, d))
 
 
-def _ingested(spark: SparkSession, d: str, kind: str, target: dict[str, str]) -> DataFrame:
-    raw = _raw(spark, d)
-    lines = with_file_kind(raw).where(F.col("kind") == kind)
-    one = latest_by(lines, ["collector", "seq", "file_name", "line_no"], "loaded_at", ["line", "loaded_at"])
-    return ingest(one, target, promotions(changes(raw), kind, target)).drop("line")
+def _promoted(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The ingested lines of one kind of file, read once, and the approved promotions: every name that a target's member was
+    renamed to or from is approved here."""
+    lines = with_file_kind(_raw(spark, d)).where(F.col("kind") == kind).drop("kind")
+    table = cut_lineage(ingest(lines, TARGETS[kind], members=True).drop("line"))
+    found = changes_of(table, lines, TARGETS[kind], kind)
+    return table, promotions(found, kind, TARGETS[kind])
+
+
+def _ingested(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    table, promoted = _promoted(spark, d, kind)
+    one = latest_by(table.drop("members"), ["collector", "seq", "file_name", "line_no"], "loaded_at")
+    return replay(one, TARGETS[kind], promoted)
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    return _ingested(spark, d, "results", RECORD)
+    return _ingested(spark, d, "results")
 
 
 def p5_manifests(spark: SparkSession, d: str) -> DataFrame:
-    return _ingested(spark, d, "run", MANIFEST)
+    return _ingested(spark, d, "run")
+
+
+def p5_promotions(spark: SparkSession, d: str) -> DataFrame:
+    """kind, member, names: the approved list behind `p5_records` and `p5_manifests`."""
+    rows = [(kind, p, names) for kind in TARGETS for p, names in _promoted(spark, d, kind)[1].items()]
+    return spark.createDataFrame(rows, "kind string, member string, names array<string>")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_records, p4_grades, p4_stages, p4_findings, p5_found, p5_changes, p5_records, p5_manifests)
+    f.__name__: f for f in (p4_found, p4_records, p4_grades, p4_stages, p4_findings, p5_found, p5_changes, p5_records, p5_manifests, p5_promotions)
 }
 
 #: The latest load of each record, with the numbers that its arrays use up.

@@ -2,9 +2,7 @@
 
 import json
 
-import pytest
-
-from caseloom.operators.drift import changes, ingest, json_kind, parse_object, promotions, replay_value
+from caseloom.operators.drift import changes, flat_members, ingest, json_kind, parse_object, promotions, replay, replay_value
 
 
 def lines(spark, files, collector="c"):
@@ -71,7 +69,10 @@ def test_rescue_and_replay(spark):
     rows = {r.line_no: r for r in ingest(src, target).collect()}
     assert set(rows) == {1, 2, 4} and rows[1].n == 3 and json.loads(rows[1].rescued) == {"run.extra": {"a": [1]}}
     assert rows[2].n is None and json.loads(rows[2].rescued) == {"run.n": "x", "run_status": 2}
-    again = {r.line_no: r for r in ingest(src, target, {"status": ["run_status"]}).collect()}
+    # a replay works on what was ingested, there are no lines any more
+    table = ingest(src, target).drop("line")
+    again = {r.line_no: r for r in replay(table, target, {"status": ["run_status"]}).collect()}
+    assert again[1] == rows[1].__class__(**{k: v for k, v in rows[1].asDict().items() if k != "line"}) and replay(table, target, {}).where("status is not null").count() == 2
     assert again[2].status == "2" and json.loads(again[2].rescued)["run_status"] == 2 and again[4].status == "ok"
     assert replay_value("one", "array<string>") == ["one"] and replay_value(["m"], "map<string,string>") == [("m", None)] and replay_value([1], "bigint") is None
 
@@ -79,5 +80,15 @@ def test_rescue_and_replay(spark):
 def test_promotions_follow_names(spark):
     df = spark.createDataFrame([("results", "", "status", "renamed", "outcome"), ("results", "", "outcome", "renamed", "state"), ("results", "run", "x", "added", None)], "kind string, scope string, member string, change string, new_member string")
     assert promotions(df, "results", {"status": "string"}) == {"status": ["outcome", "state"]}
-    with pytest.raises(ValueError):
-        promotions(df, "results", {"status": "string"}, limit=1)
+    assert promotions(df, "results", {"status": "string"}, approved={"outcome"}) == {"status": ["outcome"]} and promotions(df.where("false"), "run", {"status": "string"}) == {}
+
+
+def test_members_by_path():
+    assert flat_members({"a": 1, "run": {"b": 2}, "run.b": 3}) == {"a": 1, "run": {"b": 2}, "run.b": 2, ".run.b": 3} and flat_members({"run": None}) == {"run": None}
+
+
+def test_a_renamed_run_and_files_without_readable_lines(spark):
+    long = {"caseId": "a-1", "output": "the council paid for the bridge"}
+    files = [(1, "results.jsonl", [{"run": long}]), (2, "results.jsonl", [{"record": long}]), (3, "results.jsonl", ["cut"]), (4, "results.jsonl", [{"record": long}])]
+    gone = {(2, "results", "run", m, "removed", None) for m in long}
+    assert found(changes(lines(spark, files))) == gone | {(2, "results", "", "run", "renamed", "record"), (3, "results", "", "record", "removed", None), (4, "results", "", "record", "added", None)}
