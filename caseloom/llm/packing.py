@@ -9,10 +9,11 @@ split only if it alone exceeds the capacity: into full containers and a rest tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +21,9 @@ from ..plans.session import cut_lineage
 from . import tokens
 
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up: those with the greatest weight.
+#: Terms of a seed that are looked up first, those with the greatest weight; four times as many whenever the neighbours they
+#: find don't fill the container, in the end all.
 QUERY_TERMS = 16
-#: A neighbour that shares only words in more than this part of the documents is none.
-COMMON = 0.2
 SHARD_TOKENS = 2_000_000
 #: A container with less than this is repacked in the second round.
 FULL = 0.985
@@ -54,7 +54,7 @@ def with_tokens(documents: DataFrame, key: str, text: str, path: str | None = No
 
 
 class Index:
-    """BM25 over the items of a shard: postings of all but the most common terms, weights worked out beforehand."""
+    """BM25 over the items of a shard: postings of all terms, weights worked out beforehand."""
 
     def __init__(self, terms: np.ndarray, counts: np.ndarray, offsets: np.ndarray, idf: np.ndarray, mean: float):
         n = len(offsets) - 1
@@ -64,18 +64,18 @@ class Index:
         weight = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[item] / max(mean, 1.0)))
         keep = idf[terms] > 0
         terms, item, weight = terms[keep], item[keep], weight[keep].astype(np.float32)
-        # of each item the heaviest terms, for when it is a seed
+        # of each item the terms, the heaviest first, for when it is a seed
         order = np.lexsort((-weight, item))
         start = np.searchsorted(item[order], np.arange(n + 1))
-        self.query = [terms[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(start[:-1], start[1:])]
+        self.query = [terms[order[a:b]] for a, b in zip(start[:-1], start[1:])]
         by_term = np.argsort(terms, kind="stable")
         self.item, self.weight = item[by_term], weight[by_term]
         self.first = np.searchsorted(terms[by_term], np.arange(len(idf) + 1))
 
-    def neighbours(self, seed: int, free: np.ndarray, room: int) -> list[int]:
-        """Items that share a looked-up term with the seed, are free (their size, 0 if not) and fit, best first, ties by
-        number."""
-        q = self.query[seed]
+    def neighbours(self, seed: int, free: np.ndarray, room: int, terms: int | None = None) -> list[int]:
+        """Items that share one of the seed's heaviest terms (so many, or all), are free (their size, 0 if not) and fit, best
+        first, ties by number."""
+        q = self.query[seed][:terms]
         if not len(q):
             return []
         runs = [slice(self.first[t], self.first[t + 1]) for t in q]
@@ -118,8 +118,10 @@ def pack(sizes: Sequence[int], capacity: int, index: Index | None) -> list[list[
     while (seed := largest(capacity)) is not None:
         used[seed], free[seed] = 1, 0
         inside, room = [seed], capacity - sizes[seed]
-        if index is not None and room and largest(room) is not None:
-            for i in index.neighbours(seed, free, room):
+        looked = 0
+        while index is not None and looked < len(index.query[seed]) and room and largest(room) is not None:
+            looked = 4 * looked or QUERY_TERMS
+            for i in index.neighbours(seed, free, room, looked):
                 if sizes[i] <= room:
                     used[i], free[i] = 1, 0
                     inside.append(i)
@@ -148,18 +150,19 @@ def pack_documents(sized: DataFrame, capacities: dict[int, int], key: str, shard
     full containers. Documents of 0 tokens come out too. A repeated key comes out as often as it is given.
     """
     kind = sized.schema[key].dataType.simpleString()
+    if not capacities:
+        raise ValueError("no capacities")
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     # as many rows as the vocabulary has entries, whatever the size of the corpus
     counted = sized.select(F.explode("terms").alias("t")).groupBy("t").count().collect()
     df = np.zeros(vocabulary_size, np.float64)
     for t, c in counted:
         df[t] = c
-    idf = np.where((df > 0) & (df <= max(1.0, COMMON * n)), np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0).astype(np.float32)
+    idf = np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0).astype(np.float32)
     mean = total / max(1, n)
     specs = sorted(capacities.items())
 
     def rows(table: pa.Table, name: str, caps: list[tuple[int, int]], whole: bool) -> Iterator[tuple]:
-        keys = table.column("key").combine_chunks()
         sizes = table.column("tokens").to_numpy()
         terms = table.column("terms").combine_chunks()
         flat, off = terms.flatten().to_numpy(zero_copy_only=False), terms.offsets.to_numpy()
@@ -180,7 +183,6 @@ def pack_documents(sized: DataFrame, capacities: dict[int, int], key: str, shard
                 for i in inside:
                     yield spec, f"{name}-{made}", i, int(part[i] + full[i]), int(first[i] + full[i] * capacity), int(rest[i]), share
                 made += 1
-        del keys
 
     out_kind = f"spec_id int, container string, key {kind}, part int, first_token int, tokens int, share double, terms array<int>, counts array<int>"
     names = ["spec_id", "container", "key", "part", "first_token", "tokens", "share", "terms", "counts"]
@@ -198,24 +200,37 @@ def pack_documents(sized: DataFrame, capacities: dict[int, int], key: str, shard
             names,
         )
 
-    shards = max(1, -(-int(total) // shard_tokens))
-    first_round = sized.select(F.col(key).alias("key"), "tokens", "terms", "counts", F.pmod(F.xxhash64(F.col(key)), F.lit(shards)).cast("int").alias("shard"))
+    def by_shard(df: DataFrame, count: int, work: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
+        """Each shard (0 to count - 1) in a partition and task of its own; shards never collide as hashed ones do."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            table = pa.Table.from_batches(held)
+            for shard in sorted(set(table.column("shard").to_pylist())):
+                yield from work(shard, table.filter(pc.equal(table.column("shard"), shard))).to_batches()
 
-    def one(group: tuple, table: pa.Table) -> pa.Table:
-        return emit(table, f"a{group[0].as_py()}", specs, True)
+        return df.repartitionById(count, "shard").mapInArrow(run, out_kind)
 
-    packed = cut_lineage(first_round.repartition(shards, "shard").groupBy("shard").applyInArrow(one, out_kind))
+    shards = max(1, -(-int(total) // shard_tokens))
+    first_round = sized.select(F.col(key).alias("key"), "tokens", "terms", "counts", F.pmod(F.xxhash64(F.col(key)), F.lit(shards)).cast("int").alias("shard"))
+    packed = cut_lineage(by_shard(first_round, shards, lambda shard, table: emit(table, f"a{shard}", specs, True)))
     done = packed.where(F.col("share") >= FULL)
     open_again = packed.where(F.col("share") < FULL)
     left = {r[0]: r[1] for r in open_again.groupBy("spec_id").agg(F.sum("tokens")).collect()}  # a row per capacity
-    count = F.coalesce(*[F.when(F.col("spec_id") == s, F.lit(max(1, -(-int(left.get(s) or 0) // shard_tokens)))) for s, _ in specs])
-    second = open_again.select("spec_id", "key", "part", F.col("first_token").alias("first"), "tokens", "terms", "counts", F.pmod(F.xxhash64("key", "part"), count).cast("int").alias("shard"))
-
-    def two(group: tuple, table: pa.Table) -> pa.Table:
-        spec, shard = (g.as_py() for g in group)
+    # the shards of all capacities are numbered through
+    counts = [max(1, -(-int(left.get(spec) or 0) // shard_tokens)) for spec, _ in specs]
+    starts = [sum(counts[:i]) for i in range(len(counts))]
+    count = F.coalesce(*[F.when(F.col("spec_id") == spec, F.lit(k)) for (spec, _), k in zip(specs, counts)])
+    start = F.coalesce(*[F.when(F.col("spec_id") == spec, F.lit(k)) for (spec, _), k in zip(specs, starts)])
+    second = open_again.select("spec_id", "key", "part", F.col("first_token").alias("first"), "tokens", "terms", "counts", (start + F.pmod(F.xxhash64("key", "part"), count)).cast("int").alias("shard"))
+
+    def two(shard: int, table: pa.Table) -> pa.Table:
+        spec = table.column("spec_id")[0].as_py()
         return emit(table, f"b{shard}", [(spec, capacities[spec])], False)
 
-    repacked = second.groupBy("spec_id", "shard").applyInArrow(two, out_kind)
+    repacked = by_shard(second, sum(counts), two)
     both = done.unionByName(repacked)
     return both.select("spec_id", "container", F.col("key").alias(key), "part", "first_token", "tokens")
 
