@@ -79,8 +79,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     # pieces of both imports of a case are made and only their keys are shuffled: cheaper than one import's texts
     raw = _table(spark, d, "public_cases").select("id", "imported_at", F.posexplode("docs").alias("place", "doc"))
     long = raw.select(F.col("id").alias("case_id"), (F.col("place") + 1).alias("passage"), "imported_at", F.col("doc.text").alias("text"))
-    pieces = splitting.split_oversized(long, "text", ["case_id", "passage", "imported_at"], with_text=False)
-    cut = pieces.groupBy("case_id", "passage", "imported_at").agg(F.max(F.col("boundary") == "forced").alias("forced"))
+    # a stretch without white space counts as forced even where it could be cut after a full stop of its script
+    long = long.withColumn("unbroken", F.col("text").rlike(r"[^\s\x1c-\x1f\x{85}\p{Z}]{2001}"))
+    pieces = splitting.split_oversized(long, "text", ["case_id", "passage", "imported_at", "unbroken"], with_text=False)
+    cut = pieces.groupBy("case_id", "passage", "imported_at").agg(F.max((F.col("boundary") == "forced") | F.col("unbroken")).alias("forced"))
     one = cut.groupBy("case_id", "passage").agg(F.max_by("forced", "imported_at").alias("forced"))
     return one.select("case_id", "passage", F.when(F.col("forced"), "forced").otherwise("boundary").alias("cut"))
 

@@ -2,7 +2,7 @@
 
 Balanced targets: the fewest pieces that can hold the text are planned as equally long ones, each planned end is snapped to
 the strongest boundary near it, and the plan gets one more piece whenever a limit fails. Where no plan of that kind fits
-(long stretches without white space) the rest is placed piece by piece.
+(long stretches without white space) the text is placed piece by piece.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ BOUNDARIES = (
     ("word", re.compile(r"\s+")),
 )
 SPACE = re.compile(r"\s")
+#: A cut is made after white space or after a stop of scripts that set none.
+BREAK = re.compile(r"[\s。！？]")
 
 Piece = tuple[int, int, str]
 
@@ -38,7 +40,7 @@ def _snap(text: str, target: int, low: int, high: int) -> tuple[int, str] | None
         best = None
         for m in pattern.finditer(part):
             at = begin + m.end()
-            if low <= at <= high and at < len(text) and SPACE.match(text[at - 1]) and (best is None or abs(at - target) < abs(best - target)):
+            if low <= at <= high and at < len(text) and BREAK.match(text[at - 1]) and (best is None or abs(at - target) < abs(best - target)):
                 best = at
         if best is not None:
             return best, name
@@ -80,7 +82,7 @@ def _piecewise(text: str, limit: int, overlap: int, reach: int) -> list[Piece]:
             found = high, "word"  # just before white space
         if found is None and end > 0:
             # no white space up to the limit: give up a part of the overlap
-            m = SPACE.search(text, high, min(n, end + limit + 1))
+            m = BREAK.search(text, high, min(n, end + limit + 1))
             if m:
                 cut = min(m.end(), end + limit)
                 start = max(start, cut - limit)
@@ -99,20 +101,23 @@ def _piecewise(text: str, limit: int, overlap: int, reach: int) -> list[Piece]:
     return out
 
 
-def split_text(text: str, limit: int = 2000, overlap: int = 200, reach: int = 250, extra: int = 4) -> list[Piece]:
+def split_text(text: str, limit: int = 2000, overlap: int = 200, reach: int = 250) -> list[Piece]:
     """Pieces as (start, end, boundary at the end), in characters; they cover the text, none is longer than limit.
 
     Each piece begins `overlap` characters before the end of the piece before; the overlap is shorter only where it would
-    force a cut inside a word. A text up to the limit is one piece. `reach` is how far an end may move from its target,
-    `extra` how many pieces more than the fewest are tried before the text is placed piece by piece. boundary is one of
-    paragraph, line, sentence, clause, word, forced (inside a stretch without white space longer than the limit), end.
+    force a cut inside a word. A text up to the limit is one piece. `reach` is how far an end may move from its target. One
+    piece more is planned whenever a limit fails, up to the number at which two neighbouring targets and both reaches fit
+    into a piece: from there on only a stretch without any boundary of two reaches or more can make a plan fail, which more
+    pieces don't mend, and the text is placed piece by piece. boundary is one of paragraph, line, sentence, clause, word,
+    forced (inside a stretch without a boundary longer than the limit), end.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below the limit")
     if len(text) <= limit:
         return [(0, len(text), "end")]
     fewest = -(-(len(text) - overlap) // (limit - overlap))
-    for pieces in range(fewest, fewest + extra + 1):
+    most = -(-(len(text) - overlap) // max(1, limit - overlap - 2 * reach))
+    for pieces in range(fewest, max(fewest, most) + 1):
         found = _planned(text, limit, overlap, pieces, reach)
         if found:
             return found

@@ -1,5 +1,6 @@
 """Pieces: limits, cover, overlap, natural boundaries, forced cuts only where there is no other way."""
 
+import random
 import re
 
 import pytest
@@ -16,7 +17,7 @@ def check(text, limit, overlap):
     for (s, e, _), (s2, e2, _) in zip(pieces, pieces[1:]):
         assert s < s2 <= e < e2 and e - s2 <= overlap
     forced = any(k == "forced" for *_, k in pieces)
-    assert forced == (max(len(x) for x in re.split(r"\s", text)) > limit)
+    assert forced == (max(len(x) for x in re.split(r"\s|(?<=[。！？])", text)) > limit)
     return pieces
 
 
@@ -56,3 +57,18 @@ def test_operator(spark):
         assert r.piece_text == text[r.start : r.end] and len(r.piece_text) <= 2000
     assert len([r for r in rows if r.case_id == "a" and r.piece == 1]) == 2
     assert split_oversized(df.where("false"), "text", ["case_id"]).count() == 0
+
+
+def test_scripts_without_white_space_are_cut_at_their_stops():
+    text = "该条款将金额限制在每年以内并要求双方遵守。" * 300
+    pieces = split_text(text)
+    assert {k for _, _, k in pieces} == {"sentence", "end"} and all(text[e - 1] == "。" for _, e, _ in pieces) and max(e - s for s, e, _ in pieces) <= 2000
+
+
+def test_as_many_pieces_as_a_plan_needs():
+    # boundaries in every window: a plan is always found, whatever the number of pieces beyond the fewest
+    r = random.Random(5)
+    for n in (5_000, 40_000):
+        text = " ".join("x" * r.randint(300, 450) for _ in range(n // 400))
+        pieces = split_text(text)
+        assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(b[0] == a[1] - 200 for a, b in zip(pieces, pieces[1:])) and "forced" not in {k for _, _, k in pieces}
