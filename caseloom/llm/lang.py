@@ -40,6 +40,19 @@ GRAMMAR: dict[str, frozenset[str]] = {
     }.items()
 }
 
+# fixed values: the same for languages told by their script; Chinese and Japanese by characters
+_SCRIPTED: dict[str, str] = {
+    "ru": "и в во на с со не что по как он она они это этот для от из к у за то же но так или если когда который которая которые был была были его их мы я все при до после",
+    "el": "ο η το οι τα του της των τον την και να σε με για από που ότι δεν είναι ήταν θα στο στη στην στον ή αν όταν μετά πριν",
+    "zh": "的 是 在 和 了 有 不 为 與 与 或 以 及 将 将 由 其 该 該 之 于 並 并 也 就 而 被 把 从 向 对 如 若 时 后 前 所 者 这 那 我 你 他 们",
+    "ja": "の は が を に へ と で も や か ら り る た て な い し す こ そ あ れ さ ま",
+    "ko": "이 그 저 것 수 및 또는 그리고 에 를 을 는 은 의 가",
+}
+#: Words that make a sentence, of every language that has a list.
+FUNCTION: dict[str, frozenset[str]] = WORDS | {k: frozenset(v.split()) for k, v in _SCRIPTED.items()} | GRAMMAR
+#: Scripts without spaces: their characters count as words.
+SPACELESS = frozenset(("zh", "ja"))
+
 WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?")
 SCRIPTS = (
     ("zh", re.compile(r"[一-鿿]")),
@@ -70,19 +83,30 @@ def scores(words: list[str]) -> dict[str, int]:
     return out
 
 
+def _by_script(text: str) -> tuple[str, int] | None:
+    """The script other than Latin that has at least a fifth of the letters (kana before Han), and its letters."""
+    other = [(name, n) for name, pattern in SCRIPTS if (n := len(pattern.findall(text)))]
+    if not other:
+        return None
+    name, n = max(other, key=lambda x: x[1])
+    if n * 4 < len(LATIN.findall(text)) and n < 12:
+        return None
+    return ("ja" if name == "zh" and any(x == "ja" for x, _ in other) else name), n
+
+
+def script(text: str) -> str | None:
+    """The language that the letters of a text tell, if most of them aren't Latin."""
+    found = _by_script(text)
+    return found[0] if found and found[1] >= len(LATIN.findall(text)) else None
+
+
 def evidence(text: str) -> dict[str, int]:
     """Words (or letters of a script) that speak for each language.
 
     A script other than Latin that has at least a fifth of the letters decides by itself (kana before Han).
     """
-    if not text.isascii():
-        other = [(name, n) for name, pattern in SCRIPTS if (n := len(pattern.findall(text)))]
-        if other:
-            name, n = max(other, key=lambda x: x[1])
-            if n * 4 >= len(LATIN.findall(text)) or n >= 12:
-                if name == "zh" and any(x == "ja" for x, _ in other):
-                    name = "ja"
-                return {name: n}
+    if not text.isascii() and (found := _by_script(text)):
+        return dict([found])
     words = WORD.findall(text.lower().replace("'", "’"))
     found = scores(words)
     if "’" in text or "'" in text:

@@ -71,3 +71,27 @@ def test_repetition_dressed_as_sentences(spark):
     df = spark.createDataFrame(list((texts | honest).items()) + [(f"p{i}", PROSE + FR) for i in range(80)], "doc_id string, text string")
     share = {r.doc_id: r.spam_share for r in spam_scores(df, "doc_id", "text").collect()}
     assert {k for k in share if share[k] > 0.5} == set(texts), share
+
+
+OTHERS = {
+    "it": ("Il fornitore deve consegnare i serbatoi entro trenta giorni dopo la notifica, e la città che li accetta paga la somma. Nessuna parte può cedere il contratto senza il consenso della altra. ", "modello contratto, contratto affitto, avvocato franchising, modulo gratuito"),
+    "nl": ("De leverancier moet de tanks binnen dertig dagen na de kennisgeving leveren, en de gemeente die ze aanvaardt betaalt het bedrag. Geen partij mag het contract overdragen zonder dat de andere het weet. ", "huurcontract voorbeeld, gratis formulier, advocaat franchise, sjabloon pdf"),
+    "ru": ("Поставщик должен передать оборудование в течение тридцати дней после уведомления, и город, который его принимает, платит эту сумму. Ни одна из сторон не может передать договор без согласия другой. ", "образец договора, договор аренды, юрист онлайн, бланк скачать"),
+    "zh": ("供应商应当在通知之后的三十日之内交付储罐，而接受储罐的市政府将支付该笔款项。任何一方在没有另一方的同意时不得转让本协议，这是法律所要求的。", "合同模板，租赁合同，律师在线，免费下载"),
+}
+
+
+def test_languages_beyond_those_with_grammar(spark):
+    rows = [(f"{lang} prose {i}", prose * (2 + i)) for lang, (prose, _) in OTHERS.items() for i in range(5)]
+    rows += [(f"{lang} spam", "\n".join([", ".join([words] * 4)] * 10)) for lang, (_, words) in OTHERS.items()]
+    rows += [(f"{lang} half", prose + "\n" + "\n".join(words.replace(", ", "\n").replace("，", "\n") for _ in range(12))) for lang, (prose, words) in OTHERS.items()]
+    seen = {r.doc_id: r for r in spam_scores(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text").collect()}
+    assert {k for k, r in seen.items() if r.spam_share > 0.5} == {k for k, _ in rows if not k.split()[1].startswith("prose")}, {k: r.spam_share for k, r in seen.items()}
+    assert all(r.language == k[:2] for k, r in seen.items() if "prose" in k)
+
+
+def test_top_word_and_single_lines(spark):
+    word = " ".join(f"{a} escrow {b} escrow {c}." for a in ("The best", "An honest", "This quick") for b, c in (("is an", "for the firm"), ("and the", "of our team"), ("with a", "on that page"), ("as your", "by the hour")))
+    short = "Buy forms. Get forms. New forms. Top forms."  # a line of less than 60 characters holds sentences too
+    df = spark.createDataFrame([("word", word), ("short", "\n".join([short] * 6)), *[(f"p{i}", PROSE + FR) for i in range(40)]], "doc_id string, text string")
+    assert {r.doc_id for r in spam_scores(df, "doc_id", "text").where("spam_share > 0.5").collect()} == {"word", "short"}
