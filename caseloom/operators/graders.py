@@ -8,12 +8,14 @@ a run error fail every grade; gold that doesn't fit the grader (see `gold_proble
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.numbers import ratio
+from ..plans.session import cut_lineage
 from . import judge as J
 
 QUOTE_WORDS, MIN_WORDS, RETAINED = 8, 3, 0.9
@@ -74,7 +76,7 @@ def clause_precision(answers: DataFrame) -> DataFrame:
     return _grade(a, "clause-precision", passed, score, told)
 
 
-def clause_recall(answers: DataFrame, judge: J.Judge = J.lexical) -> DataFrame:
+def clause_recall(answers: DataFrame, judge: J.Judge | J.Memo = J.lexical) -> DataFrame:
     """Every clause is quoted (eight of its words in a row) and a passage of it is cited; an absent one is stated (judged)."""
     a = _cited(listed(answers, "clause-recall"))
     present = a.where("size(clauses) > 0")
@@ -87,21 +89,39 @@ def clause_recall(answers: DataFrame, judge: J.Judge = J.lexical) -> DataFrame:
     told = F.concat(_fraction(found, n, " clauses quoted and cited ("), F.size("__q").cast("string"), F.lit(" quoted); cited "), cited, F.lit(", gold "), gold)
     some = _grade(present, "clause-recall", found == n, ratio(found, n), told)
     kind = X.clause_type("input")
-    asked = a.where("size(clauses) = 0").select("ord", J.absence_prompt(_text("output"), kind).alias("prompt"), F.lit("absence").alias("kind"), _text("output").alias("premise"), kind.alias("claim"))
-    stated = J.ruled(asked, judge, ["ord"])
+    none = F.lit(None).cast("array<bigint>")
+    asked = a.where("size(clauses) = 0").select("ord", F.lit("absence").alias("kind"), "case_id", none.alias("refs"), kind.alias("claim"), _text("output").alias("premise"))
+    stated = _memo(answers, judge).rule(asked, ["ord"])
     none = _grade(stated, "clause-recall", F.col("yes"), F.col("yes").cast("int"), F.when(F.col("yes"), "absence stated").otherwise("absence not stated"))
     return some.unionByName(none)
 
 
 def cited_sentences(answers: DataFrame) -> DataFrame:
-    """ord, s (place of the sentence), sentence, claim (without citations), refs, docs: the sentences of every answer."""
-    s = answers.where("size(docs) > 0").select("ord", "docs", F.posexplode(X.sentences(_text("output"))).alias("s", "sentence"))
-    return s.withColumn("claim", X.remove_citations("sentence")).withColumn("refs", X.citations("sentence", F.size("docs")))
+    """ord, case_id, s (place of the sentence), sentence, claim (without citations), refs: the sentences of every answer; the
+    passages they cite stay with the case."""
+    s = answers.where("size(docs) > 0").select("ord", "case_id", "graders", F.size("docs").alias("__n"), F.posexplode(X.sentences(_text("output"))).alias("s", "sentence"))
+    return s.select("ord", "case_id", "s", "sentence", X.remove_citations("sentence").alias("claim"), X.citations("sentence", F.col("__n")).alias("refs"), "graders")
+
+
+def _memo(answers: DataFrame, judge: J.Judge | J.Memo) -> J.Memo:
+    """The memo itself, or one for this grader alone with the passages of the answers' cases."""
+    if isinstance(judge, J.Memo):
+        return judge
+    return J.Memo(judge, answers.select("case_id", "docs").dropDuplicates(["case_id"]))
+
+
+#: Graders that look at sentences and their citations.
+CITING = ("citation-recall", "citation-precision", "citation-support")
+
+
+def _sentences(answers: DataFrame, name: str, memo: J.Memo) -> DataFrame:
+    """The sentences of the answers whose cases list a grader, from the memo if it has them."""
+    s = memo.sentences if memo.sentences is not None else cited_sentences(listed(answers, name))
+    return s.where(F.array_contains("graders", name)).select("ord", "case_id", "s", "claim", "refs")
 
 
 def _entails(df: DataFrame, refs: Column) -> DataFrame:
-    premise = X.passages_text(F.col("docs"), refs)
-    return df.withColumn("premise", premise).withColumn("prompt", J.entails_prompt(F.col("premise"), F.col("claim"))).withColumn("kind", F.lit("entails"))
+    return df.withColumn("refs", refs).withColumn("kind", F.lit("entails")).withColumn("premise", F.lit(None).cast("string"))
 
 
 def _scored(df: DataFrame, sentences: DataFrame, name: str, good: Column, told: Callable[[Column, Column, DataFrame], Column], none: str) -> DataFrame:
@@ -111,32 +131,28 @@ def _scored(df: DataFrame, sentences: DataFrame, name: str, good: Column, told:
     return _grade(both, name, (n > 0) & (ok == n), F.coalesce(ratio(ok, n), F.lit(0.0)), F.when(n == 0, F.lit(none)).otherwise(told(ok, n, both)))
 
 
-def citation_recall(answers: DataFrame, judge: J.Judge = J.lexical) -> DataFrame:
+def citation_recall(answers: DataFrame, judge: J.Judge | J.Memo = J.lexical) -> DataFrame:
     """Every sentence is supported by the passages it cites; one without citations is not supported."""
-    a = listed(answers, "citation-recall")
-    s = cited_sentences(a)
-    asked = _entails(s.where(F.size("refs") > 0), F.col("refs"))
-    ruled = J.ruled(asked, judge, ["ord", "s"])
-    both = s.select("ord", "s", "refs").join(ruled, ["ord", "s"], "left")
-    return _scored(a, both, "citation-recall", F.coalesce("yes", F.lit(False)), lambda ok, n, _: F.concat(_fraction(ok, n, " sentences supported, "), F.col("uncited").cast("string"), F.lit(" without citation")), "no sentences")
+    a, memo = listed(answers, "citation-recall"), _memo(answers, judge)
+    s = _sentences(answers, "citation-recall", memo)
+    ruled = memo.rule(_entails(s.where(F.size("refs") > 0), F.col("refs")), ["ord", "s", "refs"])
+    both = ruled.unionByName(s.where(F.size("refs") == 0).select("ord", "s", "refs", F.lit(False).alias("yes")))
+    return _scored(a, both, "citation-recall", F.col("yes"), lambda ok, n, _: F.concat(_fraction(ok, n, " sentences supported, "), F.col("uncited").cast("string"), F.lit(" without citation")), "no sentences")
 
 
-def citation_precision(answers: DataFrame, judge: J.Judge = J.lexical) -> DataFrame:
+def citation_precision(answers: DataFrame, judge: J.Judge | J.Memo = J.lexical) -> DataFrame:
     """Every citation is necessary: its passage alone supports the sentence, or the others don't without it.
 
     Asked in phases, each deduplicated: the sentence with all its passages; where that holds and there are several, each
     passage alone; where that fails, the passages without it.
     """
-    a = listed(answers, "citation-precision")
-    s = cited_sentences(a).where(F.size("refs") > 0)
-    whole = _entails(s, F.col("refs"))
-    held = J.ruled(whole, judge, ["ord", "s", "docs", "claim", "refs"]).withColumnRenamed("yes", "whole")
-    one = held.where(F.col("whole") & (F.size("refs") > 1)).withColumn("ref", F.explode("refs"))
-    alone = _entails(one, F.array("ref"))
-    alone = J.ruled(alone, judge, ["ord", "s", "docs", "claim", "refs", "ref"]).withColumnRenamed("yes", "alone")
-    rest = _entails(alone.where(~F.col("alone")), F.array_remove("refs", F.col("ref")))
-    rest = J.ruled(rest, judge, ["ord", "s", "ref"]).withColumnRenamed("yes", "others")
-    needed = alone.select("ord", "s", "ref", "alone").join(rest, ["ord", "s", "ref"], "left").groupBy("ord", "s").agg(F.count_if(F.col("alone") | ~F.coalesce("others", F.lit(True))).alias("needed"))
+    a, memo = listed(answers, "citation-precision"), _memo(answers, judge)
+    s = _sentences(answers, "citation-precision", memo).where(F.size("refs") > 0)
+    held = memo.rule(_entails(s, F.col("refs")), ["ord", "s", "case_id", "claim", "refs"]).withColumnRenamed("yes", "whole")
+    one = held.where(F.col("whole") & (F.size("refs") > 1)).select("ord", "s", "case_id", "claim", F.col("refs").alias("all"), F.explode("refs").alias("ref"))
+    alone = memo.rule(_entails(one, F.array("ref")), ["ord", "s", "case_id", "claim", "all", "ref"]).withColumnRenamed("yes", "alone")
+    rest = memo.rule(_entails(alone.where(~F.col("alone")), F.array_remove("all", F.col("ref"))), ["ord", "s"])
+    needed = alone.where("alone").select("ord", "s").unionByName(rest.where(~F.col("yes")).select("ord", "s")).groupBy("ord", "s").agg(F.count("*").alias("needed"))
     each = held.select("ord", "s", F.size("refs").alias("k"), "whole").join(needed, ["ord", "s"], "left")
     precise = F.when(~F.col("whole"), 0).when(F.col("k") == 1, 1).otherwise(F.coalesce("needed", F.lit(0)))
     sums = each.groupBy("ord").agg(F.sum("k").alias("total"), F.sum(precise).alias("precise"))
@@ -145,14 +161,12 @@ def citation_precision(answers: DataFrame, judge: J.Judge = J.lexical) -> DataFr
     return _grade(both, "citation-precision", (total > 0) & (good == total), F.coalesce(ratio(good, total), F.lit(0.0)), _fraction(good, total, " citations necessary"))
 
 
-def citation_support(answers: DataFrame, judge: J.Judge = J.lexical) -> DataFrame:
+def citation_support(answers: DataFrame, judge: J.Judge | J.Memo = J.lexical) -> DataFrame:
     """Every sentence of three words or more is supported by what it cites or, uncited, speaks of the documents."""
-    a = listed(answers, "citation-support")
-    s = cited_sentences(a).where(F.size(F.split("claim", " ")) >= MIN_WORDS)
-    cited = _entails(s.where(F.size("refs") > 0), F.col("refs"))
-    about = s.where(F.size("refs") == 0).withColumn("prompt", J.about_prompt(F.col("claim"))).withColumn("kind", F.lit("about")).withColumn("premise", F.lit(""))
-    asked = cited.select("ord", "s", "refs", "prompt", "kind", "premise", "claim").unionByName(about.select("ord", "s", "refs", "prompt", "kind", "premise", "claim"))
-    ruled = J.ruled(asked, judge, ["ord", "s", "refs"])
+    a, memo = listed(answers, "citation-support"), _memo(answers, judge)
+    s = _sentences(answers, "citation-support", memo).where(F.size(F.split("claim", " ")) >= MIN_WORDS)
+    kind = F.when(F.size("refs") > 0, "entails").otherwise("about")
+    ruled = memo.rule(s.withColumn("kind", kind).withColumn("premise", F.lit(None).cast("string")), ["ord", "s", "refs"])
     return _scored(a, ruled, "citation-support", F.col("yes"), lambda ok, n, _: _fraction(ok, n, " sentences supported or about the documents"), "no sentence")
 
 
@@ -188,7 +202,7 @@ def retention(answers: DataFrame) -> DataFrame:
     return _grade(both, "retention", score >= RETAINED, score, _fraction(k, n, " non-protected tokens kept"))
 
 
-REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
+REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "exact": exact, "str-em": str_em, "citation-recall": citation_recall, "citation-precision": citation_precision, "clause-recall": clause_recall,
     "clause-precision": clause_precision, "citation-support": citation_support, "removal": removal, "leakage": leakage, "retention": retention,
 }
@@ -212,17 +226,22 @@ def gold_problems(private: DataFrame, known: list[str] | None = None) -> DataFra
     return flat.select("id", "grader", problem.alias("problem")).where("problem is not null")
 
 
-def dispatch(answers: DataFrame, registry: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def dispatch(answers: DataFrame, registry: dict[str, Callable[..., DataFrame]] | None = None, judge: J.Judge | J.Memo = J.lexical) -> DataFrame:
     """ord, place, grader, pass, score, extracted, detail, status: for every record the grades that its case lists, in order.
 
     A record with a run error fails every grade (run_error); a grade that can't be made fails (grade_error), also for a
-    grader that nobody knows; a grade that is not measurable stays NULL.
+    grader that nobody knows; a grade that is not measurable stays NULL. A registered grader is a function of answers, or of
+    answers and a judge: these share one memo, so recall after precision asks nothing again, and one table of sentences.
     """
     registry = registry or REGISTRY
     ran = answers.where("error is null or error = ''")
+    memo = _memo(ran, judge)
+    if memo.sentences is None and not set(CITING).isdisjoint(registry):
+        citing = ran.where(F.arrays_overlap("graders", F.array(*map(F.lit, CITING))))
+        memo.sentences = cut_lineage(cited_sentences(citing).drop("sentence").withColumn("graders", F.array_intersect("graders", F.array(*map(F.lit, CITING)))))
     made = None
     for grade in registry.values():
-        part = grade(ran)
+        part = grade(ran, memo) if "judge" in signature(grade).parameters else grade(ran)
         made = part if made is None else made.unionByName(part)
     grid = answers.select("ord", "error", F.posexplode("graders").alias("place", "grader"))
     both = grid.join(made.withColumn("made", F.lit(True)), ["ord", "grader"], "left")

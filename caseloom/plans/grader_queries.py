@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from inspect import signature
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graders as G
+from ..operators.judge import Memo
 from .session import cut_lineage
 from .text_queries import CHOICE_SQL, answer_sql, cites_sql, label_sql, norm_sql, run_sql, sentences_sql, span_sql, tokens_sql, uncite_sql
-from .views import ANSWERS_SQL, answers, gold
+from .views import ANSWERS_SQL, answers, cases, gold
 
 _A = f"WITH a AS {ANSWERS_SQL}"
 _ROUND = "round(score, 6) AS score"
@@ -18,9 +21,16 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
+def _memo(spark: SparkSession, d: str) -> Memo:
+    """The lexical judge's memo with the passages of all cases."""
+    return Memo(passages=cases(spark, d).select(F.col("id").alias("case_id"), "docs"))
+
+
 def _grader(name: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return _rounded(G.REGISTRY[name](answers(spark, d)).select("ord", "pass", "score", "detail"))
+        grade = G.REGISTRY[name]
+        made = grade(answers(spark, d), _memo(spark, d)) if "judge" in signature(grade).parameters else grade(answers(spark, d))
+        return _rounded(made.select("ord", "pass", "score", "detail"))
 
     return query
 
@@ -34,7 +44,7 @@ def grd12_gold_problems(spark: SparkSession, d: str) -> DataFrame:
 
 def grd13_dispatch(spark: SparkSession, d: str) -> DataFrame:
     """Regrade: every stored answer by the graders that its case lists today."""
-    return _rounded(G.dispatch(cut_lineage(answers(spark, d))).select("ord", "place", "grader", "pass", "score", "status"))
+    return _rounded(G.dispatch(cut_lineage(answers(spark, d)), judge=_memo(spark, d)).select("ord", "place", "grader", "pass", "score", "status"))
 
 
 QUERIES |= {"grd12_gold_problems": grd12_gold_problems, "grd13_dispatch": grd13_dispatch}
