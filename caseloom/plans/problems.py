@@ -16,7 +16,7 @@ STAGES, FINDINGS = "run_trace_stages", "run_trace_stages_findings"
 
 
 def _records(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
-    return latest_by(spark.read.parquet(f"{d}/results.parquet"), ["ord"], "loaded_at", columns)
+    return latest_by(spark.read.parquet(f"{d}/results.parquet"), ["ord"], "loaded_at", columns, wide=True)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
