@@ -143,15 +143,23 @@ def _span_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_links(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_spans(_span_records(spark, d), version="version")
+    """Links between different texts, each named by the first of its copies."""
+    return spans.shared_spans(_span_records(spark, d), version="version")[0]
+
+
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """The records that may share something, each with the first of its copies."""
+    return spans.shared_spans(_span_records(spark, d), version="version")[1]
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_links(spark, d).select("rec_a", "rec_b")
+    links, members = spans.shared_spans(_span_records(spark, d), version="version")
+    return spans.all_pairs(links, members)
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_shares(latest_by(_span_records(spark, d), ["rec"], "version"), p6_links(spark, d))
+    links, members = spans.shared_spans(_span_records(spark, d), version="version")
+    return spans.shared_shares(latest_by(_span_records(spark, d), ["rec"], "version", wide=True), links, members)
 
 
 # 7 packing
@@ -228,7 +236,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p2_whole, p3_found, p6_found, p6_links, p6_shares, p7_packed, p7_report, p7_whole, p8_mixed, p8_shares, p8_within, p9_found, p9_scores)
+    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p2_whole, p3_found, p6_found, p6_links, p6_members, p6_shares, p7_packed, p7_report, p7_whole, p8_mixed, p8_shares, p8_within, p9_found, p9_scores)
 }
 
 _LATEST = "(SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY ord ORDER BY loaded_at DESC) = 1)"

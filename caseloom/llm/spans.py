@@ -9,6 +9,9 @@ digest, records that share one are compared exactly.
 A digest that many records share (a stock phrase shorter than the spans asked for) would give pairs that fail the exact
 comparison. Such chunks go another, equally exact way: they are extended by context on either side, in the end to whole
 ranges of the length asked for, so only records that really share a span meet.
+
+Exact copies are one class: links are found between the classes' first records only, membership tells the rest (`all_pairs`
+expands both where every pair is wanted).
 """
 
 from __future__ import annotations
@@ -193,15 +196,18 @@ def _pairs(chunks: DataFrame, hot: int) -> DataFrame:
     return groups.select(F.inline(F.flatten(each))).distinct()
 
 
-def shared_spans(records: DataFrame, rec: str = "rec", text: str = "text", version: str | None = None, min_chars: int = 200, hot: int = 4) -> DataFrame:
-    """rec_a, rec_b, spans_a, spans_b: every pair of records that share at least min_chars consecutive characters.
+def shared_spans(records: DataFrame, rec: str = "rec", text: str = "text", version: str | None = None, min_chars: int = 200, hot: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Links and membership of records that share at least min_chars consecutive characters.
+
+    Links: rec_a, rec_b, spans_a, spans_b, every pair of different texts, each under the least name of its copies.
+    Membership: rec, rep, n_chars, every record that may share something with the first record of its copies.
 
     records: one row per record, or several of which the one with the greatest `version` counts; texts may be NULL, empty,
     equal or very long. rec_a < rec_b; spans are the parts of each text, merged, that lie in spans of at least min_chars
     shared by the two. min_chars must be 96 at least. hot: a digest with more rows than this gives no pairs itself; its
     chunks are extended to half of the missing context on either side, and if that still is as common, to all ranges of
     min_chars bytes around them. Every way is exact, so `hot` only sets the costs. A pair comes out once. The number of
-    pairs is the result's own size, whatever it is.
+    links between different texts is the result's own size, whatever it is.
     """
     if min_chars < 3 * WINDOW:
         raise ValueError(f"min_chars must be {3 * WINDOW} at least")
@@ -211,6 +217,11 @@ def shared_spans(records: DataFrame, rec: str = "rec", text: str = "text", versi
     texts = texts.join(involved, "rec", "left_semi")
     texts = cut_lineage(latest_by(texts, ["rec"], "version", ["text"]) if version else texts.drop("version"))
 
+    copies = texts.select("rec", F.md5("text").alias("copy"), F.length("text").alias("n_chars"))
+    first = copies.groupBy("copy").agg(F.min("rec").alias("rep"))
+    members = cut_lineage(copies.join(first.hint("merge"), "copy").select("rec", "rep", "n_chars"))
+    shared = cut_lineage(_repeated(shared.drop("recs").join(members.where("rec = rep").select("rec").hint("merge"), "rec", "left_semi")))
+
     def wider(chunks: DataFrame, sides: bool) -> DataFrame:
         places = chunks.groupBy("rec").agg(F.collect_set(F.struct("pos", "len")).alias("places"))
         return texts.join(places, "rec").select("rec", "text", "places").mapInArrow(_around(min_chars, sides), CHUNKS)
@@ -236,20 +247,36 @@ def shared_spans(records: DataFrame, rec: str = "rec", text: str = "text", versi
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(left, span), pa.array(right, span)], ["rec_a", "rec_b", "spans_a", "spans_b"])
 
-    return found.select("rec_a", "rec_b", "text_a", "text_b").mapInArrow(verify, LINKS)
+    return found.select("rec_a", "rec_b", "text_a", "text_b").mapInArrow(verify, LINKS), members
+
+
+def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+    """rec_a, rec_b: every pair of records behind links and membership, copies of each other too; rec_a < rec_b.
+
+    As many rows as there are pairs: where a text has a million copies, take links and membership instead.
+    """
+    one = lambda side: members.select(F.col("rep").alias(f"rec_{side}"), F.col("rec").alias(side))
+    across = links.select("rec_a", "rec_b").join(one("a").hint("merge"), "rec_a").join(one("b").hint("merge"), "rec_b").select("a", "b")
+    same = one("a").join(one("b").withColumnRenamed("rec_b", "rec_a").hint("merge"), "rec_a").where("a < b").select("a", "b")
+    return across.unionByName(same).select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b"))
 
 
-def shared_shares(records: DataFrame, links: DataFrame, rec: str = "rec", text: str = "text") -> DataFrame:
+def shared_shares(records: DataFrame, links: DataFrame, members: DataFrame, rec: str = "rec", text: str = "text") -> DataFrame:
     """rec, n_chars, shared_chars, share, partners: of every record, how much of its text lies in spans shared elsewhere.
 
-    Records without shared spans come out with 0; a NULL text has NULL in n_chars and share.
+    Made of links and membership without expanding pairs: a record with copies is shared as a whole, and a link counts all
+    copies of its other side. Records without shared spans come out with 0; a NULL text has NULL in n_chars and share.
     """
-    flat = links.select(F.col("rec_a").alias("rec"), F.col("rec_b").alias("other"), F.inline("spans_a")).unionByName(links.select(F.col("rec_b").alias("rec"), F.col("rec_a").alias("other"), F.inline("spans_b")))
-    spans = flat.groupBy("rec", "s", "e").agg(F.count("*").alias("n"))
-    before = F.max("e").over(Window.partitionBy("rec").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+    size = members.groupBy("rep").agg(F.count("*").alias("copies"))
+    flat = cut_lineage(links.select(F.col("rec_a").alias("rep"), F.col("rec_b").alias("other"), F.inline("spans_a")).unionByName(links.select(F.col("rec_b").alias("rep"), F.col("rec_a").alias("other"), F.inline("spans_b"))))
+    spans = flat.groupBy("rep", "s", "e").agg(F.count("*").alias("n"))
+    before = F.max("e").over(Window.partitionBy("rep").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(before, F.lit(0))))
-    length = spans.withColumn("fresh", fresh).groupBy("rec").agg(F.sum("fresh").cast("int").alias("shared_chars"))
-    partners = flat.select("rec", "other").distinct().groupBy("rec").agg(F.count("*").alias("partners"))
-    out = records.select(F.col(rec).alias("rec"), F.length(text).alias("n_chars")).join(length.join(partners, "rec"), "rec", "left")
-    zero = F.coalesce("shared_chars", F.lit(0))
-    return out.select("rec", "n_chars", zero.alias("shared_chars"), F.when(F.col("n_chars") > 0, F.round(zero / F.col("n_chars"), 6)).alias("share"), F.coalesce("partners", F.lit(0)).alias("partners"))
+    length = spans.withColumn("fresh", fresh).groupBy("rep").agg(F.sum("fresh").cast("int").alias("fresh"))
+    others = flat.select("rep", "other").distinct().join(size.select(F.col("rep").alias("other"), F.col("copies").alias("c")).hint("merge"), "other").groupBy("rep").agg(F.sum("c").alias("others"))
+    classes = size.join(length.hint("merge"), "rep", "left").join(others.hint("merge"), "rep", "left")
+    told = members.drop("n_chars").join(classes.hint("merge"), "rep").drop("rep")
+    out = records.select(F.col(rec).alias("rec"), F.length(text).alias("n_chars")).join(told.hint("merge"), "rec", "left")
+    shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("fresh", F.lit(0)))
+    partners = F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
+    return out.select("rec", "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, F.round(shared / F.col("n_chars"), 6)).alias("share"), partners.alias("partners"))
