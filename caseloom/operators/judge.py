@@ -92,6 +92,7 @@ class Memo:
         self.asked: DataFrame | None = None
         self.sentences: DataFrame | None = None
         self._count = 0
+        self._first: DataFrame | None = None
 
     def rule(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         """The columns `keep` of every row (kind, case_id, refs, claim, premise) with `yes`.
@@ -111,6 +112,9 @@ class Memo:
         if self.judge is lexical:
             found = self.judge(new).select("__q", "reply")
         else:
+            if "ord" in rows.columns:
+                first = keyed.join(new.select("__q"), "__q", "left_semi").groupBy("__q").agg(F.min("ord").alias("ord"))
+                self._first = first if self._first is None else self._first.unionByName(first)
             found = self._put(new)
         found = cut_lineage(found.select("__q", F.coalesce(says_yes("reply"), F.lit(False)).alias("yes")))
         self.verdicts = found if self.verdicts is None else self.verdicts.unionByName(found)
@@ -126,10 +130,17 @@ class Memo:
         replies = cut_lineage(self.judge(once.select("__key", "prompt", "kind", "premise", "claim")).select("__key", "kind", F.size(F.split("prompt", r"\s+")).alias("tokens_in"), "reply"))
         if self.limit is not None:
             self._count += replies.count()
-        told = replies.select("kind", "tokens_in", F.coalesce(F.size(F.split("reply", r"\s+")), F.lit(0)).alias("tokens_out"), F.col("reply").isNotNull().alias("replied"))
+        told = asked.select("__q", "__key").join(replies, "__key").groupBy("__key").agg(F.min("__q").alias("__q"), *[F.first(c).alias(c) for c in ("kind", "tokens_in", "reply")]).select("__q", "kind", "tokens_in", F.coalesce(F.size(F.split("reply", r"\s+")), F.lit(0)).alias("tokens_out"), F.col("reply").isNotNull().alias("replied"))
         self.asked = told if self.asked is None else self.asked.unionByName(told)
         return asked.select("__q", "__key").join(replies.select("__key", "reply"), "__key", "left").select("__q", "reply")
 
+    def used_by_record(self) -> DataFrame | None:
+        """ord, modelCalls, tokensIn, tokensOut: the questions put, counted at the record that asked first; None if the judge is
+        no model."""
+        if self.asked is None or self._first is None:
+            return None
+        return self.asked.join(self._first, "__q").groupBy("ord").agg(F.count("*").alias("modelCalls"), F.sum("tokens_in").alias("tokensIn"), F.sum("tokens_out").cast("bigint").alias("tokensOut"))
+
     def usage(self) -> DataFrame | None:
         """modelCalls, tokensIn, tokensOut, failed of all questions put so far; None if the judge is no model."""
         if self.asked is None:

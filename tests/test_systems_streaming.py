@@ -52,8 +52,8 @@ def test_citing_systems(spark):
     for name in ("review-v1", "review-ft"):
         out = run(spark, name)
         r = out["c-1"]
-        assert r.findings[0].startswith("scanned 3 passages in 1 calls") and "quote verified" in " ".join(r.findings) and "[1]" in r.output
-        assert out["e-1"].findings[0].startswith("scanned 0 passages")
+        assert r.findings[0].startswith("3 passages scanned in 1 calls; quotations: ") and "confirmed as a quotation" in " ".join(r.findings) and "[1]" in r.output
+        assert out["e-1"].findings[0].startswith("0 passages scanned in 0 calls")
 
 
 def test_a_model_is_asked_once(spark):
