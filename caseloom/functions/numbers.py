@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,8 +14,20 @@ SHUFFLE_SEED = 20260829
 RESAMPLES = 1000
 
 
-def lcg_states(n: int, seed: int = LCG_SEED) -> np.ndarray:
-    """The first n states after the seed, modulo 2 ** 32, by doubling what is known."""
+def lcg_jump(state: int, steps: int) -> int:
+    """The state that many steps on, by squaring the step."""
+    a, c = LCG_A, LCG_C
+    while steps:
+        if steps & 1:
+            state = (state * a + c) & 0xFFFFFFFF
+        a, c = a * a & 0xFFFFFFFF, (a * c + c) & 0xFFFFFFFF
+        steps >>= 1
+    return state
+
+
+def lcg_states(n: int, seed: int = LCG_SEED, skip: int = 0) -> np.ndarray:
+    """n states after the seed, without the first `skip`, modulo 2 ** 32, by doubling what is known."""
+    seed = lcg_jump(seed, skip)
     out = np.array([(seed * LCG_A + LCG_C) & 0xFFFFFFFF], np.uint64)
     a, c = LCG_A, LCG_C
     while len(out) < n:
@@ -36,9 +50,9 @@ def mulberry32(seed: int):
     return step
 
 
-def permutation(n: int, seed: int = SHUFFLE_SEED) -> list[int]:
+def permutation(n: int, seed: int = SHUFFLE_SEED) -> array:
     """The order of indexes that a seeded Fisher-Yates shuffle gives; sequential by nature, over indexes only."""
-    draw, order = mulberry32(seed), list(range(n))
+    draw, order = mulberry32(seed), array("q", range(n))
     for last in range(n - 1, 0, -1):
         other = int(draw() * (last + 1))
         order[last], order[other] = order[other], order[last]

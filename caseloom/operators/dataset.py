@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import SHUFFLE_SEED, permutation
 from ..functions.text import WS, cite_marks, collapse, format_docs, padded_id, word_count
+from .order import numbered
 
 PASSAGE_WORDS = 200
 # fixed values: the default clause types and the hard ones; their order breaks ties
@@ -80,53 +81,59 @@ def round_robin(rows: DataFrame, group: str, label: str, order: str, count: int)
     return placed.withColumn("pick", pick).where(F.col("pick") <= count).drop("__nth", "__first")
 
 
-#: The balanced selection is sequential; it gets one small row per contract (no texts). More contracts than this don't fit.
-MAX_CONTRACTS = 2_000_000
-
-
-def greedy_balance(contracts: DataFrame, types: Sequence[str], prefer_multi: bool = False, absent_at: Sequence[int] = ABSENT_AT, limit: int = MAX_CONTRACTS) -> DataFrame:
+def greedy_balance(contracts: DataFrame, types: Sequence[str], prefer_multi: bool = False, absent_at: Sequence[int] = ABSENT_AT, skip: int = 0) -> DataFrame:
     """i, contract, category, absent: contracts in the order of `place`, each with the fitting type used least so far.
 
     contracts: contract, place, qas array<struct<category:string, n_answers:int>>. At the places of absent_at in every ten a
     type without answers is asked for, else one with answers; ties go to the earlier type. A contract that fits nothing is
-    skipped and takes no number. prefer_multi: types with several answers win where the contract has one. The choice depends
-    on all before it, so one task makes it, over categories and counts only; more than `limit` contracts are an error.
+    skipped and takes no number. prefer_multi: types with several answers win where the contract has one. skip: so many of the
+    first numbers are chosen but not given out, so a set can be continued. The choice depends on all before it, so one task
+    makes it; it sees categories and counts only, in sorted batches, and holds nothing but the counts per type.
     """
-    n = contracts.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"more than {limit} contracts")
     rank = {t: i for i, t in enumerate(types)}
 
-    def choose(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["place"], r["contract"]))
-        used = dict.fromkeys(types, 0)
-        out = []
-        for r in rows:
-            absent = len(out) % 10 in absent_at
-            fit = [q for q in r["qas"] or [] if q and q["category"] in rank and (q["n_answers"] == 0) == absent]
-            several = [q for q in fit if q["n_answers"] > 1]
-            if prefer_multi and several:
-                fit = several
-            if fit:
-                best = min(fit, key=lambda q: (used[q["category"]], rank[q["category"]]))["category"]
-                used[best] += 1
-                out.append((len(out), r["contract"], best, absent))
-        cols = list(zip(*out)) or [()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.bool_()))], ["i", "contract", "category", "absent"])
-
-    small = contracts.select("contract", "place", "qas").withColumn("__one", F.lit(1))
-    return small.groupBy("__one").applyInArrow(choose, "i int, contract string, category string, absent boolean")
-
-
-def seeded_order(items: DataFrame, key: str, order: Sequence[str], seed: int = SHUFFLE_SEED, limit: int = MAX_CONTRACTS) -> DataFrame:
-    """items with `place`: their place after a seeded shuffle of them in the given order. The permutation runs over indexes
-    only, on the driver; the items are numbered and joined. More than `limit` items are an error."""
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, made = dict.fromkeys(types, 0), 0
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                absent = made % 10 in absent_at
+                fit = [q for q in r["qas"] or [] if q and q["category"] in rank and (q["n_answers"] == 0) == absent]
+                several = [q for q in fit if q["n_answers"] > 1]
+                if prefer_multi and several:
+                    fit = several
+                if fit:
+                    best = min(fit, key=lambda q: (used[q["category"]], rank[q["category"]]))["category"]
+                    used[best] += 1
+                    if made >= skip:
+                        out.append((made, r["contract"], best, absent))
+                    made += 1
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.bool_()))], ["i", "contract", "category", "absent"])
+
+    small = contracts.select("contract", "place", "qas").coalesce(1).sortWithinPartitions("place", "contract")
+    return small.mapInArrow(choose, "i int, contract string, category string, absent boolean")
+
+
+def seeded_order(items: DataFrame, key: str, order: Sequence[str], seed: int = SHUFFLE_SEED) -> DataFrame:
+    """items with `place`: their place after a seeded shuffle of them in the given order.
+
+    The items are numbered range by range and joined with the permutation. Its draws depend on all before them, so one task
+    makes it, over indexes only (eight bytes an item), and gives it out in batches.
+    """
     n = items.count()
-    if n > limit:
-        raise ValueError(f"more than {limit} items")
-    numbered = items.select(key, *[c for c in order if c != key]).withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).select(key, "__i")
-    places = items.sparkSession.createDataFrame([(int(i), p) for p, i in enumerate(permutation(n, seed))], "__i int, place int")
-    return items.join(numbered.join(places, "__i").drop("__i"), key)
+
+    def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                shuffled = permutation(n, seed)
+                for at in range(0, n, 100_000):
+                    some = shuffled[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(range(at, at + len(some)), pa.int32())], ["__i", "place"])
+
+    places = items.sparkSession.range(1, numPartitions=1).mapInArrow(permute, "__i bigint, place int")
+    places_of = numbered(items.select(key, *[c for c in order if c != key]), order, "__n").select(key, (F.col("__n") - 1).alias("__i")).join(places.hint("merge"), "__i").drop("__i")
+    return items.join(places_of, key)
 
 
 def shortest_first(contracts: DataFrame, key: str, text: str, wanted: Column) -> DataFrame:

@@ -120,7 +120,8 @@ def _sentences(answers: DataFrame, name: str, memo: J.Memo) -> DataFrame:
     return s.where(F.array_contains("graders", name)).select("ord", "case_id", "s", "claim", "refs")
 
 
-def _entails(df: DataFrame, refs: Column) -> DataFrame:
+def entailed(df: DataFrame, refs: Column) -> DataFrame:
+    """Questions whether the claim of a row follows from the passages that refs name."""
     return df.withColumn("refs", refs).withColumn("kind", F.lit("entails")).withColumn("premise", F.lit(None).cast("string"))
 
 
@@ -135,7 +136,7 @@ def citation_recall(answers: DataFrame, judge: J.Judge | J.Memo = J.lexical) ->
     """Every sentence is supported by the passages it cites; one without citations is not supported."""
     a, memo = listed(answers, "citation-recall"), _memo(answers, judge)
     s = _sentences(answers, "citation-recall", memo)
-    ruled = memo.rule(_entails(s.where(F.size("refs") > 0), F.col("refs")), ["ord", "s", "refs"])
+    ruled = memo.rule(entailed(s.where(F.size("refs") > 0), F.col("refs")), ["ord", "s", "refs"])
     both = ruled.unionByName(s.where(F.size("refs") == 0).select("ord", "s", "refs", F.lit(False).alias("yes")))
     return _scored(a, both, "citation-recall", F.col("yes"), lambda ok, n, _: F.concat(_fraction(ok, n, " sentences supported, "), F.col("uncited").cast("string"), F.lit(" without citation")), "no sentences")
 
@@ -148,10 +149,10 @@ def citation_precision(answers: DataFrame, judge: J.Judge | J.Memo = J.lexical)
     """
     a, memo = listed(answers, "citation-precision"), _memo(answers, judge)
     s = _sentences(answers, "citation-precision", memo).where(F.size("refs") > 0)
-    held = memo.rule(_entails(s, F.col("refs")), ["ord", "s", "case_id", "claim", "refs"]).withColumnRenamed("yes", "whole")
+    held = memo.rule(entailed(s, F.col("refs")), ["ord", "s", "case_id", "claim", "refs"]).withColumnRenamed("yes", "whole")
     one = held.where(F.col("whole") & (F.size("refs") > 1)).select("ord", "s", "case_id", "claim", F.col("refs").alias("all"), F.explode("refs").alias("ref"))
-    alone = memo.rule(_entails(one, F.array("ref")), ["ord", "s", "case_id", "claim", "all", "ref"]).withColumnRenamed("yes", "alone")
-    rest = memo.rule(_entails(alone.where(~F.col("alone")), F.array_remove("all", F.col("ref"))), ["ord", "s"])
+    alone = memo.rule(entailed(one, F.array("ref")), ["ord", "s", "case_id", "claim", "all", "ref"]).withColumnRenamed("yes", "alone")
+    rest = memo.rule(entailed(alone.where(~F.col("alone")), F.array_remove("all", F.col("ref"))), ["ord", "s"])
     needed = alone.where("alone").select("ord", "s").unionByName(rest.where(~F.col("yes")).select("ord", "s")).groupBy("ord", "s").agg(F.count("*").alias("needed"))
     each = held.select("ord", "s", F.size("refs").alias("k"), "whole").join(needed, ["ord", "s"], "left")
     precise = F.when(~F.col("whole"), 0).when(F.col("k") == 1, 1).otherwise(F.coalesce("needed", F.lit(0)))

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A system's suites, repetitions and cases multiply by design; each side but the cases is a small setting.
-MAX_SYSTEMS = 100_000
-
+from .order import numbered
 
 def runs_suite(suites: Column, suite: Column) -> Column:
     """Whether a system with these suites runs a suite; one that lists none runs all."""
@@ -29,9 +27,11 @@ def job_grid(systems: DataFrame, cases: DataFrame, reps: int) -> DataFrame:
 
 
 def canonical_order(jobs: DataFrame) -> DataFrame:
-    """jobs with system_ord, case_ord: the places by which runs are ordered (system, repetition, case)."""
+    """jobs with system_ord, case_ord: the places by which runs are ordered (system, repetition, case); a case's place is that
+    among the cases of its system. Systems are settings; cases are numbered range by range, whatever a system's share."""
     systems = jobs.select("system").distinct().withColumn("system_ord", F.dense_rank().over(Window.orderBy("system")))
-    return jobs.join(systems, "system").withColumn("case_ord", F.dense_rank().over(Window.partitionBy("system").orderBy("case_id")))
+    pairs = numbered(jobs.select("system", "case_id").distinct(), ["case_id"], "case_ord", ["system"])
+    return jobs.join(systems, "system").join(pairs.withColumn("case_ord", F.col("case_ord").cast("int")), ["system", "case_id"])
 
 
 def over_limit(requests: DataFrame, key: str, order: str, limit: Column) -> DataFrame:

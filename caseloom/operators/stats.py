@@ -111,41 +111,56 @@ def paired(differences: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_interval(xs: np.ndarray, indexes: np.ndarray) -> tuple[float, float]:
-    """The 2.5 and 97.5 percent places of the sorted means of resamples; indexes has a row per resample."""
-    means = np.sort(xs[indexes].sum(1) / len(xs))
-    n = len(means)
-    return float(means[int(0.025 * n)]), float(means[-(-975 * n // 1000) - 1])
+#: Draws that are held at once: resamples are drawn in blocks of so many numbers, 48 MB.
+BLOCK = 1 << 21
+
+
+def bootstrap_interval(xs: np.ndarray, resamples: int = RESAMPLES, seed: int = LCG_SEED, block: int = BLOCK) -> tuple[float, float]:
+    """The 2.5 and 97.5 percent places of the sorted means of resamples of xs, drawn block by block."""
+    n = len(xs)
+    means = np.empty(resamples)
+    rows = max(1, block // n)
+    for first in range(0, resamples, rows):
+        some = min(rows, resamples - first)
+        if some * n <= 2 * block:
+            means[first : first + some] = xs[_draws(n, first, some, seed)].sum(1) / n
+        else:  # one resample of more numbers than a block holds
+            means[first] = sum(xs[_drawn(min(block, n - at), first * n + at, n, seed)].sum() for at in range(0, n, block)) / n
+    means.sort()
+    return float(means[int(0.025 * resamples)]), float(means[-(-975 * resamples // 1000) - 1])
 
 
 def bootstrap(differences: DataFrame, resamples: int = RESAMPLES, seed: int = LCG_SEED) -> DataFrame:
     """suite, grader, a, b, n, low, high: 95 % percentile bootstrap intervals of the mean difference, reproducible.
 
     Every comparison draws the same stream: resample k takes the case floor(u * n) for each u of its n states. The cases are
-    taken in their canonical order. A comparison's differences (one number per case) are one group.
+    taken in their canonical order. A comparison's differences (one number per case) are one group; its resamples are drawn
+    in blocks, so a task holds the differences and one block.
     """
 
     def interval(group: tuple, table: pa.Table) -> pa.Table:
         order = np.lexsort((np.array(table.column("case_id").to_pylist()), table.column("case_ord").to_numpy()))
         xs = table.column("d").to_numpy()[order]
-        n = len(xs)
-        drawn = _draws(n, resamples, seed)
-        low, high = bootstrap_interval(xs, drawn)
-        return pa.table([*(pa.array([g.as_py()], pa.string()) for g in group), pa.array([n], pa.int64()), pa.array([low]), pa.array([high])], ["suite", "grader", "a", "b", "n", "low", "high"])
+        low, high = bootstrap_interval(xs, resamples, seed)
+        return pa.table([*(pa.array([g.as_py()], pa.string()) for g in group), pa.array([len(xs)], pa.int64()), pa.array([low]), pa.array([high])], ["suite", "grader", "a", "b", "n", "low", "high"])
+
+    small = differences.select("suite", "grader", "a", "b", "case_id", "case_ord", "d")
+    return small.groupBy("suite", "grader", "a", "b").applyInArrow(interval, "suite string, grader string, a string, b string, n bigint, low double, high double")
+
 
-    return differences.groupBy("suite", "grader", "a", "b").applyInArrow(interval, "suite string, grader string, a string, b string, n bigint, low double, high double")
+def _drawn(count: int, skip: int, n: int, seed: int) -> np.ndarray:
+    return (lcg_states(count, seed, skip).astype(np.float64) / 2**32 * n).astype(np.int64)
 
 
-_last: dict[tuple[int, int, int], np.ndarray] = {}
+_last: dict[tuple[int, int, int, int], np.ndarray] = {}
 
 
-def _draws(n: int, resamples: int, seed: int) -> np.ndarray:
-    """Row k: the places that resample k draws. Comparisons of the same size share them, so the last few are kept."""
-    key = (n, resamples, seed)
+def _draws(n: int, first: int, count: int, seed: int) -> np.ndarray:
+    """Row k: the places that resample first + k draws. Comparisons of the same size share them: one block is kept."""
+    key = (n, first, count, seed)
     if key not in _last:
-        if len(_last) > 8:
-            _last.clear()
-        _last[key] = (lcg_states(n * resamples, seed).astype(np.float64) / 2**32 * n).astype(np.int64).reshape(resamples, n)
+        _last.clear()
+        _last[key] = _drawn(n * count, n * first, n, seed).reshape(count, n)
     return _last[key]
 
 

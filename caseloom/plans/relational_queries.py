@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.numbers import SHUFFLE_SEED, lcg_states, permutation
+from ..functions.numbers import SHUFFLE_SEED, lcg_states
 from ..operators import dataset as D
 from ..operators import graders as G
 from ..operators import grid
+from ..operators import runner as R
 from ..operators import systems as S
-from .text_queries import cites_sql, collapse_sql, norm_sql, sentences_sql, strip_sql, uncite_sql
+from ..operators.judge import Memo
+from .session import cut_lineage
+from .text_queries import cites_sql, collapse_sql, norm_sql, sentences_sql, uncite_sql
 from .views import ANSWERS_SQL, CASES_SQL, GRADED_SQL, RECORDS_SQL, answers, cases, gold, graded, records, table
 
 QUERIES: dict = {}
@@ -190,13 +193,18 @@ def win2_chunks(spark: SparkSession, d: str) -> DataFrame:
     return D.chunk(table(spark, d, "documents"), "doc_id", "text")
 
 
-@_query(f"WITH RECURSIVE {_PIECES}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS v, text FROM documents), s AS (SELECT DISTINCT doc_id, CAST(strpos(text, v) - 1 AS INTEGER) AS s, CAST(strpos(text, v) - 1 + length(v) AS INTEGER) AS e FROM m) SELECT s.doc_id, s, e, part FROM s JOIN chunks c ON c.doc_id = s.doc_id AND c.\"start\" < e AND s < c.\"end\"")
+_AT = "WITH RECURSIVE {pieces}, m AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[0-9]+'), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: length(x)) AS lens FROM documents), o AS (SELECT doc_id, gaps, lens, unnest(generate_series(1, len(lens))) AS k FROM m), s AS (SELECT doc_id, CAST(sum(gaps[k]) OVER w + coalesce(sum(lens[k]) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS s, lens[k] AS l FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY k))"
+
+
+@_query(_AT.format(pieces=_PIECES) + " SELECT s.doc_id, s, CAST(s + l AS INTEGER) AS e, part FROM s JOIN chunks c ON c.doc_id = s.doc_id AND c.\"start\" < s + l AND s < c.\"end\"")
 def jn6_span_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Every number of every document with the chunks it lies in."""
     docs = table(spark, d, "documents")
-    n = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).alias("v"))
-    at = F.expr("locate(v, text) - 1")
-    spans = n.select("doc_id", at.alias("s"), (at + F.length("v")).alias("e")).distinct()
-    return D.span_overlap(spans, D.chunk(docs, "doc_id", "text"), "doc_id")
+    gaps, lens = F.transform(F.split("text", "[0-9]+", -1), lambda x: F.length(x)), F.transform(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), lambda x: F.length(x))
+    both = docs.select("doc_id", F.arrays_zip(gaps.alias("gap"), lens.alias("len")).alias("x")).select("doc_id", F.filter("x", lambda x: x["len"].isNotNull()).alias("x"))
+    # the places are running sums of gaps and lengths, in the order of the text
+    running = F.aggregate("x", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")), lambda a, x: F.struct((a["at"] + x["gap"] + x["len"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + x["len"]).alias("e"))).alias("out")))
+    return D.span_overlap(both.select("doc_id", F.inline(running["out"])), D.chunk(docs, "doc_id", "text"), "doc_id")
 
 
 _A = f"WITH a AS {ANSWERS_SQL}"
@@ -245,16 +253,29 @@ def jn15_upstream(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "systems").select("name", grid.upstream(F.col("models"), F.col("providers"), "main", "http://default.invalid/v1").alias("upstream"))
 
 
-@_query(f"WITH q AS (SELECT ord, unnest({sentences_sql('output')}) AS s FROM {RECORDS_SQL}) SELECT s AS question, count(*) AS asked FROM q GROUP BY ALL")
-def jn16_distinct_questions(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).select(F.explode(X.sentences("output")).alias("question")).groupBy("question").agg(F.count("*").alias("asked"))
+_SAID = f"""{_A}, s AS (SELECT case_id, len(docs) AS n, unnest({sentences_sql("coalesce(output, '')")}) AS sentence FROM a WHERE len(docs) > 0 AND (error IS NULL OR error = '') AND (list_contains(graders, 'citation-recall') OR list_contains(graders, 'citation-precision'))),
+  q AS (SELECT DISTINCT case_id, {uncite_sql('sentence')} AS claim, {cites_sql('sentence', 'n')} AS refs FROM s)"""
 
 
-@_query("SELECT g AS grader, count(DISTINCT k) AS kinds FROM (SELECT unnest(graders) AS g, CASE WHEN answer IS NOT NULL THEN 'answer' WHEN qaPairs IS NOT NULL THEN 'pairs' WHEN clauses IS NOT NULL THEN 'clauses' WHEN protected IS NOT NULL THEN 'spans' ELSE 'none' END AS k FROM private_cases) GROUP BY ALL HAVING count(DISTINCT k) > 1")
+@_query(f"{_SAID} SELECT count(*) AS asked FROM q WHERE len(refs) > 0")
+def jn16_distinct_questions(spark: SparkSession, d: str) -> DataFrame:
+    """How many questions recall and then precision put about whole sentences: each once, whichever asks."""
+    a = answers(spark, d).where("error is null or error = ''")
+    memo = Memo(passages=cases(spark, d).select(F.col("id").alias("case_id"), "docs"))
+    both = a.where(F.arrays_overlap("graders", F.array(F.lit("citation-recall"), F.lit("citation-precision"))))
+    memo.sentences = cut_lineage(G.cited_sentences(both).drop("sentence"))
+    for name in ("citation-recall", "citation-precision"):
+        asked = G.entailed(memo.sentences.where(F.array_contains("graders", name) & (F.size("refs") > 0)), F.col("refs"))
+        memo.rule(asked, ["ord", "s"])
+    return memo.verdicts.agg(F.count("*").alias("asked"))
+
+
+@_query(f"SELECT DISTINCT c.suite AS benchmark, g AS grader, g IN ({', '.join(repr(x) for x in G.REGISTRY)}) AS known, count(DISTINCT c.suite) OVER (PARTITION BY g) > 1 AS clash FROM (SELECT DISTINCT id, unnest(graders) AS g FROM private_cases) p JOIN {CASES_SQL} c USING (id)".replace("count(DISTINCT c.suite) OVER (PARTITION BY g) > 1", "(SELECT count(DISTINCT c2.suite) FROM private_cases p2 JOIN public_cases c2 USING (id) WHERE list_contains(p2.graders, g)) > 1"))
 def jn18_clashes(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("answer").isNotNull(), "answer").when(F.col("qaPairs").isNotNull(), "pairs").when(F.col("clauses").isNotNull(), "clauses").when(F.col("protected").isNotNull(), "spans").otherwise("none")
-    flat = gold(spark, d).select(F.explode("graders").alias("grader"), kind.alias("k"))
-    return flat.groupBy("grader").agg(F.count_distinct("k").alias("kinds")).where("kinds > 1")
+    """Each suite's graders, whether they are registered, and which come from several suites' modules."""
+    listed = gold(spark, d).select("id", F.explode("graders").alias("g")).join(cases(spark, d).select("id", "suite"), "id")
+    per = listed.groupBy("suite").agg(F.collect_set("g").alias("graders")).select(F.col("suite").alias("name"), "graders", F.concat(F.lit("benchmarks/"), "suite").alias("module"))
+    return R.resolve_graders(per, G.REGISTRY)
 
 
 @_query(f"SELECT s.name AS system, 3 * count(*) AS jobs FROM systems s JOIN {CASES_SQL} c ON s.suites IS NULL OR list_contains(s.suites, c.suite) GROUP BY ALL")
@@ -272,13 +293,6 @@ def win1_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return D.round_robin(r, "task", "answer", "id", 20).select("task", "answer", "id", "pick")
 
 
-@_query("SELECT name, row_number() OVER (ORDER BY name) - 1 AS i, (row_number() OVER (ORDER BY name) - 1) % 10 IN (2, 5, 8) AS absent FROM systems")
-def win4_absent(spark: SparkSession, d: str) -> DataFrame:
-    """Which of the systems, in order, fall on the places of absence; their number is fixed."""
-    g = table(spark, d, "systems").withColumn("i", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint"))
-    return g.select("name", "i", (F.col("i") % 10).isin(*D.ABSENT_AT).alias("absent"))
-
-
 def _contracts(spark: SparkSession, d: str) -> DataFrame:
     """Contracts of the clause cases: which clause types they were asked for and how many instances they have."""
     named = F.regexp_extract("input", r'contract ["“«„]?\s?([A-Z_ ]+)', 1)
@@ -291,15 +305,44 @@ def _contracts(spark: SparkSession, d: str) -> DataFrame:
 TYPES = ("Audit Access", "Cap on Damages", "Choice of Law", "Escrow Release", "Exclusive Area", "Exit Notice", "Insurance Floor", "License Term", "Price Parity", "Renewal Window", "Rival Work Ban", "Transfer Ban")
 
 
-@_query()
+#: The contracts of the clause cases, in the order of their names, with the types they were asked for.
+_CONTRACTS = rf"""qs AS (SELECT regexp_extract(c.input, 'contract ["“«„]?\s?([A-Z_ ]+)', 1) AS contract, regexp_extract(c.input, '["“«„]\s?([A-Z][a-z]+(?: [A-Za-z]+)*)\s?["”»“]', 1) AS category, max(len(p.clauses)) AS n
+    FROM {CASES_SQL} c JOIN private_cases p USING (id) WHERE p.clauses IS NOT NULL AND c.suite IN ('cuad', 'cuad-hard') AND regexp_extract(c.input, 'contract ["“«„]?\s?([A-Z_ ]+)', 1) <> '' AND regexp_extract(c.input, '["“«„]\s?([A-Z][a-z]+(?: [A-Za-z]+)*)\s?["”»“]', 1) <> '' GROUP BY ALL),
+  k AS (SELECT contract, list(struct_pack(category := category, n := n)) AS qas, row_number() OVER (ORDER BY contract) - 1 AS nth FROM qs GROUP BY contract)"""
+_LOW = 4294967296
+_MUL = "CAST(CAST({a} AS HUGEINT) * {b} % 4294967296 AS BIGINT)"
+#: The generator's k-th draw, then the shuffle's steps: written from the definition, without the functions under test.
+_SHUFFLED = f"""d0 AS (SELECT k, CAST(({SHUFFLE_SEED} + CAST(k AS HUGEINT) * 1831565813) % {_LOW} AS BIGINT) AS s FROM generate_series(1, (SELECT count(*) FROM k)) g(k)),
+  d1 AS (SELECT k, {_MUL.format(a='xor(s, s >> 15)', b='(s | 1)')} AS x FROM d0),
+  d2 AS (SELECT k, xor(x, (x + {_MUL.format(a='xor(x, x >> 7)', b='(x | 61)')}) % {_LOW}) AS x FROM d1),
+  draws AS (SELECT k, CAST(xor(x, x >> 14) AS DOUBLE) / {_LOW} AS u FROM d2),
+  f AS (SELECT (SELECT count(*) FROM k) - 1 AS last, 1 AS step, range(0, (SELECT count(*) FROM k)) AS o
+    UNION ALL SELECT last - 1, step + 1, list_transform(o, lambda v, i: CASE WHEN i = last + 1 THEN o[CAST(floor(u * (last + 1)) AS BIGINT) + 1] WHEN i = CAST(floor(u * (last + 1)) AS BIGINT) + 1 THEN o[last + 1] ELSE v END) FROM f JOIN draws ON draws.k = f.step WHERE last > 0),
+  placed AS (SELECT contract, qas, p - 1 AS place FROM (SELECT unnest(o) AS nth, unnest(range(1, len(o) + 1)) AS p FROM f WHERE last <= 0 OR (SELECT count(*) FROM k) = 0) JOIN k USING (nth))"""
+_TYPES = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
+_FIT = f"list_filter(range(1, {len(TYPES)} + 1), lambda t: len(list_filter(p.qas, lambda q: q.category = {_TYPES}[t] AND (q.n = 0) = (b.made % 10 IN (2, 5, 8)))) > 0)"
+_BALANCED = f"""b AS (SELECT -1::BIGINT AS place, 0 AS made, list_transform(range(0, {len(TYPES)}), lambda t: 0) AS used, NULL::VARCHAR AS contract, NULL::BIGINT AS pick, FALSE AS absent
+    UNION ALL SELECT place, made + CASE WHEN pick IS NULL THEN 0 ELSE 1 END, list_transform(used, lambda u, i: CASE WHEN i = pick THEN u + 1 ELSE u END), contract, pick, absent
+    FROM (SELECT p.place, b.made, b.used, p.contract, b.made % 10 IN (2, 5, 8) AS absent, list_sort(list_transform({_FIT}, lambda t: struct_pack(u := b.used[t], t := t)))[1].t AS pick FROM b JOIN placed p ON p.place = b.place + 1)),
+  chosen AS (SELECT CAST(made - 1 AS INTEGER) AS i, contract, {_TYPES}[pick] AS category, absent FROM b WHERE pick IS NOT NULL)"""
+
+
+@_query(f"WITH RECURSIVE {_CONTRACTS}, {_SHUFFLED}, {_BALANCED} SELECT * FROM chosen")
 def win5_greedy_balance(spark: SparkSession, d: str) -> DataFrame:
     placed = D.seeded_order(_contracts(spark, d), "contract", ["contract"])
     return D.greedy_balance(placed, TYPES)
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_CONTRACTS}, {_SHUFFLED}, {_BALANCED} SELECT * FROM chosen WHERE i >= 5")
 def win6_skipped(spark: SparkSession, d: str) -> DataFrame:
-    return win5_greedy_balance(spark, d).where("i >= 5")
+    """A set that goes on after its first five."""
+    return D.greedy_balance(D.seeded_order(_contracts(spark, d), "contract", ["contract"]), TYPES, skip=5)
+
+
+@_query(f"WITH RECURSIVE {_CONTRACTS}, {_SHUFFLED} SELECT contract, CAST(place AS INTEGER) AS place, place % 10 IN (2, 5, 8) AS absent FROM placed")
+def win4_absent(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the shuffled contracts fall on the places of absence."""
+    return D.seeded_order(_contracts(spark, d), "contract", ["contract"]).select("contract", "place", (F.col("place") % 10).isin(*D.ABSENT_AT).alias("absent"))
 
 
 @_query(f"SELECT ord, run_id, CAST(row_number() OVER w AS INTEGER) AS call, row_number() OVER w <= 20 AS allowed FROM {RECORDS_SQL} WINDOW w AS (PARTITION BY run_id ORDER BY ord)")
@@ -307,11 +350,10 @@ def win8_call_limit(spark: SparkSession, d: str) -> DataFrame:
     return grid.over_limit(records(spark, d).select("ord", "run_id"), "run_id", "ord", F.lit(20))
 
 
-@_query(f"""WITH j AS (SELECT s.name AS system, r.r AS repetition, c.id AS case_id FROM systems s JOIN {CASES_SQL} c ON list_contains(s.suites, c.suite) AND c.suite = 'legalbench', generate_series(1, 2) r(r))
+@_query(f"""WITH j AS (SELECT s.name AS system, r.r AS repetition, c.id AS case_id FROM systems s JOIN {CASES_SQL} c ON s.suites IS NULL OR list_contains(s.suites, c.suite), generate_series(1, 2) r(r))
   SELECT system, CAST(repetition AS INTEGER) AS repetition, case_id, CAST(dense_rank() OVER (ORDER BY system) AS INTEGER) AS system_ord, CAST(dense_rank() OVER (PARTITION BY system ORDER BY case_id) AS INTEGER) AS case_ord FROM j""")
 def win9_canonical(spark: SparkSession, d: str) -> DataFrame:
-    c = cases(spark, d).where("suite = 'legalbench'")
-    return grid.canonical_order(grid.job_grid(table(spark, d, "systems"), c, 2)).select("system", "repetition", "case_id", "system_ord", "case_ord")
+    return grid.canonical_order(grid.job_grid(table(spark, d, "systems"), cases(spark, d), 2)).select("system", "repetition", "case_id", "system_ord", "case_ord")
 
 
 @_query(f"SELECT id, CAST(k // 5 AS INTEGER) AS batch, list(CAST(k AS INTEGER) ORDER BY k) AS places FROM (SELECT id, unnest(generate_series(0, len(docs) - 1)) AS k FROM {CASES_SQL} WHERE len(docs) > 0) GROUP BY ALL")
@@ -322,10 +364,10 @@ def win10_batches(spark: SparkSession, d: str) -> DataFrame:
 # sorts and limits
 
 
-@_query("SELECT doc_id, CAST(row_number() OVER (ORDER BY length(text), doc_id) AS INTEGER) AS place FROM documents WHERE source = 'contracts' QUALIFY place <= 10")
+@_query("SELECT doc_id, length(text) AS n FROM documents WHERE source = 'contracts' ORDER BY length(text), doc_id LIMIT 1")
 def srt3_shortest(spark: SparkSession, d: str) -> DataFrame:
-    top = table(spark, d, "documents").where("source = 'contracts'").orderBy(F.length("text"), "doc_id").limit(10)
-    return top.select("doc_id", F.row_number().over(Window.orderBy(F.length("text"), "doc_id")).alias("place"))
+    """The shortest contract: the operator gives one."""
+    return D.shortest_first(table(spark, d, "documents"), "doc_id", "text", F.col("source") == "contracts").select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
 @_query(f"SELECT ord, list_sort(list_transform(grades, lambda g: g.grader)) AS graders FROM {RECORDS_SQL}")
@@ -333,17 +375,9 @@ def srt5_sorted_grades(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("ord", F.array_sort("grades.grader").alias("graders"))
 
 
-#: The table of systems has a fixed number of rows.
-SYSTEMS = 57
-
-
-def _places_sql() -> str:
-    return ", ".join(f"({i}, {p})" for p, i in enumerate(permutation(SYSTEMS, SHUFFLE_SEED)))
-
-
-@_query(f"SELECT name, place FROM (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM systems) JOIN (VALUES {_places_sql()}) t(i, place) USING (i)")
+@_query(f"WITH RECURSIVE {_CONTRACTS}, {_SHUFFLED} SELECT contract, CAST(place AS INTEGER) AS place FROM placed")
 def srt7_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    return D.seeded_order(table(spark, d, "systems").select("name"), "name", ["name"])
+    return D.seeded_order(_contracts(spark, d).select("contract"), "contract", ["contract"])
 
 
 @_query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20 OFFSET 30")
@@ -404,4 +438,26 @@ def _system(name: str):
 
 
 QUERIES |= {f"sys{i}_{n.replace('-', '_')}": _system(n) for i, n in enumerate(S.SYSTEMS, 1)}
-_ = strip_sql
+
+
+@_query(f"""WITH j AS (SELECT s.name AS system, s.models['main'] AS model, c.id AS case_id, c.suite FROM systems s JOIN {CASES_SQL} c ON s.suites IS NULL OR list_contains(s.suites, c.suite) WHERE s.name LIKE 'direct%')
+  SELECT system, j.case_id, 1 AS repetition, 1 AS model_calls, [model] AS models, p.id IS NOT NULL AS has_gold, CAST(coalesce(len(p.graders), 0) AS INTEGER) AS grades, CAST(0 AS BIGINT) AS judge_calls FROM j LEFT JOIN private_cases p ON p.id = j.case_id""")
+def sys8_records(spark: SparkSession, d: str) -> DataFrame:
+    """A run of all one-prompt systems over all their cases, graded: what each record took and holds."""
+    names = [r.name for r in table(spark, d, "systems").where("name like 'direct%'").select("name").collect()]  # settings
+    made = cut_lineage(R.run_records(table(spark, d, "systems"), cases(spark, d), names=names))
+    out = R.graded_records(made, cases(spark, d), gold(spark, d))
+    known = gold(spark, d).select(F.col("id").alias("case_id"), F.lit(True).alias("has_gold"))
+    flat = out.select("run.system", F.col("run.caseId").alias("case_id"), "run.repetition", F.col("run.modelCalls").alias("model_calls"), "run.models", F.size("grades").alias("grades"), F.col("judge.modelCalls").alias("judge_calls"))
+    return flat.join(known, "case_id", "left").withColumn("has_gold", F.coalesce("has_gold", F.lit(False)))
+
+
+@_query(f"""SELECT r.ord, r.case_id, c.id IS NULL AS missing, CASE WHEN c.id IS NULL THEN NULL WHEN p.id IS NULL THEN 0 ELSE coalesce(len(p.graders), 0) END AS grades, CASE WHEN c.id IS NULL THEN NULL WHEN r.error IS NOT NULL AND r.error <> '' THEN TRUE ELSE FALSE END AS failed
+  FROM {RECORDS_SQL} r LEFT JOIN {CASES_SQL} c ON c.id = r.case_id LEFT JOIN private_cases p ON p.id = r.case_id""")
+def sys9_regrade(spark: SparkSession, d: str) -> DataFrame:
+    """All stored records by today's graders: how many grades each got, and the records whose case is gone."""
+    none = F.lit(None)
+    r = records(spark, d).withColumn("findings", none.cast("array<string>")).withColumn("decision", none.cast("string")).withColumn("trace", none.cast("struct<source:string,transformed_source:string,raw_output:string,released_output:string>"))
+    graded_, missing = R.regrade(r, cases(spark, d), gold(spark, d))
+    made = graded_.select("ord", F.col("run.caseId").alias("case_id"), F.lit(False).alias("missing"), F.size("grades").cast("bigint").alias("grades"), (F.col("status") == "run_error").alias("failed"))
+    return made.unionByName(missing.select("ord", "case_id", F.lit(True).alias("missing"), none.cast("bigint").alias("grades"), none.cast("boolean").alias("failed")))

@@ -71,8 +71,7 @@ def test_balance(spark, multi):
     want = loop_balance(contracts, types, multi)
     for parts in (1, 5):
         assert sorted(map(tuple, D.greedy_balance(df.repartition(parts), types, multi).collect())) == want
-    with pytest.raises(ValueError):
-        D.greedy_balance(df, types, limit=3)
+        assert sorted(map(tuple, D.greedy_balance(df.repartition(parts), types, multi, skip=4).collect())) == want[4:]
     assert D.greedy_balance(df.where("false"), types).count() == 0
 
 

@@ -72,4 +72,11 @@ def test_best_flags(spark):
 def test_empty(spark):
     none = records(spark, [{}]).where("false")
     assert stats.summary(none).count() == 0 and stats.bootstrap(stats.paired_differences(none)).count() == 0
-    assert np.allclose(stats.bootstrap_interval(np.array([1.0]), np.zeros((1000, 1), np.int64)), (1.0, 1.0))
+    assert np.allclose(stats.bootstrap_interval(np.array([1.0])), (1.0, 1.0))
+
+
+def test_bootstrap_by_blocks():
+    xs = np.random.default_rng(3).normal(size=57)
+    whole = stats.bootstrap_interval(xs)
+    for block in (1, 10, 57, 58, 1000, 57_000):
+        assert np.allclose(stats.bootstrap_interval(xs, block=block), whole, atol=1e-12)

@@ -84,6 +84,6 @@ def test_numbers(spark):
         state = (state * 1664525 + 1013904223) % 2**32
         want.append(state)
     assert lcg_states(300).tolist() == want
-    assert sorted(permutation(50)) == list(range(50)) and permutation(50) == permutation(50) and permutation(0) == [] and permutation(1) == [0]
+    assert sorted(permutation(50)) == list(range(50)) and permutation(50) == permutation(50) and list(permutation(0)) == [] and list(permutation(1)) == [0]
     row = spark.range(1).select(half_up(F.lit(-2.5)).alias("a"), half_up(F.lit(2.5)).alias("b"), points(F.lit(-0.126)).alias("c"), grade_cell(F.lit(0.5), F.lit(0.75)).alias("d"), grade_cell(F.lit(0.5), F.lit(0.5)).alias("e")).first()
     assert (row.a, row.b, row.c, row.d, row.e) == (-2, 3, "−13", "50% (avg 75%)", "50%")
