@@ -129,3 +129,9 @@ ORACLE = {
         WHEN grader IN ('removal', 'leakage', 'retention') AND len(list_filter(protected, lambda s: trim(s) = '')) > 0 THEN 'empty protected span' END AS problem
       FROM (SELECT *, unnest(CASE WHEN len(graders) > 0 THEN graders ELSE [NULL] END) AS grader FROM private_cases)) WHERE problem IS NOT NULL""",
 }
+
+#: Every grade that a case lists, from the SQL of the single graders.
+_MADE = " UNION ALL ".join(f"SELECT ord, '{name}' AS grader, pass, score FROM ({ORACLE[f'grd{i}_' + name.replace('-', '_')]})" for i, name in enumerate(("exact", "str-em", "citation-recall", "citation-precision", "clause-recall", "clause-precision", "citation-support", "removal", "leakage", "retention"), 1))
+ORACLE["grd13_dispatch"] = f"""{_A}, g AS (SELECT ord, error IS NOT NULL AND error <> '' AS failed, graders, unnest(range(0, len(graders))) AS place FROM a), made AS ({_MADE})
+  SELECT g.ord, CAST(place AS INTEGER) AS place, graders[place + 1] AS grader, CASE WHEN failed OR made.ord IS NULL THEN FALSE ELSE pass END AS pass, CASE WHEN failed OR made.ord IS NULL THEN 0.0::DOUBLE ELSE score END AS score,
+    CASE WHEN failed THEN 'run_error' WHEN made.ord IS NULL THEN 'grade_error' ELSE 'ok' END AS status FROM g LEFT JOIN made ON made.ord = g.ord AND made.grader = g.graders[place + 1]"""

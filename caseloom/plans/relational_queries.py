@@ -15,7 +15,7 @@ from ..operators import runner as R
 from ..operators import systems as S
 from ..operators.judge import Memo
 from .session import cut_lineage
-from .text_queries import cites_sql, collapse_sql, norm_sql, sentences_sql, uncite_sql
+from .text_queries import cites_sql, collapse_sql, findings_sql, norm_sql, scrub_sql, sentences_sql, strip_sql, uncite_sql
 from .views import ANSWERS_SQL, CASES_SQL, GRADED_SQL, RECORDS_SQL, answers, cases, gold, graded, records, table
 
 QUERIES: dict = {}
@@ -440,6 +440,21 @@ def _system(name: str):
 QUERIES |= {f"sys{i}_{n.replace('-', '_')}": _system(n) for i, n in enumerate(S.SYSTEMS, 1)}
 
 
+_BODY = """CASE WHEN choices IS NOT NULL THEN instructions || chr(10) || chr(10) || {x} || chr(10) || chr(10) || coalesce(question, '') || chr(10) || 'One of: ' || array_to_string(choices, ', ')
+    WHEN suite = 'redaction' THEN {x} ELSE instructions || array_to_string(list_transform(coalesce(examples, []), lambda e: chr(10) || chr(10) || e.q || chr(10) || 'Answer: ' || e.a), '') || chr(10) || chr(10) || {x} END"""
+#: What the scripted model answers to the three kinds of prompts, from their bodies.
+_HEADS = r"regexp_extract_all(body, 'Document \[(\d+)\]\(Title: [^\n]*?\): ([^.!?\n]*[.!?])', {g})"
+_REPLY = f"""CASE WHEN choices IS NOT NULL THEN choices[length(body) % len(choices) + 1] WHEN suite = 'redaction' THEN {strip_sql('body')}
+    WHEN len({_HEADS.format(g=1)}) > 0 THEN array_to_string(list_transform(range(1, least(3, len({_HEADS.format(g=1)})) + 1), lambda i: rtrim({_HEADS.format(g=2)}[i], '.!?') || ' [' || {_HEADS.format(g=1)}[i] || '].'), ' ')
+    ELSE {strip_sql(f"left(string_split({strip_sql('body')}, chr(10))[-1], 200)")} END"""
+_RAN = "id, '{name}' AS system, {out} AS output, NULL::VARCHAR AS error, 1 AS model_calls, {found} AS findings, CASE WHEN len({found}) > 0 OR {out} <> reply THEN 'modified' ELSE 'pass' END AS decision"
+_NO_FINDINGS = "CAST([] AS VARCHAR[])"
+ORACLE["sys1_direct"] = f"SELECT {_RAN.format(name='direct', out='reply', found=_NO_FINDINGS)} FROM (SELECT *, {_REPLY} AS reply FROM (SELECT *, {_BODY.format(x='input')} AS body FROM {CASES_SQL}))"
+_SCRUBBED = "CASE WHEN suite = 'redaction' THEN {f} ELSE {e} END"
+ORACLE["sys2_placeholder"] = f"""SELECT {_RAN.format(name='placeholder', out=_SCRUBBED.format(f=scrub_sql('reply'), e='reply'), found=_SCRUBBED.format(f=f"({findings_sql('input')}) || ({findings_sql('reply')})", e=_NO_FINDINGS))}
+  FROM (SELECT *, {_REPLY} AS reply FROM (SELECT *, {_BODY.format(x=_SCRUBBED.format(f=scrub_sql('input'), e='input'))} AS body FROM {CASES_SQL}))"""
+
+
 @_query(f"""WITH j AS (SELECT s.name AS system, s.models['main'] AS model, c.id AS case_id, c.suite FROM systems s JOIN {CASES_SQL} c ON s.suites IS NULL OR list_contains(s.suites, c.suite) WHERE s.name LIKE 'direct%')
   SELECT system, j.case_id, 1 AS repetition, 1 AS model_calls, [model] AS models, p.id IS NOT NULL AS has_gold, CAST(coalesce(len(p.graders), 0) AS INTEGER) AS grades, CAST(0 AS BIGINT) AS judge_calls FROM j LEFT JOIN private_cases p ON p.id = j.case_id""")
 def sys8_records(spark: SparkSession, d: str) -> DataFrame:

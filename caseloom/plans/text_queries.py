@@ -127,7 +127,7 @@ QUERIES = {
     "str17_verdict": _over_outputs(X.verdict_word),
     "str19_scrub": _over_docs(X.scrub),
     "str19_findings": _over_docs(lambda x: _joined(X.scrub_findings(x))),
-    "str22_bracketed_list": _over_outputs(lambda x: F.size(X.bracketed_list(x))),
+    "str22_bracketed_list": _over_outputs(lambda x: _joined(X.bracketed_list(x))),
     "str23_quote_lines": _over_outputs(lambda x: _joined(F.transform(X.quote_lines(x), lambda q: F.concat(q["passage"].cast("string"), F.lit(":"), q["text"])))),
     "str24_bare_lines": _over_docs(lambda x: _joined(X.bare_lines(x))),
     "str25_insert_citations": _over_outputs(lambda x: X.insert_citations(x, F.lit("[1]"))),
@@ -226,7 +226,7 @@ def str18_clause_type(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).select("id", X.clause_type("input").alias("clause_type"), asked.alias("asked"))
 
 
-@_query("")
+@_query(f"{_A} SELECT ord, list_reduce(list_filter(protected, lambda x: {strip_sql('x')} <> ''), lambda acc, x: regexp_replace(acc, '(?i)' || {flexible_sql('x')}, '[REDACTED]', 'g'), input) AS value FROM a WHERE protected IS NOT NULL")
 def str20_scrub_items(spark: SparkSession, d: str) -> DataFrame:
     a = answers(spark, d).where("protected is not null").select("ord", "input", "protected")
     return a.select("ord", X.scrub_items("input", "protected").alias("value"))
