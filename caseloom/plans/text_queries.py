@@ -143,7 +143,9 @@ _DOC_SQL = {
     "str24_bare_lines": rf"""array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda q: {strip_sql(rf'''regexp_replace(regexp_replace(q, '^{_WS}*(?:\[[0-9]+\]|[-*•]|[0-9]+[.)])?{_WS}*', ''), '(?s)^"(.*)"\z', '\1')''')}), lambda q: q <> '' AND NOT regexp_matches(q, '(?i)^none\b')), '␟')""",
     "str27_collapse": collapse_sql("text"), "str28_words": f"CAST(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda q: q <> '')) AS INTEGER)", "str28_split_count": f"CAST(len(regexp_split_to_array(text, '{_WS}+')) AS INTEGER)",
 }
+_ITEMS = f"list_filter(list_transform(CASE WHEN json_valid(regexp_extract(output, '(?s)\\[.*\\]', 0)) THEN from_json(regexp_extract(output, '(?s)\\[.*\\]', 0), '[\"VARCHAR\"]') ELSE [] END, lambda x: {strip_sql('x')}), lambda x: length(x) >= 2)"
 _OUT_SQL = {
+    "str22_bracketed_list": f"array_to_string(list_filter({_ITEMS}, lambda x, i: list_position({_ITEMS}, x) = i), '␟')",
     "str1_escape": escape_sql("output"), "str3_normalize_label": label_sql("output"), "str10_remove_citations": uncite_sql("output"),
     "str15_strip_reasoning": strip_sql("regexp_replace(output, '(?s)<think>.*?</think>', '', 'g')"), "str16_says_yes": rf"regexp_matches(output, '(?i)^{_WS}*yes\b')",
     "str17_verdict": r"CASE WHEN output IS NOT NULL THEN coalesce(nullif(lower(regexp_extract(output, '(?i)\b(yes|keep|no)\b', 1)), ''), 'no') END",
