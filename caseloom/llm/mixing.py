@@ -126,3 +126,23 @@ def shares_reached(mixed: DataFrame, parts: Sequence[Part], key: str) -> DataFra
     tokens = F.coalesce("tokens", F.lit(0))
     whole = F.sum(tokens).over(Window.partitionBy("mix_id"))
     return both.select("mix_id", "source", "target_share", F.round(tokens / F.when(whole > 0, whole), 6).alias("share"), F.round("wanted_tokens", 1).alias("wanted_tokens"), F.round("goal_tokens", 1).alias("goal_tokens"), tokens.alias("tokens"), "source_tokens", F.coalesce("documents", F.lit(0)).alias("documents"), "max_repeats", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "largest")
+
+
+def running_deviation(mixed: DataFrame, parts: Sequence[Part], blocks: int = BLOCKS) -> DataFrame:
+    """Per mix and source: the largest deviation of its tokens from its share of the blocks so far, at the ends of the slots,
+    and its bound, a block and the largest document of the mix.
+
+    Tokens are summed by slot and source first: at most `blocks` times the sources, whatever the number of documents.
+    """
+    spark = mixed.sparkSession
+    size: dict[int, float] = {}
+    for p in parts:
+        size[p.mix_id] = size.get(p.mix_id, 0.0) + p.goal
+    known = spark.createDataFrame([(p.mix_id, p.source, p.goal / size[p.mix_id], size[p.mix_id] / blocks) for p in parts if p.goal > 0], "mix_id int, source string, part double, block double")
+    each = mixed.groupBy("mix_id", "slot", "source").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"))
+    slots = each.groupBy("mix_id", "slot").agg(F.max("longest").alias("longest")).withColumn("longest", F.max("longest").over(Window.partitionBy("mix_id")))
+    # every source at the end of every slot, also of those that others had
+    grid = slots.join(F.broadcast(known), "mix_id").join(each.drop("longest"), ["mix_id", "slot", "source"], "left")
+    own = F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy("mix_id", "source").orderBy("slot"))
+    gaps = grid.select("mix_id", "source", F.abs(own - F.col("part") * (F.col("slot") + 1) * F.col("block")).alias("gap"), (F.col("block") + F.col("longest")).alias("most"))
+    return gaps.groupBy("mix_id", "source").agg(F.max("gap").alias("deviation"), F.max("most").alias("bound"))

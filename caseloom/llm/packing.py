@@ -31,10 +31,13 @@ FULL = 0.985
 SIZES = "tokens int, terms array<int>, counts array<int>"
 
 
-def with_tokens(documents: DataFrame, key: str, text: str, path: str | None = None, terms: bool = True) -> DataFrame:
-    """key, tokens and, if terms, each document's distinct token ids with their counts; NULL and empty texts have 0 tokens."""
+def with_tokens(documents: DataFrame, key: str, text: str, path: str | None = None, terms: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """key, the columns `keep`, tokens and, if terms, each document's distinct token ids with their counts; NULL and empty texts
+    have 0 tokens."""
     content = tokens.vocabulary(path)
-    kind = documents.schema[key].dataType.simpleString()
+    keys = [key, *keep]
+    chosen = documents.select(*keys, text)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     ints = pa.list_(pa.int32())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,15 +45,16 @@ def with_tokens(documents: DataFrame, key: str, text: str, path: str | None = No
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                ids = [encode(t) if t else [] for t in b.column(1).to_pylist()]
+                ids = [encode(t) if t else [] for t in b.column(len(keys)).to_pylist()]
+                own = b.columns[:-1]
                 sizes = pa.array([len(x) for x in ids], pa.int32())
                 if not terms:
-                    yield pa.RecordBatch.from_arrays([b.column(0), sizes], [key, "tokens"])
+                    yield pa.RecordBatch.from_arrays([*own, sizes], [*keys, "tokens"])
                     continue
                 pairs = [tokens.distinct(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array([p[0] for p in pairs], ints), pa.array([p[1].astype(np.int32) for p in pairs], ints)], [key, "tokens", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([*own, sizes, pa.array([p[0] for p in pairs], ints), pa.array([p[1].astype(np.int32) for p in pairs], ints)], [*keys, "tokens", "terms", "counts"])
 
-    return documents.select(key, text).mapInArrow(count, f"`{key}` {kind}, {SIZES if terms else 'tokens int'}")
+    return chosen.mapInArrow(count, f"{kinds}, {SIZES if terms else 'tokens int'}")
 
 
 class Index:

@@ -159,10 +159,8 @@ def percentiles(nodes: DataFrame, keys: Sequence[str], ranks: Sequence[float], e
     high = (F.pow(F.lit(2.0), shift) * (F.col("node") + 1)).cast("bigint") - 1 - UNIVERSE
     order = Window.partitionBy(*keys).orderBy("high", F.desc("node"))
     seen = nodes.withColumn("high", high).withColumn("upto", F.sum("count").over(order))
-    total = F.sum("count")
     n = seen.withColumn("n", F.sum("count").over(Window.partitionBy(*keys)))
     each = n.groupBy(*keys).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n"))), F.col("high"))).alias(f"p{i}") for i, q in enumerate(ranks)])
-    del total
     rows = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"p{i}").cast("int").alias("place")) for i, q in enumerate(ranks)])).alias("r")
     out = each.select(*keys, "n", rows)
     return out.select(*keys, "n", "r.q", value_of(F.col("r.place")).alias("value"), "r.place", F.lit(error).alias("rank_error"), F.lit(VALUE_ERROR).alias("value_error"))

@@ -61,15 +61,20 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_within_error(spark: SparkSession, d: str) -> DataFrame:
-    """Per system, measure and percentile: whether the merged summaries' answer holds its error against the exact ranks."""
-    values = cut_lineage(_measures(spark, d).withColumn("leaf", quantiles.leaf(F.col("value"))).where("leaf is not null").groupBy("system", "day", "metric", "leaf").agg(F.count("*").alias("count")))
-    days = quantiles.compressed(values.select("system", "day", "metric", (F.col("leaf") + quantiles.UNIVERSE).alias("node"), "count"), ["system", "day", "metric"])
-    said = quantiles.percentiles(quantiles.merged(days, ["system", "metric"]), ["system", "metric"], RANKS)
-    ranks = values.groupBy("system", "metric", "leaf").agg(F.sum("count").alias("count")).join(said, ["system", "metric"])
-    exact = ranks.groupBy("system", "metric", "q", "n", "place").agg(F.sum(F.when(F.col("leaf") < F.col("place"), F.col("count")).otherwise(0)).alias("below"), F.sum(F.when(F.col("leaf") <= F.col("place"), F.col("count")).otherwise(0)).alias("upto"))
-    slack = F.lit(quantiles.RANK_ERROR) * F.col("n")
+    """Per system, measure and percentile, and per day too: whether the summaries' answer holds its errors against the values
+    themselves: as many lie below (by more than the value's error), and as many up to it, as its rank allows."""
+    values = cut_lineage(_measures(spark, d).where("value is not null and not isnan(value)").groupBy("system", "day", "metric", "value").agg(F.count("*").alias("count")))
+    said = p1_percentiles(spark, d).select("system", "day", "metric", "n", "q", F.col("value").alias("said"), "rank_error", "value_error")
+    both = values.withColumn("day", F.explode(F.array("day", F.lit(None).cast("string")))).groupBy("system", "day", "metric", "value").agg(F.sum("count").alias("count"))
+    same = [both[c].eqNullSafe(said[c]) for c in ("system", "day", "metric")]
+    each = both.join(said.hint("merge"), same[0] & same[1] & same[2]).select(said["system"], said["day"], said["metric"], "n", "q", "said", "rank_error", "value_error", "value", "count")
+    reach = F.abs("said") * F.col("value_error") * 1.001 + 1e-9
+    sums = each.groupBy("system", "day", "metric", "q", "n", "rank_error").agg(
+        F.sum("count").alias("held"), F.sum(F.when(F.col("value") < F.col("said") - reach, F.col("count")).otherwise(0)).alias("below"), F.sum(F.when(F.col("value") <= F.col("said") + reach, F.col("count")).otherwise(0)).alias("upto")
+    )
+    slack = F.col("rank_error") * F.col("n") + 1
     good = (F.col("below") <= F.col("q") * F.col("n") + slack) & (F.col("upto") >= F.col("q") * F.col("n") - slack)
-    return exact.select("system", "metric", "q", "n", good.alias("within_error"))
+    return sums.select("system", "day", "metric", "q", F.col("held").alias("n"), (good & (F.col("held") == F.col("n"))).alias("within_error"))
 
 
 # 2 splitting
@@ -183,8 +188,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Per capacity: whether every document is there with all its tokens, in one piece unless too large, and no container
-    holds too much."""
+    """Per capacity: whether every document is there with all its tokens, in one piece unless too large, no container holds
+    too much, and few are needed: at most 2 % more than the tokens ask for, and one."""
     packed = cut_lineage(p7_packed(spark, d))
     sized = packing.with_tokens(_table(spark, d, "documents"), "doc_id", "text", terms=False)
     specs = _table(spark, d, "pack_specs").select("spec_id", "capacity_tokens")
@@ -193,17 +198,16 @@ def p7_whole(spark: SparkSession, d: str) -> DataFrame:
     good = (F.col("inside") == F.col("tokens")) & (F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens"))))
     per = doc.groupBy("spec_id").agg(F.count("*").alias("documents"), F.min(F.coalesce(good, F.lit(False))).alias("whole"))
     held = packed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("inside")).join(F.broadcast(specs), "spec_id")
-    held = held.groupBy("spec_id").agg((F.max(F.col("inside") - F.col("capacity_tokens")) <= 0).alias("within_capacity"))
-    return per.join(held, "spec_id").select("spec_id", "documents", "whole", "within_capacity")
+    few = F.count("*") <= 1.02 * F.ceil(F.sum("inside") / F.max("capacity_tokens")) + 1
+    held = held.groupBy("spec_id").agg((F.max(F.col("inside") - F.col("capacity_tokens")) <= 0).alias("within_capacity"), few.alias("well_filled"))
+    return per.join(held, "spec_id").select("spec_id", "documents", "whole", "within_capacity", "well_filled")
 
 
 # 8 mixing
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").select("doc_id", "source", "text")
-    small = packing.with_tokens(docs, "doc_id", "text", terms=False)
-    return cut_lineage(small.join(docs.select("doc_id", "source"), "doc_id"))
+    return cut_lineage(packing.with_tokens(_table(spark, d, "documents"), "doc_id", "text", terms=False, keep=["source"]))
 
 
 def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
@@ -216,10 +220,23 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_within(spark: SparkSession, d: str) -> DataFrame:
-    """Per mix and source: whether no document is used too often and the source's tokens are within one document of its goal."""
+    """Per mix and source: whether no document is used too often, the tokens are the target's share of the mix within two of its
+    largest documents, and the mix is as large as asked for or its scarcest source is used up."""
     r = p8_shares(spark, d)
-    good = (F.col("most_uses") <= F.col("max_repeats")) & (F.abs(F.col("tokens") - F.col("goal_tokens")) <= F.coalesce("largest", F.lit(0)))
-    return r.select("mix_id", "source", good.alias("within"))
+    mix = r.groupBy("mix_id").agg(F.sum("tokens").alias("given"), F.sum("wanted_tokens").alias("wanted"), F.max(F.col("tokens") + F.coalesce("largest", F.lit(0)) >= F.col("source_tokens") * F.col("max_repeats")).alias("used_up"), F.max("largest").alias("most"))
+    r = r.join(mix, "mix_id")
+    full = (F.col("given") >= 0.99 * F.col("wanted")) | F.col("used_up")
+    good = (F.col("most_uses") <= F.col("max_repeats")) & (F.abs(F.col("tokens") - F.col("target_share") * F.col("given")) <= 2 * F.col("most")) & full
+    return r.select("mix_id", "source", "target_share", good.alias("within"))
+
+
+def p8_deviation(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix and source: whether its tokens, at the end of every slot of the mix, are within a block and a document of its
+    share of the slots so far."""
+    mixed, parts = mixing.mix_documents(_sized(spark, d), _table(spark, d, "mix_targets"), "doc_id")
+    worst = mixing.running_deviation(mixed, parts)
+    targets = _table(spark, d, "mix_targets").select("mix_id", "source")
+    return targets.join(worst, ["mix_id", "source"], "left").select("mix_id", "source", F.coalesce(F.col("deviation") <= F.col("bound"), F.lit(True)).alias("within"))
 
 
 # 9 spam
@@ -236,21 +253,29 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p2_whole, p3_found, p6_found, p6_links, p6_members, p6_shares, p7_packed, p7_report, p7_whole, p8_mixed, p8_shares, p8_within, p9_found, p9_scores)
+    for f in (p1_percentiles, p1_summaries, p1_within_error, p2_found, p2_pieces, p2_whole, p3_found, p6_found, p6_links, p6_members, p6_shares, p7_packed, p7_report, p7_whole, p8_mixed, p8_shares, p8_within, p8_deviation, p9_found, p9_scores)
 }
 
 _LATEST = "(SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY ord ORDER BY loaded_at DESC) = 1)"
 
+#: All windows of 200 characters that more than one record has, by their hash.
+_SPANS = f"""WITH t AS (SELECT 'result:' || ord AS rec, run.output AS text FROM {_LATEST} UNION ALL SELECT 'case:' || id || '#' || k, docs[k].text FROM (SELECT id, docs, unnest(generate_series(1, len(docs))) AS k FROM (SELECT * FROM public_cases QUALIFY row_number() OVER (PARTITION BY id ORDER BY imported_at DESC) = 1))),
+    x AS (SELECT rec, text, unnest(range(1, length(text) - 198)) AS pos FROM t WHERE length(text) >= 200), y AS (SELECT rec, pos, md5_number(substring(text, pos, 200)) AS h FROM x), w AS (SELECT * FROM y WHERE h IN (SELECT h FROM y GROUP BY h HAVING count(DISTINCT rec) > 1))"""
+
 ORACLE: dict[str, str] = {
     "p1_within_error": f"""
-        WITH m AS (SELECT run.system AS system, 'latencyMs' AS metric, CAST(run.latencyMs AS DOUBLE) AS v FROM {_LATEST}
-                   UNION ALL SELECT run.system, 'costUsd', run.costUsd FROM {_LATEST})
-        SELECT system, metric, q, count(v) AS n, TRUE AS within_error
-        FROM m, (VALUES (CAST(0.5 AS DOUBLE)), (0.9), (0.95), (0.99)) t(q) GROUP BY ALL HAVING count(v) > 0""",
+        WITH l AS {_LATEST}, m AS (SELECT run.system AS system, left(run_id, 10) AS day, 'latencyMs' AS metric, CAST(run.latencyMs AS DOUBLE) AS v FROM l UNION ALL SELECT run.system, left(run_id, 10), 'costUsd', run.costUsd FROM l),
+             g AS (SELECT system, day, metric, count(v) AS n FROM m GROUP BY ALL UNION ALL SELECT system, NULL, metric, count(v) FROM m GROUP BY ALL)
+        SELECT system, day, metric, q, n, TRUE AS within_error FROM g, (VALUES (CAST(0.5 AS DOUBLE)), (0.9), (0.95), (0.99)) t(q) WHERE n > 0""",
+    "p6_found": f"{_SPANS} SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM w a JOIN w b ON a.h = b.h AND a.rec < b.rec",
+    "p6_shares": f"""{_SPANS}, p AS (SELECT rec, pos, lead(pos) OVER (PARTITION BY rec ORDER BY pos) AS later FROM (SELECT DISTINCT rec, pos FROM w)), c AS (SELECT rec, sum(least(200, coalesce(later - pos, 200))) AS shared FROM p GROUP BY rec),
+        o AS (SELECT a.rec, count(DISTINCT b.rec) AS partners FROM w a JOIN w b ON a.h = b.h AND a.rec <> b.rec GROUP BY a.rec)
+        SELECT rec, CAST(length(text) AS INTEGER) AS n_chars, CAST(coalesce(shared, 0) AS INTEGER) AS shared_chars, CASE WHEN length(text) > 0 THEN round(CAST(coalesce(shared, 0) AS DOUBLE) / length(text), 6) END AS share, coalesce(partners, 0) AS partners FROM t LEFT JOIN c USING (rec) LEFT JOIN o USING (rec)""",
     "p2_whole": """SELECT id AS case_id, CAST(passage AS INTEGER) AS passage, CAST(length(docs[passage].text) AS INTEGER) AS n_chars, TRUE AS whole
         FROM (SELECT id, docs, unnest(generate_series(1, len(docs))) AS passage FROM (SELECT * FROM public_cases QUALIFY row_number() OVER (PARTITION BY id ORDER BY imported_at DESC) = 1)) WHERE length(docs[passage].text) > 2000""",
-    "p8_within": "SELECT mix_id, source, TRUE AS within FROM mix_targets",
-    "p7_whole": "SELECT spec_id, (SELECT count(*) FROM documents) AS documents, TRUE AS whole, TRUE AS within_capacity FROM pack_specs",
+    "p8_within": "SELECT mix_id, source, share AS target_share, TRUE AS within FROM mix_targets",
+    "p8_deviation": "SELECT mix_id, source, TRUE AS within FROM mix_targets",
+    "p7_whole": "SELECT spec_id, (SELECT count(*) FROM documents) AS documents, TRUE AS whole, TRUE AS within_capacity, TRUE AS well_filled FROM pack_specs",
     "p2_found": r"""
         WITH c AS (SELECT * FROM public_cases QUALIFY row_number() OVER (PARTITION BY id ORDER BY imported_at DESC) = 1),
              p AS (SELECT id, docs, unnest(generate_series(1, len(docs))) AS passage FROM c),

@@ -1,5 +1,7 @@
 """Mixing: shares, repeats, and less than one block of deviation at every point."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,3 +63,23 @@ def test_order_does_not_depend_on_partitions(spark):
     got = [sorted(map(tuple, M.mix_documents(df.repartition(n), targets, "doc_id")[0].collect())) for n in (1, 7)]
     assert got[0] == got[1]
     assert M.mix_documents(df.where("false"), targets, "doc_id")[0].count() == 0
+
+
+def test_running_deviation(spark):
+    r = random.Random(9)
+    docs = [(i, "abc"[min(2, r.randrange(6))], r.randint(1, 400)) for i in range(4000)]
+    sized = spark.createDataFrame(docs, "doc_id int, source string, tokens int")
+    targets = spark.createDataFrame([(1, "a", 0.5, 3, 0.6), (1, "b", 0.3, 2, 0.6), (1, "c", 0.2, 1, 0.6), (2, "a", 0.9, 4, 0.3), (2, "c", 0.1, 1, 0.3)], "mix_id int, source string, share double, max_repeats int, size_factor double")
+    mixed, parts = M.mix_documents(sized, targets, "doc_id", blocks=256)
+    rows = M.running_deviation(mixed, parts, blocks=256).collect()
+    assert len(rows) == 5 and all(x.deviation <= x.bound for x in rows)
+    # the same, the plain way
+    size = {m: sum(p.goal for p in parts if p.mix_id == m) for m in (1, 2)}
+    out = sorted(mixed.collect(), key=lambda x: (x.mix_id, x.slot))
+    for row in rows:
+        p = next(p for p in parts if (p.mix_id, p.source) == (row.mix_id, row.source))
+        mine, worst = 0, 0.0
+        for slot in sorted({x.slot for x in out if x.mix_id == row.mix_id}):
+            mine += sum(x.tokens for x in out if x.mix_id == row.mix_id and x.slot == slot and x.source == row.source)
+            worst = max(worst, abs(mine - p.goal / size[row.mix_id] * (slot + 1) * size[row.mix_id] / 256))
+        assert abs(worst - row.deviation) < 1e-6
