@@ -136,6 +136,20 @@ def seeded_order(items: DataFrame, key: str, order: Sequence[str], seed: int = S
     return items.join(places_of, key)
 
 
+def page(rows: DataFrame, place: str, offset: int, count: int) -> DataFrame:
+    """The rows at the places offset to offset + count - 1 (from 0): a filter, nothing is sorted."""
+    return rows.where(F.col(place).between(offset, offset + count - 1))
+
+
+def exactly(rows: DataFrame, place: str, count: int) -> DataFrame:
+    """The first `count` rows by place (from 0, without gaps); an error if there are fewer."""
+    chosen = page(rows, place, 0, count)
+    n = chosen.count()
+    if n != count:
+        raise ValueError(f"{n} rows instead of {count}")
+    return chosen
+
+
 def shortest_first(contracts: DataFrame, key: str, text: str, wanted: Column) -> DataFrame:
     """The shortest contract for which `wanted` holds, ties by key: one row or none."""
     return contracts.where(wanted).orderBy(F.length(text), key).limit(1)
@@ -150,8 +164,8 @@ def demo_answer(clauses: Column, kind: str | None = None) -> Column:
     """A worked answer from the gold clauses: each quoted with its passages, or the statement that there is none."""
     what = f'"{kind}" clause' if kind else "clause"
     quoted = F.transform(clauses, lambda c: F.concat(F.lit('"'), c["text"], F.lit('" '), cite_marks(c["passages"])))
-    told = F.concat(F.lit(f"Yes. The contract contains {'a' if kind else 'the'} {what}: "), F.array_join(quoted, " It also states: "), F.lit("."))
-    return F.when(F.size(clauses) == 0, F.lit(f"The contract contains no {what if kind else 'such clause'}.")).otherwise(told)
+    told = F.concat(F.lit(f"The contract has {'a' if kind else 'the'} {what}, which reads: "), F.array_join(quoted, " and also: "), F.lit("."))
+    return F.when(F.size(clauses) == 0, F.lit(f"The contract has no {what if kind else 'such clause'}.")).otherwise(told)
 
 
 def case_pairs(rows: DataFrame, suite: str, task: str, instructions: str, graders: Sequence[str]) -> tuple[DataFrame, DataFrame]:

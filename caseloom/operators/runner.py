@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import cut_lineage
@@ -149,6 +149,11 @@ def judge_of(override: str | None, benchmark: str | None, env: dict[str, str]) -
     return next((x for x in (override, benchmark, env.get("JUDGE_MODEL")) if x), None)
 
 
+def first_named(*names: Column) -> Column:
+    """The same choice over columns: the first name that is neither NULL nor blank."""
+    return F.coalesce(*[F.when(F.trim(n) != "", n) for n in names])
+
+
 def resolve_graders(benchmarks: DataFrame, registry: dict[str, object]) -> DataFrame:
     """benchmark, grader, known, clash: the graders that benchmarks list, whether one of that name is registered, and whether
     several benchmarks bring different ones (column `module`, if there is one) under it."""

@@ -73,9 +73,10 @@ def prj7_combined_suite(spark: SparkSession, d: str) -> DataFrame:
     return graded(spark, d).groupBy("system").agg(F.count("*").alias("n")).crossJoin(F.broadcast(name)).select("suite", "system", "n")
 
 
-@_query("SELECT run_id, coalesce(providers.judgeBaseUrl, providers.baseUrl, 'none') AS judge FROM runs")
+@_query("SELECT run_id, coalesce(nullif(trim(providers.judgeBaseUrl), ''), nullif(trim(providers.baseUrl), ''), 'environment') AS judge FROM runs")
 def prj8_judge(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "runs").select("run_id", F.coalesce("providers.judgeBaseUrl", "providers.baseUrl", F.lit("none")).alias("judge"))
+    """The chain of a run's judge: its own, else the run's provider, else the environment's."""
+    return table(spark, d, "runs").select("run_id", R.first_named(F.trim("providers.judgeBaseUrl"), F.trim("providers.baseUrl"), F.lit("environment")).alias("judge"))
 
 
 # filters
@@ -380,9 +381,21 @@ def srt7_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return D.seeded_order(_contracts(spark, d).select("contract"), "contract", ["contract"])
 
 
-@_query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20 OFFSET 30")
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts with their places from 0."""
+    return D.seeded_order(_contracts(spark, d).select("contract"), "contract", ["contract"])
+
+
+@_query(f"WITH RECURSIVE {_CONTRACTS}, {_SHUFFLED} SELECT contract, CAST(place AS INTEGER) AS place FROM placed WHERE place >= 30 AND place < 50")
 def lim1_offset(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id").orderBy("doc_id").offset(30).limit(20)
+    """Twenty contracts after the first thirty of a shuffled set."""
+    return D.page(_placed(spark, d), "place", 30, 20)
+
+
+@_query(f"WITH RECURSIVE {_CONTRACTS}, {_SHUFFLED} SELECT contract, CAST(place AS INTEGER) AS place FROM placed WHERE place < 5")
+def lim3_exactly(spark: SparkSession, d: str) -> DataFrame:
+    """Exactly five contracts, or an error."""
+    return D.exactly(_placed(spark, d), "place", 5)
 
 
 # sets

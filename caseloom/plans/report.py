@@ -40,6 +40,7 @@ def tables(graded: DataFrame) -> dict[str, list]:
         "rates": stats.grader_rates(g).collect(),
         "paired": stats.paired(diffs).join(stats.bootstrap(diffs).drop("n"), ["suite", "grader", "a", "b"]).orderBy("suite", "grader", "a", "b").collect(),
         "models": stats.models_used(g).orderBy("system", "place").collect(),
+        "judges": stats.judges_used(g).orderBy("suite", "judge").collect(),
     }
 
 
@@ -54,12 +55,13 @@ def markdown(run_id: str, t: dict[str, list], graders: dict[str, str], expected:
     rates = {(r.suite, r.task, r.system, r.grader): (r.pass_rate, r.mean_score) for r in t["rates"]}
     for suite in dict.fromkeys(r.suite for r in t["summary"]):
         names = sorted({k[3] for k in rates if k[0] == suite})
-        out += ["", f"## {suite}", "", "| task | system | n | errors | " + " | ".join(names) + " | consistency | latency ms | tokens in/out | calls | cost | judge cost |", "|" + " --- |" * (len(names) + 10)]
+        judges = [j.judge for j in t.get("judges", []) if j.suite == suite and j.judge]
+        out += ["", f"## {suite}", "", *([f"Judged by {', '.join(judges)}.", ""] if judges else []), "| task | system | n | errors | " + " | ".join(names) + " | consistency | latency ms | tokens in/out | calls | cost | judge cost | total cost |", "|" + " --- |" * (len(names) + 11)]
         for r in sorted((x for x in t["summary"] if x.suite == suite), key=lambda x: (x.task == "ALL", x.task, x.system)):
             cells = [_cell(rates.get((suite, r.task, r.system, g))) for g in names]
             cons = "n/a" if r.consistency is None else _pct(r.consistency)
             num = lambda v, d=0: "n/a" if v is None else f"{v:.{d}f}"
-            out.append(f"| {r.task} | {r.system} | {r.n} | {_pct(r.errors)} | {' | '.join(cells)} | {cons} | {num(r.latency_ms)} | {num(r.tokens_in)}/{num(r.tokens_out)} | {num(r.model_calls, 1)} | {_usd(r.cost_usd)} | {_usd(r.judge_cost_usd)} |")
+            out.append(f"| {r.task} | {r.system} | {r.n} | {_pct(r.errors)} | {' | '.join(cells)} | {cons} | {num(r.latency_ms)} | {num(r.tokens_in)}/{num(r.tokens_out)} | {num(r.model_calls, 1)} | {_usd(r.cost_usd)} | {_usd(r.judge_cost_usd)} | {_usd(None if r.cost_usd is None else r.n * (r.cost_usd + (r.judge_cost_usd or 0.0)))} |")
     if t["paired"]:
         out += ["", "## Paired comparisons", "", "| suite | grader | A | B | cases | wins/ties/losses | difference | 95 % interval |", "|" + " --- |" * 8]
         pts = lambda v: f"{'+' if v >= 0 else '−'}{abs(int(v * 100 + (0.5 if v >= 0 else -0.5)))}"

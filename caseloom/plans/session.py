@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -35,7 +37,8 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(archive)  # the driver serves it from here
+    sc.addPyFile(archive)  # the driver serves it from here, until it ends
+    atexit.register(shutil.rmtree, os.path.dirname(archive), ignore_errors=True)
     sc._caseloom_shipped = True
 
 
@@ -54,8 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df once, as a table in the shared checkpoint folder, and go on from there: it isn't computed twice and survives
-    lost executors. A compressed columnar table takes a fraction of what checkpoint() writes. The session deletes it when
-    it ends."""
+    lost executors. A compressed columnar table takes a fraction of what checkpoint() writes. It is there until
+    `release_tables`, or until the session ends."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
@@ -63,4 +66,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(sc.hadoopConfiguration()).deleteOnExit(where)
+    if not hasattr(spark.sparkContext, "_caseloom_tables"):
+        spark.sparkContext._caseloom_tables = []
+    spark.sparkContext._caseloom_tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that `cut_lineage` wrote so far; how many there were. To be called between queries whose results are
+    stored: a frame that still reads such a table fails afterwards."""
+    sc = spark.sparkContext
+    paths, sc._caseloom_tables = getattr(sc, "_caseloom_tables", []), []
+    for path in paths:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.sc().hadoopConfiguration()).delete(where, True)
+    return len(paths)

@@ -252,7 +252,7 @@ def str29_prompt(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).select("id", few_shot_prompt(F.col("instructions"), F.col("examples"), F.col("input")).alias("prompt"))
 
 
-@_query("SELECT id, CASE WHEN len(clauses) = 0 THEN 'The contract contains no such clause.' ELSE 'Yes. The contract contains the clause: ' || array_to_string(list_transform(clauses, lambda c: '\"' || c.text || '\" ' || array_to_string(list_transform(c.passages, lambda i: '[' || (i + 1) || ']'), '')), ' It also states: ') || '.' END AS answer FROM private_cases WHERE clauses IS NOT NULL")
+@_query("SELECT id, CASE WHEN len(clauses) = 0 THEN 'The contract has no such clause.' ELSE 'The contract has the clause, which reads: ' || array_to_string(list_transform(clauses, lambda c: '\"' || c.text || '\" ' || array_to_string(list_transform(c.passages, lambda i: '[' || (i + 1) || ']'), '')), ' and also: ') || '.' END AS answer FROM private_cases WHERE clauses IS NOT NULL")
 def str30_demo_answer(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.dataset import demo_answer
 

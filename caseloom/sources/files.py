@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,12 +89,19 @@ def contracts(spark: SparkSession, path: str) -> DataFrame:
     return c.select("c.title", first.getField("context").alias("context"), qas.alias("qas"))
 
 
+def _colons(ddl: str) -> str:
+    """A schema's columns as the fields of a struct."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", ddl)
+
+
 def retrieval(spark: SparkSession, path: str, passages: int) -> DataFrame:
-    """question, docs (the first `passages`), qaPairs from a retrieval corpus; `place` is the item's place in the file."""
-    r = spark.read.schema(schemas.RETRIEVAL).option("multiLine", True).json(path)
+    """question, docs (the first `passages`), qaPairs from a retrieval corpus (a JSON array a file), and the file's path and
+    `place`, the item's place in it from 0. A file's array is read as one value and unfolded, so the place is the file's."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), F.from_json("value", f"array<struct<{_colons(schemas.RETRIEVAL)}>>").alias("items"))
+    r = whole.select("file_path", F.posexplode("items").alias("place", "item")).select("file_path", "place", "item.*")
     pairs = F.transform("qa_pairs", lambda p: F.struct(p["question"].alias("question"), p["short_answers"].alias("shortAnswers")))
     docs = F.transform(F.slice("docs", 1, passages), lambda d: F.struct(collapse(d["title"]).alias("title"), d["text"].alias("text")))
-    return r.select("question", docs.alias("docs"), pairs.alias("qaPairs"))
+    return r.select("file_path", "place", "question", docs.alias("docs"), pairs.alias("qaPairs"))
 
 
 def checked_binary(spark: SparkSession, path: str, sha256: str) -> DataFrame:
@@ -135,3 +144,26 @@ def code_state(folder: str = ".") -> tuple[str | None, list[str]]:
 
     rev, status = git("rev-parse", "HEAD"), git("status", "--porcelain")
     return (rev.strip() if rev else None), [line[3:] for line in (status or "").splitlines()]
+
+
+@dataclass
+class Project:
+    """A project's folders as tables: harness and benchmark manifests, the halves of its cases, and what is wrong with them."""
+
+    systems: DataFrame
+    benchmarks: DataFrame
+    public: DataFrame
+    private: DataFrame
+    problems: DataFrame
+
+
+def project(spark: SparkSession, root: str) -> Project:
+    """A project from its folder: harnesses below `harnesses`, benchmarks and their cases below `benchmarks`. problems: what,
+    problem; wrong case files, wrong harness manifests, and suites that systems list but no benchmark has."""
+    systems, marks = harnesses(spark, f"{root}/harnesses"), benchmarks(spark, f"{root}/benchmarks")
+    public, private = public_cases(spark, f"{root}/benchmarks"), private_cases(spark, f"{root}/benchmarks")
+    wrong = case_problems(public, private).select(F.col("file_path").alias("what"), "problem")
+    lone = harness_problems(systems).withColumnRenamed("name", "what")
+    listed = systems.select(F.col("name").alias("what"), F.explode("suites").alias("suite"))
+    lost = listed.join(marks.select(F.col("name").alias("suite")), "suite", "left_anti").select("what", F.concat(F.lit("unknown suite "), "suite").alias("problem"))
+    return Project(systems, marks, public, private, wrong.unionByName(lone).unionByName(lost))

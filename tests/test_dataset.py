@@ -91,7 +91,7 @@ def test_case_pairs_and_labels(spark):
     out = D.label_cases(new, template, template.select("id")).collect()
     assert [(r.id, r.input, r.question) for r in out] == [("t-001", "b", "q?")]
     demo = spark.createDataFrame([([],), ([("a", [0, 2])],)], "clauses array<struct<text:string,passages:array<int>>>").select(D.demo_answer(F.col("clauses"), "Exit").alias("v")).collect()
-    assert [r.v for r in demo] == ['The contract contains no "Exit" clause.', 'Yes. The contract contains a "Exit" clause: "a" [1][3].']
+    assert [r.v for r in demo] == ['The contract has no "Exit" clause.', 'The contract has a "Exit" clause, which reads: "a" [1][3].']
 
 
 def test_grid(spark):
@@ -103,3 +103,21 @@ def test_grid(spark):
     assert placed["b", 2, "u-1"] == (2, 3) and placed["a", 1, "s-2"] == (1, 2)
     r = spark.createDataFrame([(True, True, True, True), (False, True, True, True), (True, False, True, False), (True, True, False, True), (True, True, True, False)], "a boolean, b boolean, c boolean, d boolean")
     assert [x.v for x in r.select(grid.gate(*map(F.col, "abcd")).alias("v")).collect()] == [200, 401, 404, 403, 429]
+
+
+def test_pages(spark):
+    df = spark.range(10).withColumnRenamed("id", "place")
+    assert sorted(r.place for r in D.page(df, "place", 3, 4).collect()) == [3, 4, 5, 6] and D.exactly(df, "place", 10).count() == 10 and D.exactly(df, "place", 0).count() == 0
+    with pytest.raises(ValueError, match="10 rows instead of 11"):
+        D.exactly(df, "place", 11)
+
+
+def test_numbered(spark):
+    from caseloom.operators.order import numbered
+
+    rows = [("hot" if i % 3 else None, (i * 7919) % 1000) for i in range(900)]
+    out = numbered(spark.createDataFrame(rows, "g string, v int").repartition(5), ["v"], "n", ["g"]).collect()
+    for g in ("hot", None):
+        own = sorted((r.v, r.n) for r in out if r.g == g)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    assert sorted(r.n for r in numbered(spark.range(50), ["id"], "n").collect()) == list(range(1, 51)) and numbered(spark.range(0), ["id"], "n").count() == 0

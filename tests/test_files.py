@@ -47,6 +47,17 @@ def test_manifests(spark, tmp_path):
     assert files.subdirectories(spark, str(tmp_path)) == ["a", "b", "s"] and files.subdirectories(spark, str(tmp_path / "none")) == []
 
 
+def test_project(spark, tmp_path):
+    put(tmp_path / "harnesses" / "a" / "harness.json", {"name": "a", "entry": "e.ts", "suites": ["s", "lost"], "models": {"main": "m"}})
+    put(tmp_path / "harnesses" / "b" / "harness.json", {"name": "b", "suites": ["s"], "models": {"main": "m"}})
+    put(tmp_path / "benchmarks" / "s" / "benchmark.json", {"name": "s", "graders": ["exact"]})
+    case(tmp_path / "benchmarks", "s", "s-001")
+    case(tmp_path / "benchmarks", "s", "s-002", private={"graders": []})
+    p = files.project(spark, str(tmp_path))
+    assert p.systems.count() == 2 and p.benchmarks.count() == 1 and p.public.count() == p.private.count() == 2
+    assert {(r.what.split("/")[-1], r.problem) for r in p.problems.collect()} == {("b", "no entry"), ("a", "unknown suite lost"), ("s-002.private.json", "no graders")}
+
+
 def record(i, **run):
     return {"run": {"caseId": f"s-00{i}", "system": "a", "repetition": 1, "output": "Yes", "latencyMs": 5, "modelRequests": ["p"], "trace": {"source": "x", "rawOutput": "y"}} | run, "grades": [{"grader": "exact", "pass": i % 2 == 0, "score": 1.0 - i % 2, "detail": "d"}]}
 
@@ -77,6 +88,7 @@ def test_corpora(spark, tmp_path):
     assert (c.title, c.context, c.qas[0].category, c.qas[0].details) == ("T", "abc", "Exit Notice", "what?")
     put(tmp_path / "r.json", [{"question": "q", "docs": [{"title": " A  b ", "text": "1"}, {"title": "B", "text": "2"}], "qa_pairs": [{"question": "p", "short_answers": ["s"]}]}])
     r = files.retrieval(spark, str(tmp_path / "r.json"), 1).first()
+    assert r.place == 0 and r.file_path.endswith("r.json")
     assert len(r.docs) == 1 and r.docs[0].title == "A b" and r.qaPairs[0].shortAnswers == ["s"]
     with pytest.raises(ValueError):
         files.checked_binary(spark, str(tmp_path / "c.json"), "0" * 64)
@@ -140,3 +152,13 @@ def test_report(spark):
     assert "r1/chart.html" in report.site_index([("r1", "s", 3, 1)])
     assert sinks.chart_name(2) == "chart-merged.html"
     assert sinks.progress_line(g.select("system", "case_id", "repetition", "grades")).where(F.col("line").contains("exact")).count() == 8
+
+
+def test_tables_are_released(spark):
+    from caseloom.plans.session import cut_lineage, release_tables
+
+    release_tables(spark)
+    kept = cut_lineage(spark.range(3))
+    assert kept.count() == 3 and release_tables(spark) == 1 and release_tables(spark) == 0
+    with pytest.raises(Exception):  # noqa: B017
+        kept.count()
