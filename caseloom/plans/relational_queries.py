@@ -15,7 +15,7 @@ from ..operators import runner as R
 from ..operators import systems as S
 from ..operators.judge import Memo
 from .session import cut_lineage
-from .text_queries import cites_sql, collapse_sql, findings_sql, norm_sql, scrub_sql, sentences_sql, strip_sql, uncite_sql
+from .text_queries import cites_sql, collapse_sql, findings_sql, flexible_sql, norm_sql, scrub_sql, sentences_sql, strip_sql, uncite_sql
 from .views import ANSWERS_SQL, CASES_SQL, GRADED_SQL, RECORDS_SQL, answers, cases, gold, graded, records, table
 
 QUERIES: dict = {}
@@ -468,6 +468,22 @@ ORACLE["sys2_placeholder"] = f"""SELECT {_RAN.format(name='placeholder', out=_SC
   FROM (SELECT *, {_REPLY} AS reply FROM (SELECT *, {_BODY.format(x=_SCRUBBED.format(f=scrub_sql('input'), e='input'))} AS body FROM {CASES_SQL}))"""
 
 
+_NAMES = "list_filter(regexp_extract_all({x}, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b'), lambda v, i: list_position(regexp_extract_all({x}, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b'), v) = i)"
+
+
+def _wiped(items: str, x: str) -> str:
+    return f"list_reduce({items}, lambda acc, v: regexp_replace(acc, '(?i)' || {flexible_sql('v')}, '[REDACTED]', 'g'), {x})"
+
+
+#: Patterns, then the names that the scripted model lists, before the call and after it.
+ORACLE["sys3_legal_v1"] = f"""WITH c AS (SELECT *, {scrub_sql('input')} AS s1 FROM {CASES_SQL}), n AS (SELECT *, {_NAMES.format(x="('List the personal data.' || chr(10) || s1)")} AS i1 FROM c),
+    r AS (SELECT *, {_REPLY} AS reply FROM (SELECT *, CASE WHEN suite = 'redaction' THEN {_wiped('i1', 's1')} ELSE {_BODY.format(x='input')} END AS body FROM n)),
+    t AS (SELECT *, {_NAMES.format(x="('List the personal data.' || chr(10) || s2)")} AS i2 FROM (SELECT *, {scrub_sql('reply')} AS s2 FROM r)),
+    o AS (SELECT id, suite, reply, CASE WHEN suite = 'redaction' THEN {_wiped('i2', 's2')} ELSE reply END AS output,
+      CASE WHEN suite = 'redaction' THEN ({findings_sql('input')}) || list_transform(i1, lambda v: 'llm:' || v) || ({findings_sql('reply')}) || list_transform(i2, lambda v: 'llm:' || v) ELSE {_NO_FINDINGS} END AS findings FROM t)
+  SELECT id, 'legal-v1' AS system, output, NULL::VARCHAR AS error, CASE WHEN suite = 'redaction' THEN 3 ELSE 1 END AS model_calls, findings, CASE WHEN len(findings) > 0 OR output <> reply THEN 'modified' ELSE 'pass' END AS decision FROM o"""
+
+
 @_query(f"""WITH j AS (SELECT s.name AS system, s.models['main'] AS model, c.id AS case_id, c.suite FROM systems s JOIN {CASES_SQL} c ON s.suites IS NULL OR list_contains(s.suites, c.suite) WHERE s.name LIKE 'direct%')
   SELECT system, j.case_id, 1 AS repetition, 1 AS model_calls, [model] AS models, p.id IS NOT NULL AS has_gold, CAST(coalesce(len(p.graders), 0) AS INTEGER) AS grades, CAST(0 AS BIGINT) AS judge_calls FROM j LEFT JOIN private_cases p ON p.id = j.case_id""")
 def sys8_records(spark: SparkSession, d: str) -> DataFrame:
