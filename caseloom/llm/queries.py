@@ -148,13 +148,17 @@ def _span_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links between different texts, each named by the first of its copies."""
-    return spans.shared_spans(_span_records(spark, d), version="version")[0]
+    """Links between different texts, each named by the first of its copies, with the shared parts of both as from-to."""
+    links, _ = spans.shared_spans(_span_records(spark, d), version="version")
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["s"].cast("string"), F.lit("-"), x["e"].cast("string"))), ",").alias(c)
+    return links.select("rec_a", "rec_b", told("spans_a"), told("spans_b"))
 
 
 def p6_members(spark: SparkSession, d: str) -> DataFrame:
-    """The records that may share something, each with the first of its copies."""
-    return spans.shared_spans(_span_records(spark, d), version="version")[1]
+    """The records that share something, each with the first of its copies."""
+    links, members = spans.shared_spans(_span_records(spark, d), version="version")
+    linked = links.select(F.explode(F.array("rec_a", "rec_b")).alias("rep")).unionByName(members.groupBy("rep").count().where("count > 1").select("rep")).distinct()
+    return members.join(linked.hint("merge"), "rep", "left_semi").select("rec", "rep", "n_chars")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -267,6 +271,14 @@ ORACLE: dict[str, str] = {
         WITH l AS {_LATEST}, m AS (SELECT run.system AS system, left(run_id, 10) AS day, 'latencyMs' AS metric, CAST(run.latencyMs AS DOUBLE) AS v FROM l UNION ALL SELECT run.system, left(run_id, 10), 'costUsd', run.costUsd FROM l),
              g AS (SELECT system, day, metric, count(v) AS n FROM m GROUP BY ALL UNION ALL SELECT system, NULL, metric, count(v) FROM m GROUP BY ALL)
         SELECT system, day, metric, q, n, TRUE AS within_error FROM g, (VALUES (CAST(0.5 AS DOUBLE)), (0.9), (0.95), (0.99)) t(q) WHERE n > 0""",
+    "p6_links": f"""{_SPANS}, k AS (SELECT min(rec) AS rec FROM t WHERE length(text) >= 200 GROUP BY text), v AS (SELECT * FROM w WHERE rec IN (SELECT rec FROM k)),
+        e AS (SELECT a.rec AS rec_a, b.rec AS rec_b, a.pos AS pa, b.pos AS pb FROM v a JOIN v b ON a.h = b.h AND a.rec < b.rec),
+        sa AS (SELECT rec_a, rec_b, pos, sum(CASE WHEN pos - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rec_a, rec_b ORDER BY pos) AS g FROM (SELECT rec_a, rec_b, pa AS pos, lag(pa) OVER (PARTITION BY rec_a, rec_b ORDER BY pa) AS before FROM (SELECT DISTINCT rec_a, rec_b, pa FROM e))),
+        sb AS (SELECT rec_a, rec_b, pos, sum(CASE WHEN pos - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rec_a, rec_b ORDER BY pos) AS g FROM (SELECT rec_a, rec_b, pb AS pos, lag(pb) OVER (PARTITION BY rec_a, rec_b ORDER BY pb) AS before FROM (SELECT DISTINCT rec_a, rec_b, pb FROM e))),
+        la AS (SELECT rec_a, rec_b, string_agg((s - 1) || '-' || (e + 199), ',' ORDER BY s) AS spans_a FROM (SELECT rec_a, rec_b, min(pos) AS s, max(pos) AS e FROM sa GROUP BY rec_a, rec_b, g) GROUP BY ALL),
+        lb AS (SELECT rec_a, rec_b, string_agg((s - 1) || '-' || (e + 199), ',' ORDER BY s) AS spans_b FROM (SELECT rec_a, rec_b, min(pos) AS s, max(pos) AS e FROM sb GROUP BY rec_a, rec_b, g) GROUP BY ALL)
+        SELECT rec_a, rec_b, spans_a, spans_b FROM la JOIN lb USING (rec_a, rec_b)""",
+    "p6_members": f"{_SPANS} SELECT t.rec, k.rep, CAST(length(t.text) AS INTEGER) AS n_chars FROM t JOIN (SELECT text, min(rec) AS rep FROM t WHERE length(text) >= 200 GROUP BY text) k USING (text) WHERE t.rec IN (SELECT rec FROM w)",
     "p6_found": f"{_SPANS} SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM w a JOIN w b ON a.h = b.h AND a.rec < b.rec",
     "p6_shares": f"""{_SPANS}, p AS (SELECT rec, pos, lead(pos) OVER (PARTITION BY rec ORDER BY pos) AS later FROM (SELECT DISTINCT rec, pos FROM w)), c AS (SELECT rec, sum(least(200, coalesce(later - pos, 200))) AS shared FROM p GROUP BY rec),
         o AS (SELECT a.rec, count(DISTINCT b.rec) AS partners FROM w a JOIN w b ON a.h = b.h AND a.rec <> b.rec GROUP BY a.rec)
