@@ -68,18 +68,22 @@ class Index:
         weight = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[item] / max(mean, 1.0)))
         keep = idf[terms] > 0
         terms, item, weight = terms[keep], item[keep], weight[keep].astype(np.float32)
-        # of each item the terms, the heaviest first, for when it is a seed
-        order = np.lexsort((-weight, item))
-        start = np.searchsorted(item[order], np.arange(n + 1))
-        self.query = [terms[order[a:b]] for a, b in zip(start[:-1], start[1:])]
+        # of each item its terms, for when it is a seed
+        self.start = np.searchsorted(item, np.arange(n + 1))
+        self.terms, self.own = terms, weight
         by_term = np.argsort(terms, kind="stable")
         self.item, self.weight = item[by_term], weight[by_term]
         self.first = np.searchsorted(terms[by_term], np.arange(len(idf) + 1))
 
+    def query(self, seed: int) -> np.ndarray:
+        """An item's terms, the heaviest first."""
+        a, b = self.start[seed], self.start[seed + 1]
+        return self.terms[a:b][np.argsort(-self.own[a:b], kind="stable")]
+
     def neighbours(self, seed: int, free: np.ndarray, room: int, terms: int | None = None) -> list[int]:
         """Items that share one of the seed's heaviest terms (so many, or all), are free (their size, 0 if not) and fit, best
         first, ties by number."""
-        q = self.query[seed][:terms]
+        q = self.query(seed)[:terms]
         if not len(q):
             return []
         runs = [slice(self.first[t], self.first[t + 1]) for t in q]
@@ -123,7 +127,7 @@ def pack(sizes: Sequence[int], capacity: int, index: Index | None) -> list[list[
         used[seed], free[seed] = 1, 0
         inside, room = [seed], capacity - sizes[seed]
         looked = 0
-        while index is not None and looked < len(index.query[seed]) and room and largest(room) is not None:
+        while index is not None and looked < index.start[seed + 1] - index.start[seed] and room and largest(room) is not None:
             looked = 4 * looked or QUERY_TERMS
             for i in index.neighbours(seed, free, room, looked):
                 if sizes[i] <= room:
