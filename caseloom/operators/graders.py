@@ -209,9 +209,14 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def gold_problems(private: DataFrame, known: list[str] | None = None) -> DataFrame:
-    """id, grader, problem: cases whose gold doesn't fit a grader they list, before anything costly runs."""
+def gold_problems(private: DataFrame, known: list[str] | None = None, public: DataFrame | None = None) -> DataFrame:
+    """id, grader, problem: cases whose gold doesn't fit a grader they list, before anything costly runs. With the public
+    halves also cases without the choices or passages that a grader looks at."""
+    if public is not None:
+        private = private.join(public.select("id", F.coalesce(F.size("choices"), F.lit(-1)).alias("__choices"), F.coalesce(F.size("docs"), F.lit(-1)).alias("__docs"), F.lit(True).alias("__there")), "id", "left")
     flat = private.withColumn("grader", F.explode_outer("graders"))
+    there = public is not None
+    lacks = lambda c: (F.coalesce("__there", F.lit(False)) & (F.col(c) < 1)) if there else F.lit(False)
     g = F.col("grader")
     clause = g.isin("clause-recall", "clause-precision", "citation-support")
     redact = g.isin("removal", "leakage", "retention")
@@ -223,6 +228,8 @@ def gold_problems(private: DataFrame, known: list[str] | None = None) -> DataFra
         .when(clause & F.col("clauses").isNull(), "needs clauses")
         .when(redact & (F.coalesce(F.size("protected"), F.lit(-1)) < 1), "needs protected spans")
         .when(redact & F.coalesce(F.exists("protected", lambda s: X.strip(s) == ""), F.lit(False)), "empty protected span")
+        .when((g == "exact") & lacks("__choices"), "needs choices")
+        .when((clause | g.isin("citation-recall", "citation-precision")) & lacks("__docs"), "needs docs")
     )
     return flat.select("id", "grader", problem.alias("problem")).where("problem is not null")
 

@@ -11,7 +11,7 @@ from ..operators import graders as G
 from ..operators.judge import Memo
 from .session import cut_lineage
 from .text_queries import CHOICE_SQL, answer_sql, cites_sql, label_sql, norm_sql, run_sql, sentences_sql, span_sql, tokens_sql, uncite_sql
-from .views import ANSWERS_SQL, answers, cases, gold
+from .views import ANSWERS_SQL, CASES_SQL, answers, cases, gold
 
 _A = f"WITH a AS {ANSWERS_SQL}"
 _ROUND = "round(score, 6) AS score"
@@ -39,7 +39,7 @@ QUERIES = {f"grd{i}_{name.replace('-', '_')}": _grader(name) for i, name in enum
 
 
 def grd12_gold_problems(spark: SparkSession, d: str) -> DataFrame:
-    return G.gold_problems(gold(spark, d))
+    return G.gold_problems(gold(spark, d), public=cases(spark, d))
 
 
 def grd13_dispatch(spark: SparkSession, d: str) -> DataFrame:
@@ -126,8 +126,10 @@ ORACLE = {
         WHEN grader = 'exact' AND answer IS NULL THEN 'needs an answer' WHEN grader = 'str-em' AND coalesce(len(qaPairs), 0) < 1 THEN 'needs qaPairs'
         WHEN grader IN ('clause-recall', 'clause-precision', 'citation-support') AND clauses IS NULL THEN 'needs clauses'
         WHEN grader IN ('removal', 'leakage', 'retention') AND coalesce(len(protected), 0) < 1 THEN 'needs protected spans'
-        WHEN grader IN ('removal', 'leakage', 'retention') AND len(list_filter(protected, lambda s: trim(s) = '')) > 0 THEN 'empty protected span' END AS problem
-      FROM (SELECT *, unnest(CASE WHEN len(graders) > 0 THEN graders ELSE [NULL] END) AS grader FROM private_cases)) WHERE problem IS NOT NULL""",
+        WHEN grader IN ('removal', 'leakage', 'retention') AND len(list_filter(protected, lambda s: trim(s) = '')) > 0 THEN 'empty protected span'
+        WHEN grader = 'exact' AND there AND coalesce(n_choices, 0) < 1 THEN 'needs choices'
+        WHEN grader IN ('clause-recall', 'clause-precision', 'citation-support', 'citation-recall', 'citation-precision') AND there AND coalesce(n_docs, 0) < 1 THEN 'needs docs' END AS problem
+      FROM (SELECT p.*, c.id IS NOT NULL AS there, len(c.choices) AS n_choices, len(c.docs) AS n_docs, unnest(CASE WHEN len(graders) > 0 THEN graders ELSE [NULL] END) AS grader FROM private_cases p LEFT JOIN """ + CASES_SQL + """ c ON c.id = p.id)) WHERE problem IS NOT NULL""",
 }
 
 #: Every grade that a case lists, from the SQL of the single graders.

@@ -55,25 +55,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df once, as a table in the shared checkpoint folder, and go on from there: it isn't computed twice and survives
-    lost executors. A compressed columnar table takes a fraction of what checkpoint() writes. It is there until
-    `release_tables`, or until the session ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, to be deleted by `release_tables` or when the session ends."""
     ensure_checkpoint_dir(spark)
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
-    path = f"{sc.getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{sc.getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(sc.hadoopConfiguration()).deleteOnExit(where)
     if not hasattr(spark.sparkContext, "_caseloom_tables"):
         spark.sparkContext._caseloom_tables = []
     spark.sparkContext._caseloom_tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df once, as a table in the shared checkpoint folder, and go on from there: it isn't computed twice and survives
+    lost executors. A compressed columnar table takes a fraction of what checkpoint() writes. It is there until
+    `release_tables`, or until the session ends."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release_tables(spark: SparkSession) -> int:
-    """Delete the tables that `cut_lineage` wrote so far; how many there were. To be called between queries whose results are
+    """Delete what was written to shared paths so far; how many there were. To be called between queries whose results are
     stored: a frame that still reads such a table fails afterwards."""
     sc = spark.sparkContext
     paths, sc._caseloom_tables = getattr(sc, "_caseloom_tables", []), []
