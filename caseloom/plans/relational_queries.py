@@ -484,6 +484,23 @@ ORACLE["sys3_legal_v1"] = f"""WITH c AS (SELECT *, {scrub_sql('input')} AS s1 FR
   SELECT id, 'legal-v1' AS system, output, NULL::VARCHAR AS error, CASE WHEN suite = 'redaction' THEN 3 ELSE 1 END AS model_calls, findings, CASE WHEN len(findings) > 0 OR output <> reply THEN 'modified' ELSE 'pass' END AS decision FROM o"""
 
 
+_LONG_WORDS = "list_distinct(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]{{4,}}'))"
+_MARKED = "array_to_string(list_transform({x}, lambda v: '[' || (v + 1) || ']'), '')"
+_DRAFT = f"CASE WHEN len({_HEADS.format(g=1)}) > 0 THEN array_to_string(list_transform(range(1, least(3, len({_HEADS.format(g=1)})) + 1), lambda i: rtrim({_HEADS.format(g=2)}[i], '.!?') || ' [' || {_HEADS.format(g=1)}[i] || '].'), ' ') ELSE {strip_sql(f"left(string_split({strip_sql('body')}, chr(10))[-1], 200)")} END"
+#: A draft, and for each of its sentences the passages whose first lines have half of its long words.
+ORACLE["sys4_cite_v1"] = rf"""WITH d AS (SELECT id, coalesce(docs, []) AS docs, {_DRAFT} AS reply FROM (SELECT *, instructions || array_to_string(list_transform(coalesce(examples, []), lambda e: chr(10) || chr(10) || e.q || chr(10) || 'Answer: ' || e.a), '') || chr(10) || chr(10) || input AS body FROM {CASES_SQL})),
+    u AS (SELECT id, docs, ss[k] AS sent, k FROM (SELECT id, docs, ss, unnest(generate_series(1, len(ss))) AS k FROM (SELECT id, docs, {sentences_sql('reply')} AS ss FROM d))),
+    c AS (SELECT *, {uncite_sql('sent')} AS claim FROM u),
+    v AS (SELECT *, {_LONG_WORDS.format(x='claim')} AS long FROM c),
+    h AS (SELECT *, list_filter(range(0, len(docs)), lambda i: len(long) > 0 AND 2 * len(list_intersect(long, {_LONG_WORDS.format(x="string_split(coalesce(docs[i + 1].text, ''), chr(10))[1]")})) >= len(long))[1:2] AS refs, {cites_sql('sent', 'len(docs)')} AS before FROM v),
+    t AS (SELECT *, len(refs) = 0 AND contains(' ' || claim || ' ', ' no ') AS keep FROM h),
+    f AS (SELECT id, k, CASE WHEN keep THEN claim WHEN len(refs) > 0 THEN regexp_extract(claim, '(?s)^(.*?)([.!?]*)\z', 1) || ' ' || {_MARKED.format(x='refs')} || regexp_extract(claim, '(?s)^(.*?)([.!?]*)\z', 2) END AS text,
+      's' || k || ': ' || CASE WHEN keep THEN 'stays uncited, it speaks of the documents' WHEN len(refs) = 0 THEN 'removed, nothing supports it'
+        ELSE CASE WHEN len(before) > 0 THEN {_MARKED.format(x='before')} ELSE 'none' END || ' => ' || {_MARKED.format(x='refs')} || CASE WHEN len(refs) = len(before) AND len(list_intersect(refs, before)) = len(refs) THEN '' ELSE ', new' END END AS finding FROM t),
+    g AS (SELECT id, coalesce(string_agg(text, ' ' ORDER BY k), '') AS output, list(finding ORDER BY k) AS findings, count(*) AS n FROM f GROUP BY id)
+  SELECT d.id, 'cite-v1' AS system, coalesce(output, '') AS output, NULL::VARCHAR AS error, CAST(1 + coalesce(n, 0) AS INTEGER) AS model_calls, coalesce(findings, {_NO_FINDINGS}) AS findings, CASE WHEN coalesce(n, 0) > 0 OR coalesce(output, '') <> reply THEN 'modified' ELSE 'pass' END AS decision FROM d LEFT JOIN g USING (id)"""
+
+
 @_query(f"""WITH j AS (SELECT s.name AS system, s.models['main'] AS model, c.id AS case_id, c.suite FROM systems s JOIN {CASES_SQL} c ON s.suites IS NULL OR list_contains(s.suites, c.suite) WHERE s.name LIKE 'direct%')
   SELECT system, j.case_id, 1 AS repetition, 1 AS model_calls, [model] AS models, p.id IS NOT NULL AS has_gold, CAST(coalesce(len(p.graders), 0) AS INTEGER) AS grades, CAST(0 AS BIGINT) AS judge_calls FROM j LEFT JOIN private_cases p ON p.id = j.case_id""")
 def sys8_records(spark: SparkSession, d: str) -> DataFrame:
